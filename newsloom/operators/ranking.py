@@ -31,12 +31,15 @@ def with_position(df: DataFrame, groups: list[str], order: list[Column], into: s
     placed = materialize(placed.withColumn("_part", F.shiftright("_id", 33)), "positions")
     runs = placed.groupBy(*groups, "_part").agg(F.count("*").alias("_n"), F.min("_id").alias("_first"))
     before = Window.partitionBy(*groups).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    runs = runs.withColumn("_offset", F.coalesce(F.sum("_n").over(before), F.lit(0)))
-    same = [placed[g].eqNullSafe(runs[g]) for g in groups] + [placed["_part"] == runs["_part"]]
-    joined = placed.join(runs, reduce(and_, same))
-    return joined.select(
-        *[placed[c] for c in df.columns],
-        (F.col("_offset") + F.col("_id") - F.col("_first") + 1).alias(into),
+    offset = F.coalesce(F.sum("_n").over(before), F.lit(0))
+    runs = runs.select(
+        *[F.col(g).alias(f"_g_{g}") for g in groups],
+        F.col("_part").alias("_run"),
+        (offset - F.col("_first") + 1).alias("_shift"),
+    )
+    same = [F.col(g).eqNullSafe(F.col(f"_g_{g}")) for g in groups]
+    return placed.join(runs, reduce(and_, same, F.col("_part") == F.col("_run"))).select(
+        *df.columns, (F.col("_id") + F.col("_shift")).alias(into)
     )
 
 

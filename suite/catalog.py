@@ -1,3 +1,3 @@
 """Importing this module registers every query."""
 
-from suite import aggregates, filters, joins  # noqa: F401
+from suite import aggregates, filters, joins, layout, similarity  # noqa: F401
