@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from newsloom.functions.binding import let
 from newsloom.schema import GIST_MAX_WORDS, literal_array
 
 # Words whose full stop does not end a sentence.
@@ -104,23 +105,28 @@ def _ends_in_abbreviation(head: Column) -> Column:
 
 def headline(text: Column, limit: int = HEADLINE_CHARS) -> Column:
     """A headline for an untitled post: its first real sentence, else a clip at a word."""
-    plain = html_to_text(text, HEADLINE_SOURCE_CHARS)
-    pieces = F.split(plain, r"(?<=[.!?])\s", -1)
-    heads = F.transform(
-        F.slice(F.sequence(F.lit(0), F.size(pieces)), F.lit(2), F.greatest(F.size(pieces) - 1, F.lit(0))),
-        lambda i: strip(F.array_join(F.slice(pieces, F.lit(1), i), " ")),
-    )
-    heads = F.transform(
-        F.filter(heads, lambda h: ~_ends_in_abbreviation(h)), lambda h: F.regexp_replace(h, r"\.+$", "")
-    )
-    sentence = F.get(F.filter(heads, lambda h: (h != "") & (F.length(h) <= limit)), F.lit(0))
-    cut = F.regexp_replace(
-        F.regexp_replace(F.substring(plain, 1, limit), " [^ ]*$", ""), "[,;:\\-—]+$", ""
-    )
-    return F.coalesce(
-        sentence,
-        F.when(F.length(plain) <= limit, plain).when(cut != "", F.concat(cut, F.lit("…"))),
-    )
+
+    def first_sentence(pieces: Column) -> Column:
+        # Every start of the text that ends where a terminator is followed by whitespace.
+        heads = F.transform(
+            F.slice(F.sequence(F.lit(0), F.size(pieces)), F.lit(2), F.greatest(F.size(pieces) - 1, F.lit(0))),
+            lambda i: strip(F.array_join(F.slice(pieces, F.lit(1), i), " ")),
+        )
+        heads = F.transform(
+            F.filter(heads, lambda h: ~_ends_in_abbreviation(h)), lambda h: F.regexp_replace(h, r"\.+$", "")
+        )
+        return F.get(F.filter(heads, lambda h: (h != "") & (F.length(h) <= limit)), F.lit(0))
+
+    def choose(plain: Column) -> Column:
+        cut = F.regexp_replace(
+            F.regexp_replace(F.substring(plain, 1, limit), " [^ ]*$", ""), "[,;:\\-—]+$", ""
+        )
+        return F.coalesce(
+            let(F.split(plain, r"(?<=[.!?])\s", -1), first_sentence),
+            F.when(F.length(plain) <= limit, plain).when(cut != "", F.concat(cut, F.lit("…"))),
+        )
+
+    return let(html_to_text(text, HEADLINE_SOURCE_CHARS), choose)
 
 
 def excerpt(text: Column, count: int = EXCERPT_WORDS) -> Column:

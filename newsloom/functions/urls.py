@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from newsloom.functions.binding import let
 from newsloom.functions.text import strip
 from newsloom.schema import literal_array
 
@@ -93,10 +94,12 @@ def item_uid(canonical: Column) -> Column:
 
 def is_tracker(url: Column, hosts: list[str] = TRACKER_HOSTS) -> Column:
     """Host equal to, or a subdomain of, a listed one: every suffix of the host is looked up."""
-    labels = F.split(netloc(url), r"\.")
-    suffixes = F.transform(
-        F.sequence(F.lit(1), F.size(labels)),
-        lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."),
+    suffixes = let(
+        F.split(netloc(url), r"\."),
+        lambda labels: F.transform(
+            F.sequence(F.lit(1), F.size(labels)),
+            lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."),
+        ),
     )
     return F.arrays_overlap(suffixes, literal_array(hosts))
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from newsloom.functions.binding import let
 from newsloom.session import materialize
 
 _PIECE = r"(?U)(\w+)(\W*)"
@@ -17,23 +18,26 @@ def _core(alias: Column) -> Column:
 def _ngrams(text: Column, longest: int) -> Column:
     """Distinct word runs of a text, 1 to ``longest`` words, as spelled but in lower case."""
     lowered = F.lower(text)
-    tokens = F.regexp_extract_all(lowered, F.lit(_PIECE), F.lit(1))
-    pieces = F.regexp_extract_all(lowered, F.lit(_PIECE), F.lit(0))
-    runs = [tokens]
-    for n in range(2, longest + 1):
-        # A run is the pieces before its last word, separators included, and that word.
-        runs.append(
-            F.when(
-                F.size(tokens) >= n,
-                F.transform(
-                    F.sequence(F.lit(1), F.greatest(F.size(tokens) - n + 1, F.lit(1))),
-                    lambda i, n=n: F.concat(
-                        F.array_join(F.slice(pieces, i, F.lit(n - 1)), ""), F.get(tokens, i + n - 2)
-                    ),
-                ),
-            ).otherwise(F.array().cast("array<string>"))
+    split = F.struct(
+        F.regexp_extract_all(lowered, F.lit(_PIECE), F.lit(1)).alias("words"),
+        F.regexp_extract_all(lowered, F.lit(_PIECE), F.lit(0)).alias("pieces"),
+    )
+
+    def runs_of(n: int, s: Column) -> Column:
+        # The pieces before the last word, separators included, and that word.
+        count = F.size(s["words"])
+        starts = F.slice(F.sequence(F.lit(0), count), F.lit(2), F.greatest(count - n + 1, F.lit(0)))
+        return F.transform(
+            starts,
+            lambda i: F.concat(
+                F.array_join(F.slice(s["pieces"], i, F.lit(n - 1)), ""), F.get(s["words"], i + n - 2)
+            ),
         )
-    return F.array_distinct(F.concat(*runs))
+
+    return let(
+        split,
+        lambda s: F.array_distinct(F.concat(s["words"], *[runs_of(n, s) for n in range(2, longest + 1)])),
+    )
 
 
 def mentions(texts: DataFrame, aliases: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

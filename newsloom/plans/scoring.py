@@ -52,22 +52,28 @@ def score(
     batch are marked unknown, and uids left out are marked omitted, so every item is accounted for.
     """
 
+    columns = ["uid", "category", "relevance", "is_promo", "gist", "beat"]
+
+    def plain(frame: pd.DataFrame, outcome) -> pd.DataFrame:
+        # Plain object columns convert to Arrow whatever string type pandas chose.
+        return frame.reindex(columns=columns).assign(outcome=outcome).astype(object).where(lambda f: f.notna(), None)
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        columns = ["uid", "category", "relevance", "is_promo", "gist", "beat"]
         for chunk in batches:
             for start in range(0, len(chunk), batch_size):
                 batch = chunk.iloc[start : start + batch_size]
+                asked = set(batch["uid"])
                 try:
-                    out = scorer(batch).reindex(columns=columns)
+                    out = scorer(batch)
+                    outcome = ["scored" if uid in asked else "unknown" for uid in out["uid"]]
+                    verdicts = plain(out, outcome)
                 except Exception as exc:  # one failed call costs its batch, not the job
-                    lost = pd.DataFrame({"uid": batch["uid"]}).reindex(columns=columns)
-                    yield lost.assign(outcome="failed: " + str(exc)[:200])
+                    yield plain(batch[["uid"]], "failed: " + str(exc)[:200])
                     continue
-                asked = set(batch["uid"])
-                yield out.assign(outcome=["scored" if u in asked else "unknown" for u in out["uid"]])
+                yield verdicts
                 left = batch.loc[~batch["uid"].isin(set(out["uid"])), ["uid"]]
                 if len(left):
-                    yield left.reindex(columns=columns).assign(outcome="omitted")
+                    yield plain(left, "omitted")
 
     return items.mapInPandas(run, SCORE_COLUMNS + ", outcome string")
 

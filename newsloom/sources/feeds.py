@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from newsloom.functions.binding import let
 from newsloom.functions.text import blank_to_null, headline, html_to_text, rfc822_timestamp
 from newsloom.functions.urls import is_absolute_http
 
@@ -193,12 +194,15 @@ def inflate_index(index: Column) -> Column:
             ),
         )
     )
-    placed = F.array_sort(claims)
-    following = F.slice(placed, F.lit(2), F.greatest(F.size(placed) - 1, F.lit(0)))
-    last = F.filter(
-        F.arrays_zip(placed.alias("a"), following.alias("b")),
-        lambda z: z["b"].isNull() | (z["b"]["p"] != z["a"]["p"]),
-    )
+
+    def last_claims(placed: Column) -> Column:
+        following = F.slice(placed, F.lit(2), F.greatest(F.size(placed) - 1, F.lit(0)))
+        return F.filter(
+            F.arrays_zip(placed.alias("a"), following.alias("b")),
+            lambda z: z["b"].isNull() | (z["b"]["p"] != z["a"]["p"]),
+        )
+
+    last = let(F.array_sort(claims), last_claims)
     return F.nullif(F.array_join(F.transform(last, lambda z: z["a"]["w"]), " "), F.lit(""))
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from newsloom.functions.binding import let
 from newsloom.functions.text import strip, words
 from newsloom.schema import BUCKETS, CATEGORIES, GIST_MAX_WORDS
 
@@ -23,17 +24,21 @@ def form_fields(body: Column) -> Column:
             strip(F.regexp_extract(s, r"(?s)^[^\n]*\n?(.*)$", 1)).alias("value"),
         ),
     )
-    latest = F.filter(
-        F.transform(
-            pairs,
+
+    def last_of_each(all_pairs: Column) -> Column:
+        tagged = F.transform(
+            all_pairs,
             lambda p, i: F.struct(
                 p["key"].alias("key"),
                 F.when(F.lower(p["value"]) == BLANK_FIELD, "").otherwise(p["value"]).alias("value"),
-                F.exists(F.slice(pairs, i + 2, F.size(pairs)), lambda q: q["key"] == p["key"]).alias("again"),
+                F.exists(
+                    F.slice(all_pairs, i + 2, F.size(all_pairs)), lambda q: q["key"] == p["key"]
+                ).alias("again"),
             ),
-        ),
-        lambda p: ~p["again"],
-    )
+        )
+        return F.filter(tagged, lambda p: ~p["again"])
+
+    latest = let(pairs, last_of_each)
     return F.map_from_entries(F.transform(latest, lambda p: F.struct(p["key"], p["value"])))
 
 
