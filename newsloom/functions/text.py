@@ -65,19 +65,33 @@ HEADLINE_SOURCE_CHARS = 400
 EXCERPT_WORDS = 60
 
 
+# Whitespace, as characters to trim and as a pattern.
+_SPACES = "".join(
+    map(chr, [*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000])
+)
+# The rarer spaces sit behind one range test, so that an ordinary letter costs two comparisons.
+_SPACE_RUN = (
+    r"[ \t\n\x0B\f\r\x1C\x1D\x1E\x1F\x85\xA0"
+    r"[\u1680-\u3000&&[\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000]]]+"
+)
+
+
 def strip(text: Column) -> Column:
     """Without leading and trailing whitespace of any kind."""
-    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+    return F.btrim(text, F.lit(_SPACES))
 
 
 def squeeze(text: Column) -> Column:
-    return strip(F.regexp_replace(text, r"(?U)\s+", " "))
+    return F.trim(F.regexp_replace(text, _SPACE_RUN, " "))
+
 
+def words(text: Column, limit: int = -1) -> Column:
+    """Whitespace-separated words; an empty array for blank text.
 
-def words(text: Column) -> Column:
-    """Whitespace-separated words; an empty array for blank text."""
+    With a positive ``limit`` splitting stops there and the last element holds the rest.
+    """
     clean = strip(text)
-    return F.when(clean == "", F.array().cast("array<string>")).otherwise(F.split(clean, r"(?U)\s+"))
+    return F.when(clean == "", F.array().cast("array<string>")).otherwise(F.split(clean, _SPACE_RUN, limit))
 
 
 def blank_to_null(text: Column) -> Column:
@@ -86,18 +100,25 @@ def blank_to_null(text: Column) -> Column:
 
 def html_to_text(html: Column, limit: int | None = None) -> Column:
     """Readable text of markup: scripts, styles, comments and tags out, entities decoded."""
-    plain = F.regexp_replace(html, r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->|<[^>]+>", " ")
+    untagged = F.regexp_replace(html, r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->|<[^>]+>", " ")
+    plain = F.when(F.contains(html, F.lit("<")), untagged).otherwise(html)
+    decoded = plain
     for name, char in ENTITIES.items():
-        plain = F.replace(plain, F.lit(name), F.lit(char))
+        decoded = F.replace(decoded, F.lit(name), F.lit(char))
+    plain = F.when(F.contains(html, F.lit("&")), decoded).otherwise(plain)
     plain = squeeze(plain)
     if limit is not None:
         plain = F.substring(plain, 1, limit)
     return F.nullif(plain, F.lit(""))
 
 
+_EDGE = ".,;:!?\"'()[]"
+
+
 def _ends_in_abbreviation(head: Column) -> Column:
-    last = F.substring_index(F.regexp_replace(head, r"\.+$", ""), " ", -1)
-    bare = F.lower(F.regexp_replace(last, r"""^[.,;:!?"'()\[\]]+|[.,;:!?"'()\[\]]+$""", ""))
+    """``head`` has lost its full stops already."""
+    last = F.substring_index(head, " ", -1)
+    bare = F.lower(F.btrim(last, F.lit(_EDGE)))
     return (bare != "") & (
         F.contains(last, F.lit(".")) | (F.length(bare) == 1) | bare.isin(ABBREVIATIONS)
     )
@@ -110,12 +131,10 @@ def headline(text: Column, limit: int = HEADLINE_CHARS) -> Column:
         # Every start of the text that ends where a terminator is followed by whitespace.
         heads = F.transform(
             F.slice(F.sequence(F.lit(0), F.size(pieces)), F.lit(2), F.greatest(F.size(pieces) - 1, F.lit(0))),
-            lambda i: strip(F.array_join(F.slice(pieces, F.lit(1), i), " ")),
-        )
-        heads = F.transform(
-            F.filter(heads, lambda h: ~_ends_in_abbreviation(h)), lambda h: F.regexp_replace(h, r"\.+$", "")
+            lambda i: F.rtrim(strip(F.array_join(F.slice(pieces, F.lit(1), i), " ")), F.lit(".")),
         )
-        return F.get(F.filter(heads, lambda h: (h != "") & (F.length(h) <= limit)), F.lit(0))
+        fits = F.filter(heads, lambda h: (h != "") & (F.length(h) <= limit))
+        return F.get(F.filter(fits, lambda h: ~_ends_in_abbreviation(h)), F.lit(0))
 
     def choose(plain: Column) -> Column:
         cut = F.regexp_replace(
@@ -130,7 +149,7 @@ def headline(text: Column, limit: int = HEADLINE_CHARS) -> Column:
 
 
 def excerpt(text: Column, count: int = EXCERPT_WORDS) -> Column:
-    parts = words(F.coalesce(text, F.lit("")))
+    parts = words(F.coalesce(text, F.lit("")), count + 1)
     return F.concat(
         F.array_join(F.slice(parts, 1, count), " "), F.when(F.size(parts) > count, "…").otherwise("")
     )
@@ -139,13 +158,13 @@ def excerpt(text: Column, count: int = EXCERPT_WORDS) -> Column:
 def capped_gist(gist: Column, count: int = GIST_MAX_WORDS) -> Column:
     """The gist, or null when blank or over the word ceiling."""
     clean = strip(gist)
-    return F.when((clean != "") & (F.size(words(clean)) <= count), clean)
+    return F.when((clean != "") & (F.size(words(clean, count + 1)) <= count), clean)
 
 
 def clip(text: Column, limit: int) -> Column:
     return F.when(
         F.length(text) > limit,
-        F.concat(F.regexp_replace(F.substring(text, 1, limit - 1), r"(?U)\s+$", ""), F.lit("…")),
+        F.concat(F.rtrim(F.substring(text, 1, limit - 1), F.lit(_SPACES)), F.lit("…")),
     ).otherwise(text)
 
 
@@ -155,7 +174,7 @@ def recase(title: Column) -> Column:
     capitals = F.length(F.regexp_replace(title, r"[^\p{Lu}]", ""))
 
     def one(word: Column, position: Column) -> Column:
-        bare = F.regexp_replace(word, r"""^[.,:;!?()\[\]"']+|[.,:;!?()\[\]"']+$""", "")
+        bare = F.btrim(word, F.lit(_EDGE))
         return (
             F.when(F.upper(bare).isin(ACRONYMS), F.upper(word))
             .when((position > 0) & F.lower(bare).isin(MINOR_WORDS), F.lower(word))
@@ -216,7 +235,7 @@ def rfc822_timestamp(text: Column) -> Column:
 def word_set(folded: Column) -> Column:
     """Content words of a folded headline, sorted and distinct, so that equal sets compare equal."""
     found = F.regexp_extract_all(F.lower(folded), F.lit("[a-z0-9]+"), F.lit(0))
-    return F.array_sort(
+    return F.sort_array(
         F.array_distinct(F.filter(found, lambda w: (F.length(w) > 2) & ~w.isin(STOPWORDS)))
     )
 
@@ -233,13 +252,18 @@ def _nfkc():
 _MAY_FOLD = r"[^\x00-\x7FÀ-ÿ]"
 
 
+def may_fold(text: Column) -> Column:
+    """Whether Unicode folding could change the text; false for a null."""
+    return F.coalesce(text.rlike(_MAY_FOLD), F.lit(False))
+
+
 def with_word_set(df: DataFrame, title: str, into: str = "tokens") -> DataFrame:
     """Add the fingerprint of ``title``.
 
     Unicode folding has no Spark function, so it is the one Python step. Only rows holding a
     character that folding can change pass through it; all others stay in the JVM.
     """
-    folds = F.coalesce(F.col(title).rlike(_MAY_FOLD), F.lit(False))
+    folds = may_fold(F.col(title))
     plain = df.filter(~folds).withColumn(into, word_set(F.col(title)))
     folded = (
         df.filter(folds)

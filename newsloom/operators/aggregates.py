@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from newsloom.schema import STALE_DAYS
+from newsloom.session import materialize
 
 VOLUME_WINDOWS = (7, 14, 30)
 ALL = "ALL"
@@ -153,8 +154,6 @@ def average_rank(df: DataFrame, value: str, into: str) -> DataFrame:
 
 def running_total(df: DataFrame, order: str, amount: str, into: str) -> DataFrame:
     """Sum of ``amount`` over all rows before this one in ``order``, without a one-task window."""
-    from newsloom.session import materialize
-
     placed = materialize(
         df.repartitionByRange(order).withColumn("_part", F.spark_partition_id()), "running-total"
     )
@@ -179,7 +178,7 @@ def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
     pairs = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).select(
         F.col(x).alias("x"), F.col(y).alias("y")
     )
-    cells = pairs.groupBy("x", "y").agg(F.count("*").alias("w"))
+    cells = materialize(pairs.groupBy("x", "y").agg(F.count("*").alias("w")), "rank-cells")
     rank_x = _weighted_ranks(cells, "x", "rx")
     rank_y = _weighted_ranks(cells, "y", "ry")
     w, rx, ry = F.col("w"), F.col("rx"), F.col("ry")

@@ -5,39 +5,39 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from newsloom.functions.binding import let
 from newsloom.session import materialize
 
-_PIECE = r"(?U)(\w+)(\W*)"
+_PIECE = r"(?U)\w+\W*"
+_TAIL = r"(?U)\W+$"
 
 
 def _core(alias: Column) -> Column:
     return F.regexp_replace(F.lower(alias), r"(?U)^\W+|\W+$", "")
 
 
-def _ngrams(text: Column, longest: int) -> Column:
-    """Distinct word runs of a text, 1 to ``longest`` words, as spelled but in lower case."""
-    lowered = F.lower(text)
-    split = F.struct(
-        F.regexp_extract_all(lowered, F.lit(_PIECE), F.lit(1)).alias("words"),
-        F.regexp_extract_all(lowered, F.lit(_PIECE), F.lit(0)).alias("pieces"),
-    )
+def _runs(texts: DataFrame, key: str, text: str, firsts: DataFrame, longest: int) -> DataFrame:
+    """Word runs of up to ``longest`` words that start with a word some alias starts with.
 
-    def runs_of(n: int, s: Column) -> Column:
-        # The pieces before the last word, separators included, and that word.
-        count = F.size(s["words"])
-        starts = F.slice(F.sequence(F.lit(0), count), F.lit(2), F.greatest(count - n + 1, F.lit(0)))
-        return F.transform(
-            starts,
-            lambda i: F.concat(
-                F.array_join(F.slice(s["pieces"], i, F.lit(n - 1)), ""), F.get(s["words"], i + n - 2)
-            ),
-        )
-
-    return let(
-        split,
-        lambda s: F.array_distinct(F.concat(s["words"], *[runs_of(n, s) for n in range(2, longest + 1)])),
+    A piece is a word with what separates it from the next one, so a run is spelled exactly as in
+    the text. Each position is exploded beside its next pieces; only positions whose word begins
+    an alias are kept before any run is put together.
+    """
+    pieces = F.regexp_extract_all(F.lower(text), F.lit(_PIECE), F.lit(0))
+    ahead = [
+        F.slice(F.col("_pieces"), F.lit(n), F.greatest(F.size("_pieces") - n + 1, F.lit(0))).alias(f"p{n}")
+        for n in range(1, longest + 1)
+    ]
+    placed = (
+        texts.select(key, pieces.alias("_pieces"))
+        .select(key, F.inline(F.arrays_zip(*ahead)))
+        .withColumn("first", F.regexp_replace("p1", _TAIL, ""))
+        .join(firsts, "first", "left_semi")
     )
+    runs = [F.col("first")]
+    for n in range(2, longest + 1):
+        head = [F.col(f"p{i}") for i in range(1, n)]
+        runs.append(F.concat(*head, F.regexp_replace(f"p{n}", _TAIL, "")))
+    return placed.select(key, F.explode(F.array(*runs)).alias("core")).filter("core IS NOT NULL")
 
 
 def mentions(texts: DataFrame, aliases: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -50,11 +50,11 @@ def mentions(texts: DataFrame, aliases: DataFrame, key: str = "doc_id", text: st
     alias. The boundary test is run only for aliases that begin or end with a non-word character.
     """
     known = aliases.select("entity_id", "alias", _core(F.col("alias")).alias("core")).filter("core <> ''")
-    known = known.withColumn("_edge", F.lower("alias") != F.col("core"))
+    known = materialize(known.withColumn("_edge", F.lower("alias") != F.col("core")), "aliases")
     width = F.size(F.regexp_extract_all("core", F.lit(r"(?U)\w+"), F.lit(0)))
     longest, edges = known.agg(F.max(width), F.max(F.col("_edge").cast("int"))).first()
-    runs = texts.select(key, F.explode(_ngrams(F.col(text), longest or 1)).alias("core"))
-    hits = runs.join(known, "core")
+    firsts = known.select(F.regexp_extract("core", r"(?U)^\w+", 0).alias("first")).distinct()
+    hits = _runs(texts, key, text, firsts, longest or 1).join(known, "core")
     if edges:
         boundary = F.concat(
             F.lit(r"(?iU)(?<!\w)\Q"), F.replace("alias", F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E(?!\w)")
@@ -62,6 +62,7 @@ def mentions(texts: DataFrame, aliases: DataFrame, key: str = "doc_id", text: st
         plain = hits.filter(~F.col("_edge"))
         checked = (
             hits.filter("_edge")
+            .distinct()
             .join(texts.select(key, F.col(text).alias("_text")), key)
             .filter(F.rlike("_text", boundary))
             .drop("_text")
@@ -131,7 +132,7 @@ def ownership_statements(entities: DataFrame) -> DataFrame:
         ownership_chains(entities)
         .join(owners, "owner")
         .groupBy("entity_id")
-        .agg(F.array_sort(F.collect_list(line)).alias("_parts"))
+        .agg(F.sort_array(F.collect_list(line)).alias("_parts"))
     )
     statement = F.array_join(F.transform("_parts", lambda p: p["part"]), " — ")
     return told.join(entities.select("entity_id", "name", "ticker"), "entity_id").select(

@@ -83,7 +83,7 @@ def highlights(items: DataFrame, groups: list[str], position: str = "position",
     lead = items.filter(F.col(position) <= top)
     titles = lead.groupBy(*groups).agg(
         F.transform(
-            F.array_sort(F.collect_list(F.struct(F.col(position).alias("p"), F.col("title").alias("t")))),
+            F.sort_array(F.collect_list(F.struct(F.col(position).alias("p"), F.col("title").alias("t")))),
             lambda s: s["t"],
         ).alias("titles")
     )
@@ -93,7 +93,7 @@ def highlights(items: DataFrame, groups: list[str], position: str = "position",
         .groupBy(*groups, area.alias("area"))
         .agg(F.count("*").alias("n"), F.min(position).alias("p"))
     )
-    listed = F.transform(F.array_sort(F.collect_list(F.struct("p", "area"))), lambda s: s["area"])
+    listed = F.transform(F.sort_array(F.collect_list(F.struct("p", "area"))), lambda s: s["area"])
     plus = rest.groupBy(*groups).agg(
         F.sum("n").alias("n_more"), F.array_join(F.slice(listed, 1, 3), ", ").alias("areas")
     )

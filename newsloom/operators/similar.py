@@ -28,7 +28,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from newsloom.functions.text import with_word_set
+from newsloom.functions.text import may_fold, with_word_set, word_set
 from newsloom.session import materialize
 
 SIMILARITY_THRESHOLD = 0.40
@@ -40,7 +40,7 @@ class BlockBudget:
     """Bounds on the work of one block; they change the number of blocks, never the result."""
 
     pairs_per_set: int = 200  # candidates allowed per undecided set
-    floor: int = 2_000  # a block of this many sets is always taken
+    floor: int = 10_000  # a block of this many sets is always taken
     salt_rows: int = 200_000  # rows of one word that one task may get
 
 
@@ -121,46 +121,45 @@ def _decide(block: DataFrame, edges: DataFrame) -> DataFrame:
         "collapse-status",
     )
     while status.filter("status = 0").limit(1).count():
-        early = status.select(F.col("rep").alias("early"), F.col("status").alias("_s"))
-        news = (
-            edges.join(early, "early")
-            .groupBy(F.col("late").alias("rep"))
-            .agg(F.max((F.col("_s") == 1).cast("int")).alias("_k"), F.max((F.col("_s") == 0).cast("int")).alias("_u"))
-        )
-        status = materialize(
-            status.join(news, "rep", "left").select(
-                "rep",
-                F.when(F.col("status") != 0, F.col("status"))
-                .when(F.col("_k") == 1, 2)
-                .when(F.col("_u") == 1, 0)
-                .otherwise(1)
-                .alias("status"),
-            ),
-            "collapse-status",
-        )
+        # Two rounds to a job: the second reads the first inside one plan.
+        status = materialize(_round(_round(status, edges), edges), "collapse-status")
     return status
 
 
-def _block_end(rest: DataFrame, threshold: float, budget: BlockBudget):
-    """The last order value of the next block."""
-    total, low, high = rest.agg(F.count("*"), F.min("rep"), F.max("rep")).first()
-    if not total:
-        return None
+def _round(status: DataFrame, edges: DataFrame) -> DataFrame:
+    early = status.select(F.col("rep").alias("early"), F.col("status").alias("_s"))
+    news = (
+        edges.join(early, "early")
+        .groupBy(F.col("late").alias("rep"))
+        .agg(F.max((F.col("_s") == 1).cast("int")).alias("_k"), F.max((F.col("_s") == 0).cast("int")).alias("_u"))
+    )
+    return status.join(news, "rep", "left").select(
+        "rep",
+        F.when(F.col("status") != 0, F.col("status"))
+        .when(F.col("_k") == 1, 2)
+        .when(F.col("_u") == 1, 0)
+        .otherwise(1)
+        .alias("status"),
+    )
+
+
+def _block_end(rest: DataFrame, threshold: float, budget: BlockBudget) -> tuple[int | None, bool]:
+    """The last order value of the next block, and whether the block takes all that is left."""
+    total, high = rest.agg(F.count("*"), F.max("rep")).first()
     if total <= budget.floor:
-        return high
-    shares = []
-    share = 1.0
-    while share * total > budget.floor:
-        shares.append(share)
-        share /= 4
+        return high, True
+    shares = [1.0]
+    while shares[-1] / 4 * total > budget.floor:
+        shares.append(shares[-1] / 4)
     shares.append(budget.floor / total)
     cuts = rest.select(F.percentile_approx("rep", shares, 100_000)).first()[0]
-    prefix = _exploded(rest, "s", threshold, True)
-    full = _exploded(rest, "s", threshold, False)
+    cuts[0] = high
     counted = None
-    for side, name in ((prefix, "p"), (full, "a")):
-        per_token = side.groupBy("token").agg(
-            *[F.count_if(F.col("s_rep") <= c).alias(f"{name}{i}") for i, c in enumerate(cuts)]
+    for smaller, name in ((True, "p"), (False, "a")):
+        per_token = (
+            _exploded(rest, "s", threshold, smaller)
+            .groupBy("token")
+            .agg(*[F.count_if(F.col("s_rep") <= c).alias(f"{name}{i}") for i, c in enumerate(cuts)])
         )
         counted = per_token if counted is None else counted.join(per_token, "token")
     costs = counted.agg(
@@ -168,8 +167,8 @@ def _block_end(rest: DataFrame, threshold: float, budget: BlockBudget):
     ).first()
     for cut, cost in zip(cuts, costs):
         if (cost or 0) <= budget.pairs_per_set * total:
-            return cut
-    return cuts[-1]
+            return cut, cut == high
+    return cuts[-1], cuts[-1] == high
 
 
 def collapse_sets(sets: DataFrame, threshold: float, budget: BlockBudget) -> DataFrame:
@@ -178,12 +177,13 @@ def collapse_sets(sets: DataFrame, threshold: float, budget: BlockBudget) -> Dat
     Returns rep, leader: null for a kept set.
     """
     rest = materialize(sets, "collapse-sets")
-    out = None
-    while True:
-        end = _block_end(rest, threshold, budget)
+    out = rest.limit(0).select("rep", F.lit(None).cast("bigint").alias("leader"))
+    last = False
+    while not last:
+        end, last = _block_end(rest, threshold, budget)
         if end is None:
             break
-        block, after = rest.filter(F.col("rep") <= end), rest.filter(F.col("rep") > end)
+        block = rest if last else rest.filter(F.col("rep") <= end)
         edges = materialize(_edges_within(block, threshold, budget), "collapse-edges")
         status = _decide(block, edges)
         kept = status.filter("status = 1").select("rep")
@@ -192,8 +192,10 @@ def collapse_sets(sets: DataFrame, threshold: float, budget: BlockBudget) -> Dat
             .groupBy(F.col("late").alias("rep"))
             .agg(F.min("early").alias("leader"))
         )
-        decided = status.join(inside, "rep", "left").select("rep", "leader")
-        out = decided if out is None else out.union(decided)
+        out = out.union(status.join(inside, "rep", "left").select("rep", "leader"))
+        if last:
+            break
+        after = rest.filter(F.col("rep") > end)
         removed = materialize(
             _edges_between(block.join(kept, "rep"), after, threshold, budget)
             .groupBy(F.col("late").alias("rep"))
@@ -202,9 +204,7 @@ def collapse_sets(sets: DataFrame, threshold: float, budget: BlockBudget) -> Dat
         )
         out = out.union(removed)
         rest = materialize(after.join(removed, "rep", "left_anti"), "collapse-rest")
-    if out is None:
-        out = rest.select("rep", F.lit(None).cast("bigint").alias("leader"))
-    return materialize(out, "collapse-decided")
+    return out
 
 
 def word_sets(tokens: DataFrame) -> DataFrame:
@@ -218,8 +218,27 @@ def word_sets(tokens: DataFrame) -> DataFrame:
     return (
         exploded.join(counts, "token")
         .groupBy("rep")
-        .agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("words"))
+        .agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("words"))
+    )
+
+
+def _fingerprints(items: DataFrame, position: str, title: str) -> DataFrame:
+    """position, tokens. Titles that need Unicode folding are set aside first, so that the input is
+    read once and Python runs only if there are any."""
+    text = F.col(title)
+    staged = materialize(
+        items.select(
+            F.col(position).alias("position"),
+            F.when(~may_fold(text), word_set(text)).alias("tokens"),
+            F.when(may_fold(text), text).alias("_pending"),
+        ),
+        "collapse-titles",
     )
+    plain = staged.filter("_pending IS NULL").select("position", "tokens")
+    pending = staged.filter("_pending IS NOT NULL")
+    if not pending.limit(1).count():
+        return plain
+    return plain.unionByName(with_word_set(pending.drop("tokens"), "_pending").select("position", "tokens"))
 
 
 def collapse_similar(
@@ -233,8 +252,7 @@ def collapse_similar(
 
     ``position`` is a unique BIGINT giving the order of visits.
     """
-    tokens = with_word_set(items.select(F.col(position).alias("position"), F.col(title).alias("_t")), "_t")
-    tokens = materialize(tokens.select("position", "tokens"), "collapse-tokens")
+    tokens = _fingerprints(items, position, title)
     decided = collapse_sets(word_sets(tokens), threshold, budget)
     firsts = (
         tokens.filter(F.size("tokens") >= MIN_WORDS)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from newsloom.operators.aggregates import spearman
 from newsloom.schema import BUCKETS, KEEP_BUCKETS, RELEVANCE_THRESHOLD, ordinal
+from newsloom.session import materialize
 
 PRECISION_DEPTHS = (10, 20)
 
@@ -72,6 +73,7 @@ def agreement(rows: DataFrame) -> DataFrame:
 
 def report(rows: DataFrame, threshold: float = RELEVANCE_THRESHOLD) -> DataFrame:
     """All metrics as (metric, value) rows. ``rows``: uid, seq, source_id, bucket, relevance."""
+    rows = materialize(rows.select("uid", "seq", "source_id", "bucket", "relevance"), "labelled")
     counts = outcome_counts(rows, threshold).select(
         F.concat(F.lit("n_"), "outcome").alias("metric"), F.col("n").cast("double").alias("value")
     )

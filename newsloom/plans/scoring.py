@@ -34,7 +34,7 @@ def payload(items: DataFrame, entities: DataFrame | None = None) -> DataFrame:
         return base
     lines = entities.groupBy("uid").agg(
         F.transform(
-            F.array_sort(F.collect_list(F.struct("mention_rank", "statement"))), lambda s: s["statement"]
+            F.sort_array(F.collect_list(F.struct("mention_rank", "statement"))), lambda s: s["statement"]
         ).alias("entities")
     )
     return base.join(lines, "uid", "left")

@@ -59,3 +59,14 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     path = scratch_path(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame, few: int = 16) -> DataFrame:
+    """Share a table of only a few splits among all cores before heavy per-row work.
+
+    A small file with one row group would keep one core busy. Tables with more than ``few``
+    splits, or enough for every core, are left as they are, so large inputs are never shuffled.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    splits = df.rdd.getNumPartitions()
+    return df.repartition(cores) if splits < min(cores, few + 1) else df

@@ -202,7 +202,7 @@ def inflate_index(index: Column) -> Column:
             lambda z: z["b"].isNull() | (z["b"]["p"] != z["a"]["p"]),
         )
 
-    last = let(F.array_sort(claims), last_claims)
+    last = let(F.sort_array(claims), last_claims)
     return F.nullif(F.array_join(F.transform(last, lambda z: z["a"]["w"]), " "), F.lit(""))
 
 

@@ -9,7 +9,7 @@ from newsloom.operators import gates, joins
 from newsloom.plans import evaluation as ev
 from newsloom.schema import CATEGORIES, category_ordinal
 from suite.registry import query
-from suite.tables import ITEMS, ITEMS_UID, LEDGER, REGISTRY, UNIQUE, identified, items, registry, score_ledger, table, unique_items
+from suite.tables import ITEMS, ITEMS_UID, LEDGER, LEDGER_COLUMNS, REGISTRY, UNIQUE, identified, items, registry, score_ledger, table, unique_items
 
 
 @query(
@@ -46,7 +46,7 @@ def _outlets(spark, sf):
     # Outlets are grouped first, so the list only ever sees one row per outlet.
     names = items(spark, sf).select("source_name").distinct()
     return names.agg(
-        F.array_join(F.array_sort(F.collect_list("source_name")), "; ").alias("outlets"), F.count("*").alias("n")
+        F.array_join(F.sort_array(F.collect_list("source_name")), "; ").alias("outlets"), F.count("*").alias("n")
     )
 
 
@@ -99,7 +99,7 @@ def _senders(spark, sf):
     FROM req q FULL JOIN ret r ON q.batch_id = r.batch_id AND q.uid = r.uid GROUP BY 1""",
 )
 def _batches(spark, sf):
-    rows = unique_items(spark, sf)
+    rows = unique_items(spark, sf, "source_id", "lang", "category", "relevance")
     asked = rows.select(F.col("source_id").alias("batch_id"), "uid")
     good = rows.filter((F.col("lang") != "de") & F.col("category").isNotNull()).select(F.col("source_id").alias("batch_id"), "uid")
     invented = rows.filter("lang = 'es'").select(
@@ -150,9 +150,10 @@ def _usage(spark, sf):
 
 
 def labelled(spark, sf):
-    rows = unique_items(spark, sf)
+    # Labels, ledger and items come from one base, so that their common shuffle is run once.
+    rows = unique_items(spark, sf, "bucket", "title", "source_id", *LEDGER_COLUMNS)
     labels = rows.filter("bucket IS NOT NULL").select("uid", "bucket")
-    return joins.labelled_scores(labels, joins.score_version(score_ledger(spark, sf), "p1", "m"), rows)
+    return joins.labelled_scores(labels, joins.score_version(score_ledger(spark, sf, rows), "p1", "m"), rows)
 
 
 LABELLED = f"""{LEDGER}, v AS (SELECT uid, relevance FROM ledger WHERE prompt_hash = 'p1'),

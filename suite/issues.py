@@ -48,7 +48,7 @@ def word_count_scorer(batch):
     UNION ALL SELECT uid, NULL, NULL, 'omitted' FROM n WHERE d OR n > 180""",
 )
 def _score(spark, sf):
-    scored = scoring.score(scoring.payload(unique_items(spark, sf)), word_count_scorer)
+    scored = scoring.score(scoring.payload(unique_items(spark, sf, "source_name", "title", "raw_text")), word_count_scorer)
     return scored.select("uid", "relevance", "category", "outcome")
 
 
@@ -57,7 +57,7 @@ def _score(spark, sf):
     f"""WITH {UNIQUE} SELECT uid, length(title) % 100 / 100 AS relevance FROM uniq WHERE NOT regexp_matches(title, '[0-9]') AND length(title) <= 180""",
 )
 def _valid(spark, sf):
-    scored = scoring.score(scoring.payload(unique_items(spark, sf)), word_count_scorer)
+    scored = scoring.score(scoring.payload(unique_items(spark, sf, "source_name", "title", "raw_text")), word_count_scorer)
     return scoring.valid_verdicts(scored).select("uid", "relevance")
 
 
@@ -93,6 +93,9 @@ def _build(spark, sf):
     rows = with_uid(video_titles(spark, sf)).withColumn(
         "video_id", F.when(F.col("category") != "Industry & Products", F.concat(F.lit("v"), "uid"))
     )
+    rows = rows.select(
+        "seq", "uid", "source_id", "source_name", "title", "category", "video_id", "published_at", "bucket", "lang"
+    )
     edge = gates.newest(rows) - F.expr("INTERVAL 7 DAYS")
     seen = rows.filter(F.col("published_at") < edge)
     rules = iss.IssueRules()

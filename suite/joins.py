@@ -13,6 +13,7 @@ from suite.tables import (
     ENTITIES,
     ITEMS_UID,
     LEDGER,
+    LEDGER_COLUMNS,
     REGISTRY,
     UNIQUE,
     entities,
@@ -85,7 +86,7 @@ def community(spark, sf):
 )
 def _apply(spark, sf):
     scores = joins.score_version(score_ledger(spark, sf), "p2", "m")
-    out = joins.apply_scores(unique_items(spark, sf), scores, community(spark, sf))
+    out = joins.apply_scores(unique_items(spark, sf, "source_id"), scores, community(spark, sf))
     return out.select("seq", "category", "relevance", "gist")
 
 
@@ -97,7 +98,9 @@ def _apply(spark, sf):
 )
 def _apply_all(spark, sf):
     scores = joins.score_version(score_ledger(spark, sf), "p2", "m")
-    out = joins.apply_scores(unique_items(spark, sf), scores, community(spark, sf), keep_unscored=True)
+    out = joins.apply_scores(
+        unique_items(spark, sf, "source_id", "category"), scores, community(spark, sf), keep_unscored=True
+    )
     return out.select("seq", "category", "relevance", "gist")
 
 
@@ -107,7 +110,7 @@ def _apply_all(spark, sf):
 )
 def _community(spark, sf):
     flags = community(spark, sf).distinct().withColumn("c", F.lit(True))
-    return unique_items(spark, sf).join(flags, "source_id", "left").select(
+    return unique_items(spark, sf, "source_id", "category").join(flags, "source_id", "left").select(
         "seq", F.when(F.col("c"), "Community").otherwise(F.col("category")).alias("category")
     )
 
@@ -144,9 +147,9 @@ def _lookup(spark, sf):
     SELECT u.seq, u.uid, u.source_id, u.bucket, v.relevance FROM uniq u LEFT JOIN v ON v.uid = u.uid WHERE u.bucket IS NOT NULL""",
 )
 def _labels(spark, sf):
-    rows = unique_items(spark, sf)
+    rows = unique_items(spark, sf, "bucket", "title", "source_id", *LEDGER_COLUMNS)
     labels = rows.filter("bucket IS NOT NULL").select("uid", "bucket")
-    scores = joins.score_version(score_ledger(spark, sf), "p1", "m")
+    scores = joins.score_version(score_ledger(spark, sf, rows), "p1", "m")
     return joins.labelled_scores(labels, scores, rows).select("seq", "uid", "source_id", "bucket", "relevance")
 
 
@@ -156,7 +159,7 @@ def _labels(spark, sf):
     AND NOT EXISTS (SELECT 1 FROM ledger l WHERE l.uid = u.uid AND l.prompt_hash = 'p1')""",
 )
 def _missing(spark, sf):
-    labels = unique_items(spark, sf).filter("bucket IS NOT NULL").select("uid", "bucket")
+    labels = unique_items(spark, sf, "bucket").filter("bucket IS NOT NULL").select("uid", "bucket")
     return joins.missing_verdicts(labels, joins.score_version(score_ledger(spark, sf), "p1", "m"))
 
 
@@ -198,7 +201,7 @@ def _orphans(spark, sf):
       WHEN published_at < (SELECT max(published_at) - INTERVAL 7 DAY FROM uniq) THEN 'labelled but not in the item set' END AS problem FROM raw""",
 )
 def _load(spark, sf):
-    rows = unique_items(spark, sf)
+    rows = unique_items(spark, sf, "bucket", "lang")
     spelled = (
         F.when(F.col("lang") == "es", F.concat(F.lit(" "), F.upper("bucket"), F.lit(" ")))
         .when(F.col("lang") == "fr", F.concat("bucket", F.lit("?")))
@@ -237,7 +240,7 @@ SEEN = ["uid", "seq", "source_id", "title", "url", "published_at", "category"]
 )
 def _seen_read(spark, sf):
     path = scratch_path(spark, "seen")
-    ledgers.append_new(unique_items(spark, sf).select(SEEN), path, "run-1")
+    ledgers.append_new(unique_items(spark, sf, *SEEN).select(SEEN), path, "run-1")
     return spark.read.schema("uid string, seq long, source_id string, title string, url string, "
                              "published_at timestamp_ntz, category string").parquet(path).select(SEEN)
 
@@ -266,7 +269,7 @@ def _upsert(spark, sf):
     path = scratch_path(spark, "scores")
     ledger = score_ledger(spark, sf)
     ledgers.upsert_scores(ledger, path)
-    french = unique_items(spark, sf).filter("lang = 'fr'").select("uid")
+    french = unique_items(spark, sf, "lang").filter("lang = 'fr'").select("uid")
     again = (
         joins.score_version(ledger, "p1", "m")
         .join(french, "uid", "left_semi")
@@ -300,7 +303,7 @@ def _publish(spark, sf):
 )
 def _archive(spark, sf):
     path = scratch_path(spark, "archive")
-    rows = unique_items(spark, sf)
+    rows = unique_items(spark, sf, "source_name", "relevance")
 
     def entries(df):
         return df.groupBy(F.col("published_at").cast("date").alias("issue_date")).agg(
@@ -320,7 +323,7 @@ def _archive(spark, sf):
 )
 def _replace(spark, sf):
     day = F.col("published_at").cast("date").alias("issue_date")
-    rows = unique_items(spark, sf)
+    rows = unique_items(spark, sf, "relevance")
     old = rows.groupBy(day).agg(F.count("*").alias("items"))
     new = rows.filter("relevance >= 0.95").groupBy(day).agg(F.count("*").alias("items"))
     return ledgers.replace_dates(old, new)
@@ -345,7 +348,7 @@ def _quarantine(spark, sf):
     UNION ALL SELECT uid, 1, title FROM uniq WHERE category IS NOT NULL AND is_promo = 0 AND relevance >= 0.45 AND bucket IS DISTINCT FROM 'lead'""",
 )
 def _picks_first(spark, sf):
-    rows = unique_items(spark, sf)
+    rows = unique_items(spark, sf, "bucket", "title", "relevance", "category", "is_promo")
     picks = rows.filter("bucket = 'lead'").select("uid", "title", F.lit(0).alias("priority"))
     rest = rows.filter(gates.publishable() & ~F.col("bucket").eqNullSafe("lead")).select("uid", "title", "relevance")
     return (

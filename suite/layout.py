@@ -17,7 +17,10 @@ def issue_items(spark, sf):
     """Publishable unique items by issue week; some are videos, some of those hand-picked."""
     from suite.filters import video_titles
 
-    rows = dedupe_newest(with_uid(video_titles(spark, sf))).filter(gates.publishable())
+    rows = with_uid(video_titles(spark, sf)).select(
+        "seq", "uid", "source_id", "source_name", "title", "category", "relevance", "is_promo", "published_at", "bucket"
+    )
+    rows = dedupe_newest(rows).filter(gates.publishable())
     return rows.select(
         "seq", "uid", "source_id", "source_name", "title", "category", "relevance", "published_at",
         F.date_trunc("week", "published_at").cast("date").alias("issue_date"),
@@ -132,7 +135,7 @@ def _sections(spark, sf):
 def _top(spark, sf):
     from suite.tables import unique_items
 
-    rows = unique_items(spark, sf).filter("category IS NOT NULL").select("seq", "uid", "relevance")
+    rows = unique_items(spark, sf, "category", "relevance").filter("category IS NOT NULL").select("seq", "uid", "relevance")
     return rows.orderBy(F.col("relevance").desc(), "seq").limit(20)
 
 

@@ -12,10 +12,12 @@ from pyspark.sql import functions as F
 from newsloom.functions.urls import canonical_url, item_uid
 from newsloom.operators.aggregates import dedupe_newest
 from newsloom.schema import BEATS, SOURCE_TYPES, literal_array
+from newsloom.session import spread
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+    df = spark.read.parquet(f"{sf}/{name}.parquet")
+    return spread(df) if name in ("documents", "pages") else df
 
 
 def items(spark: SparkSession, sf: str) -> DataFrame:
@@ -155,28 +157,33 @@ def identified(spark: SparkSession, sf: str) -> DataFrame:
     return with_uid(items(spark, sf))
 
 
-def unique_items(spark: SparkSession, sf: str) -> DataFrame:
-    return dedupe_newest(identified(spark, sf))
+def unique_items(spark: SparkSession, sf: str, *columns: str) -> DataFrame:
+    """Newest copy per uid, with uid, seq, published_at and the named columns.
+
+    Columns are cut before the copies meet, so texts are shuffled only for queries that use them.
+    """
+    wanted = ["uid", "seq", "published_at", *[c for c in columns if c not in ("uid", "seq", "published_at")]]
+    rows = with_uid(items(spark, sf).withColumn("gist", second_sentence(F.col("raw_text"))).withColumn("n", F.length("raw_text")))
+    return dedupe_newest(rows.select(wanted))
 
 
 def second_sentence(text: Column) -> Column:
     return F.trim(F.split_part(text, F.lit("."), F.lit(2)))
 
 
-def score_ledger(spark: SparkSession, sf: str) -> DataFrame:
+LEDGER_COLUMNS = ["lang", "relevance", "category", "is_promo", "gist", "n", "beat"]
+
+
+def score_ledger(spark: SparkSession, sf: str, base: DataFrame | None = None) -> DataFrame:
     """Verdicts of two scoring prompts. Prompt p1 never judged German items, p2 no Spanish ones."""
-    base = unique_items(spark, sf).select(
-        "uid", "seq", "lang", "relevance", "category", "is_promo",
-        second_sentence(F.col("raw_text")).alias("gist"),
-        F.length("raw_text").alias("_n"), "beat", "published_at",
-    )
+    base = unique_items(spark, sf, *LEDGER_COLUMNS) if base is None else base
     p1 = base.filter("lang <> 'de'").select(
         "uid", F.lit("p1").alias("prompt_hash"), F.lit("m").alias("model"), "relevance", "category",
         "is_promo", "gist", "beat", F.col("published_at").alias("scored_at"), "seq",
     )
     p2 = base.filter("lang <> 'es'").select(
         "uid", F.lit("p2").alias("prompt_hash"), F.lit("m").alias("model"),
-        F.least(F.round(F.col("_n") / 5000, 3), F.lit(1.0)).alias("relevance"), "category",
+        F.least(F.round(F.col("n") / 5000, 3), F.lit(1.0)).alias("relevance"), "category",
         "is_promo", "gist", "beat", F.col("published_at").alias("scored_at"), "seq",
     )
     return p1.unionByName(p2)
