@@ -39,8 +39,8 @@ MIN_WORDS = 3
 class BlockBudget:
     """Bounds on the work of one block; they change the number of blocks, never the result."""
 
-    pairs_per_set: int = 200  # candidates allowed per undecided set
-    floor: int = 10_000  # a block of this many sets is always taken
+    pairs_per_set: int = 50  # candidates allowed per undecided set
+    floor: int = 2_000  # a block of this many sets is always taken
     salt_rows: int = 200_000  # rows of one word that one task may get
 
 

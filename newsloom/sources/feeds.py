@@ -206,6 +206,28 @@ def inflate_index(index: Column) -> Column:
     return F.nullif(F.array_join(F.transform(last, lambda z: z["a"]["w"]), " "), F.lit(""))
 
 
+def body_problems(landing: DataFrame, kind: str) -> DataFrame:
+    """Bodies that give no entries at all, and why. ``kind``: rss, atom, playlist or works.
+
+    An API that reports an error answers with valid JSON and no results, which is not the same as
+    a quiet week.
+    """
+    body = F.col("body")
+    if kind in ("rss", "atom"):
+        shape, inside = (_RSS, "channel") if kind == "rss" else (_ATOM, "entry")
+        parsed = F.from_xml("body", shape.strip(), {"mode": "PERMISSIVE"})
+        problem = F.when(parsed[inside].isNull(), "unparseable feed")
+    else:
+        field = "items" if kind == "playlist" else "results"
+        parsed = F.try_parse_json(body)
+        problem = (
+            F.when(parsed.isNull(), "not JSON")
+            .when(F.get_json_object(body, "$.error").isNotNull(), "API error")
+            .when(F.get_json_object(body, f"$.{field}").isNull(), "no result list")
+        )
+    return landing.withColumn("problem", problem).filter("problem IS NOT NULL")
+
+
 def accepted(parsed: DataFrame) -> DataFrame:
     return parsed.filter(F.col("reject_reason").isNull()).drop("reject_reason")
 

@@ -41,13 +41,10 @@ def _volume_events(spark, sf):
     return ag.volume_report(rows, "event_type", "ts", gates.newest(rows, "ts"))
 
 
-@query("outlets_sorted", f"WITH {ITEMS} SELECT array_to_string(list_sort(list(DISTINCT source_name)), '; ') AS outlets, count(DISTINCT source_name) AS n FROM items_raw")
+@query("outlets_sorted", f"WITH {ITEMS} SELECT source_name, count(*) AS n FROM items_raw GROUP BY 1")
 def _outlets(spark, sf):
-    # Outlets are grouped first, so the list only ever sees one row per outlet.
-    names = items(spark, sf).select("source_name").distinct()
-    return names.agg(
-        F.array_join(F.sort_array(F.collect_list("source_name")), "; ").alias("outlets"), F.count("*").alias("n")
-    )
+    # One row per outlet in name order; a single list would meet in one task.
+    return items(spark, sf).groupBy("source_name").agg(F.count("*").alias("n")).orderBy("source_name")
 
 
 _ORDER = "CASE category " + " ".join(f"WHEN '{c}' THEN {i + 1}" for i, c in enumerate(CATEGORIES)) + " ELSE 7 END"

@@ -151,3 +151,12 @@ def test_labels_with_drift(spark):
     known = spark.createDataFrame([("a",), ("b",)], "uid string")
     got = {r["uid"]: (r["bucket"], r["problem"]) for r in forms.load_labels(raw, known).collect()}
     assert got == {"a": ("lead", None), "b": ("maybe", "unknown bucket"), "z": ("drop", "labelled but not in the item set")}
+
+
+def test_body_problems(spark):
+    bodies = ["{", '{"error": {"code": 403}}', '{"items": []}', "[1]", RSS, "<rss><channel><item>"]
+    rows = spark.createDataFrame([(str(i), b) for i, b in enumerate(bodies)], "source_id string, body string")
+    got = {r["source_id"]: r["problem"] for r in feeds.body_problems(rows, "playlist").collect()}
+    assert got == {"0": "not JSON", "1": "API error", "3": "no result list", "4": "not JSON", "5": "not JSON"}
+    assert {r["source_id"] for r in feeds.body_problems(rows, "rss").collect()} == {"0", "1", "2", "3", "5"}
+    assert "4" in {r["source_id"] for r in feeds.body_problems(rows, "atom").collect()}
