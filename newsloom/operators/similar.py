@@ -278,5 +278,6 @@ def merge_counts(decided: DataFrame, position: str = "seq") -> DataFrame:
 
 def kept_with_counts(items: DataFrame, decided: DataFrame, position: str = "seq") -> DataFrame:
     """The kept items with their merge count (null where nothing merged)."""
+    decided = materialize(decided, "collapse-decided")
     kept = decided.filter(F.col("leader").isNull()).select(position)
     return items.join(kept, position).join(merge_counts(decided, position), position, "left")

@@ -20,6 +20,7 @@ from newsloom.operators.ranking import (
 )
 from newsloom.operators.similar import SIMILARITY_THRESHOLD, BlockBudget, collapse_similar, kept_with_counts
 from newsloom.schema import RECENCY_DAYS, RELEVANCE_THRESHOLD
+from newsloom.session import materialize
 
 
 @dataclass(frozen=True)
@@ -53,7 +54,8 @@ def ranked(
     if not rules.collapse:
         return numbered.withColumn("similar", F.lit(None).cast("bigint"))
     decided = collapse_similar(numbered, "position", "title", rules.similarity, rules.budget)
-    return kept_with_counts(numbered, decided, "position")
+    # Layout, resource slot and archive all read the issue, which is small by now.
+    return materialize(kept_with_counts(numbered, decided, "position"), "issue")
 
 
 def lay_out(issue: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from newsloom.functions.text import STOPWORDS, with_word_set
 from newsloom.operators import similar as sm
+from newsloom.session import materialize
 from suite.registry import query
 from suite.tables import ITEMS, items
 
@@ -53,7 +54,7 @@ def _fingerprints(spark, sf):
 def _pairs(spark, sf):
     rows = items(spark, sf).select("seq", "title")
     merged = sm.collapse_similar(rows).filter("leader IS NOT NULL")
-    sets = with_word_set(rows, "title")
+    sets = materialize(with_word_set(rows, "title").select("seq", "tokens"), "word-sets")
     leaders = sets.select(F.col("seq").alias("leader"), F.col("tokens").alias("leader_tokens"))
     return (
         merged.join(sets, "seq").join(leaders, "leader")
