@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from newsloom.session import materialize
+
 
 def read_table(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """The table, or an empty one before its first write."""
@@ -60,15 +62,16 @@ def latest_scores(*ledgers: DataFrame) -> DataFrame:
 def upsert_scores(scores: DataFrame, path: str) -> DataFrame:
     """Merge verdicts into the ledger, rewriting only the prompt versions they belong to.
 
-    The merged rows are written to a staging folder first, since a folder cannot be read and
-    overwritten by one job.
+    The verdicts are written down first: they are read twice here, and a scorer must not be
+    called again. The merged rows are staged too, since a folder cannot be read and overwritten
+    by one job.
     """
-    from newsloom.session import materialize
-
     spark = scores.sparkSession
-    touched = scores.select("prompt_hash").distinct()
-    old = read_table(spark, path, scores.schema).join(touched, "prompt_hash", "left_semi")
-    merged = materialize(latest_scores(old.select(scores.columns), scores), "score-upsert")
+    fresh = materialize(scores, "score-verdicts")
+    old = read_table(spark, path, scores.schema).join(
+        fresh.select("prompt_hash").distinct(), "prompt_hash", "left_semi"
+    )
+    merged = materialize(latest_scores(old.select(scores.columns), fresh), "score-upsert")
     (
         merged.write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
@@ -95,9 +98,9 @@ def record_archive(entries: DataFrame, path: str) -> DataFrame:
 
 
 def split_rejects(rows: DataFrame, reason: Column, good_path: str, reject_path: str) -> tuple[DataFrame, DataFrame]:
-    """Write usable rows and quarantined rows side by side."""
+    """Write usable rows and quarantined rows side by side, parsing the input once."""
     spark = rows.sparkSession
-    tagged = rows.withColumn("reject_reason", reason)
+    tagged = materialize(rows.withColumn("reject_reason", reason), "tagged")
     tagged.filter(F.col("reject_reason").isNull()).drop("reject_reason").write.parquet(good_path)
     tagged.filter(F.col("reject_reason").isNotNull()).write.partitionBy("reject_reason").parquet(reject_path)
     return spark.read.schema(rows.schema).parquet(good_path), spark.read.schema(tagged.schema).parquet(reject_path)

@@ -267,8 +267,8 @@ def _append(spark, sf):
 )
 def _upsert(spark, sf):
     path = scratch_path(spark, "scores")
-    ledger = score_ledger(spark, sf)
-    ledgers.upsert_scores(ledger, path)
+    # The second run rescores French items from what the first one stored.
+    ledger = ledgers.upsert_scores(score_ledger(spark, sf), path)
     french = unique_items(spark, sf, "lang").filter("lang = 'fr'").select("uid")
     again = (
         joins.score_version(ledger, "p1", "m")

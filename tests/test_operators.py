@@ -109,6 +109,33 @@ def test_average_rank_and_positions_match_a_plain_sort(spark):
         assert [(-r["v"], r["id"]) for r in mine] == sorted((-r["v"], r["id"]) for r in mine)
 
 
+@pytest.fixture
+def many_partitions(spark):
+    """Keep small partitions apart, so that offsets between them matter."""
+    key = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(key, "false")
+    yield
+    spark.conf.set(key, "true")
+
+
+def test_positions_and_running_totals_across_partitions(spark, many_partitions):
+    rng = random.Random(4)
+    data = [(i, rng.randint(0, 40), "hot" if i % 3 else f"g{i % 5}") for i in range(900)]
+    rows = spark.createDataFrame(data, "id long, v long, g string").repartition(6)
+    placed = ranking.with_position(rows, ["g"], [F.col("v").desc(), F.col("id")])
+    assert placed.select(F.spark_partition_id()).distinct().count() > 1
+    got = {r["id"]: r["position"] for r in placed.collect()}
+    want = {}
+    for g in {d[2] for d in data}:
+        mine = sorted(((-v, i) for i, v, h in data if h == g))
+        want.update({i: n for n, (_, i) in enumerate(mine, 1)})
+    assert got == want
+    totals = ag.running_total(rows.groupBy("v").agg(F.count("*").alias("n")), "v", "n", "before").collect()
+    assert all(r["before"] == sum(d[1] < r["v"] for d in data) for r in totals)
+    counted = {r["id"]: r["position"] for r in ranking.with_position(rows, [], [F.col("id")]).collect()}
+    assert counted == {i: i + 1 for i in range(900)}
+
+
 def test_apply_scores(spark):
     items = spark.createDataFrame(
         [("a", "s1", "Events"), ("b", "s2", None), ("c", "s1", None), ("d", "s1", "Events"), ("e", "s1", None), ("f", "s1", None)],
