@@ -198,6 +198,15 @@ def mentions_any(text: Column, terms: list[str]) -> Column:
     return F.arrays_overlap(ascii_words(text), literal_array(terms))
 
 
+def two_decimals(score: Column) -> Column:
+    """A score on the two-decimal grid, decided on its binary value, exact ties to even.
+
+    `round` and `bround` go by the shortest decimal spelling instead: they make 0.575 into 0.58,
+    though the stored number is below the half.
+    """
+    return F.format_number(score, 2).cast("double")
+
+
 def contains_any(text: Column, phrases: list[str] = BOILERPLATE) -> Column:
     lowered = F.lower(text)
     found = F.lit(False)

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from newsloom.functions.text import capped_gist
+from newsloom.functions.text import capped_gist, two_decimals
 from newsloom.schema import RELEVANCE_THRESHOLD
 
 
@@ -41,7 +41,7 @@ def apply_scores(
 
     ``items``: uid, source_id, ... ; ``scores``: uid, relevance, category, is_promo, gist, beat;
     ``community_sources``: source_id of outlets that speak for the community, whose section wins
-    over the scored one. Relevance is rounded half-even to two decimals, the ranking grain.
+    over the scored one. Relevance is put on the two-decimal grid, the ranking grain.
     """
     verdict = scores.select(
         "uid",
@@ -72,7 +72,7 @@ def apply_scores(
             .when(F.col("_community"), F.lit("Community"))
             .otherwise(F.col("_category")),
         )
-        .withColumn("relevance", F.bround("relevance", 2))
+        .withColumn("relevance", two_decimals(F.col("relevance")))
         .drop("_scored", "_category", "_community", "_hint")
     )
 

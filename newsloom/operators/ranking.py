@@ -8,7 +8,7 @@ from operator import and_
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from newsloom.functions.text import is_instructional
+from newsloom.functions.text import is_instructional, two_decimals
 from newsloom.schema import UNCATEGORISED, category_ordinal
 from newsloom.session import materialize
 
@@ -53,8 +53,8 @@ def first_n(df: DataFrame, groups: list[str], order: list[Column], n: int, into:
     return df.withColumn(into, F.row_number().over(window)).filter(F.col(into) <= n)
 
 
-def relevance_order(relevance: Column = None, order: str = "seq") -> list[Column]:
-    score = F.bround("relevance", 2) if relevance is None else relevance
+def relevance_order(relevance: Column | None = None, order: str = "seq") -> list[Column]:
+    score = two_decimals(F.col("relevance")) if relevance is None else relevance
     return [score.desc_nulls_last(), F.col(order).asc()]
 
 

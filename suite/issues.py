@@ -68,7 +68,7 @@ cand AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY uid ORDER BY p
   WHERE r = 1 AND uid NOT IN (SELECT uid FROM items, edge WHERE published_at < cut)),
 scored AS (SELECT c.seq, c.uid, c.source_name, {VIDEO_TITLE.replace('category', 'c.category').replace('title', 'c.title')} AS title,
     CASE WHEN m.source_id IS NOT NULL THEN 'Community' ELSE l.category END AS category,
-    CASE WHEN (l.relevance * 100) - floor(l.relevance * 100) = 0.5 AND floor(l.relevance * 100) % 2 = 0 THEN floor(l.relevance * 100) / 100 ELSE round(l.relevance, 2) END AS relevance,
+    CAST(format('{{:.2f}}', l.relevance) AS DOUBLE) AS relevance,
     false AS is_pick, CASE WHEN l.category <> 'Industry & Products' THEN 'v' || c.uid END AS video_id
   FROM cand c JOIN ledger l ON l.uid = c.uid AND l.prompt_hash = 'p1' LEFT JOIN ({COMMUNITY}) m ON m.source_id = c.source_id
   WHERE l.category IS NOT NULL AND l.is_promo = 0 AND l.relevance >= 0.45),

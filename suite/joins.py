@@ -66,9 +66,7 @@ COMMUNITY = "SELECT DISTINCT source_id FROM registry WHERE community OR type IN
 _GIST = r"""regexp_replace(l.gist, '^\s+|\s+$', '', 'g')"""
 APPLIED = f"""applied AS (
   SELECT u.seq, u.uid, CASE WHEN c.source_id IS NOT NULL THEN 'Community' ELSE l.category END AS category,
-    CASE WHEN round(l.relevance * 100) % 2 = 1 AND abs(l.relevance * 1000 - round(l.relevance * 1000)) < 1e-9
-              AND CAST(round(l.relevance * 1000) AS BIGINT) % 10 = 5 AND floor(l.relevance * 100) % 2 = 0
-         THEN floor(l.relevance * 100) / 100 ELSE round(l.relevance, 2) END AS relevance,
+    CAST(format('{{:.2f}}', l.relevance) AS DOUBLE) AS relevance,
     CASE WHEN {_GIST} <> '' AND len(string_split_regex({_GIST}, '\\s+')) <= 40 THEN {_GIST} END AS gist
   FROM uniq u JOIN ledger l ON l.uid = u.uid AND l.prompt_hash = 'p2'
   LEFT JOIN ({COMMUNITY}) c ON c.source_id = u.source_id

@@ -35,7 +35,7 @@ iss AS (SELECT seq, uid, source_id, source_name, {VIDEO_TITLE} AS title, categor
   CASE WHEN category <> 'Industry & Products' THEN 'v' || uid END AS video_id, bucket IS NOT DISTINCT FROM 'lead' AS is_pick,
   CASE category WHEN 'Community' THEN 1 WHEN 'Industry & Products' THEN 2 WHEN 'Husbandry & Science' THEN 3 WHEN 'Livestock & Corals' THEN 4
        WHEN 'Wild Reefs' THEN 5 WHEN 'Events' THEN 6 ELSE 7 END AS section_order,
-  CASE WHEN (relevance * 100) - floor(relevance * 100) = 0.5 AND floor(relevance * 100) % 2 = 0 THEN floor(relevance * 100) / 100 ELSE round(relevance, 2) END AS rel2
+  CAST(format('{{:.2f}}', relevance) AS DOUBLE) AS rel2
   FROM uniq WHERE category IS NOT NULL AND is_promo = 0 AND relevance >= 0.45),
 pos AS (SELECT *, row_number() OVER (PARTITION BY issue_date ORDER BY rel2 DESC, seq) AS position FROM iss)"""
 

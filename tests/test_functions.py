@@ -165,3 +165,8 @@ def test_feed_dates(evaluate):
     assert evaluate(shown, "13 Aug 2026 09:31:00 GMT") == "2026-08-13 09:31:00"
     assert evaluate(shown, "2026-08-13T09:31:00Z") == "2026-08-13 09:31:00"
     assert evaluate(shown, "next week") is None
+
+
+@pytest.mark.parametrize("score", [0.125, 0.135, 0.575, 0.585, 0.005, 0.015, 0.995, 1.0, 0.0, 0.45, 0.625])
+def test_two_decimals_agree_with_python_formatting(evaluate, score):
+    assert evaluate(tx.two_decimals, score) == float(f"{score:.2f}")
