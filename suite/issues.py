@@ -18,26 +18,30 @@ from suite.similarity import GREEDY
 from suite.tables import ITEMS, LEDGER, REGISTRY, UNIQUE, items, registry, score_ledger, unique_items, with_uid
 
 
-def word_count_scorer(batch):
+def word_count_scorer():
     """A stand-in scorer: verdicts follow from the payload alone.
 
-    Titles with a digit fail their verdict (left out), and the longest ones get an invented uid.
+    Titles with a digit get no verdict, and the longest ones an invented uid. Made inside a
+    function so that it ships to the workers by value.
     """
     import pandas as pd
 
-    n = batch["title"].str.len()
-    out = pd.DataFrame(
-        {
-            "uid": batch["uid"],
-            "category": ["Events" if k % 2 else "Wild Reefs" for k in n],
-            "relevance": (n % 100) / 100.0,
-            "is_promo": 0,
-            "gist": batch["title"],
-            "beat": None,
-        }
-    )
-    out.loc[n > 180, "uid"] = "invented"
-    return out[~batch["title"].str.contains("[0-9]")]
+    def score(batch):
+        n = batch["title"].str.len()
+        out = pd.DataFrame(
+            {
+                "uid": batch["uid"],
+                "category": ["Events" if k % 2 else "Wild Reefs" for k in n],
+                "relevance": (n % 100) / 100.0,
+                "is_promo": 0,
+                "gist": batch["title"],
+                "beat": None,
+            }
+        )
+        out.loc[n > 180, "uid"] = "invented"
+        return out[~batch["title"].str.contains("[0-9]")]
+
+    return score
 
 
 @query(
@@ -48,7 +52,7 @@ def word_count_scorer(batch):
     UNION ALL SELECT uid, NULL, NULL, 'omitted' FROM n WHERE d OR n > 180""",
 )
 def _score(spark, sf):
-    scored = scoring.score(scoring.payload(unique_items(spark, sf, "source_name", "title", "raw_text")), word_count_scorer)
+    scored = scoring.score(scoring.payload(unique_items(spark, sf, "source_name", "title", "raw_text")), word_count_scorer())
     return scored.select("uid", "relevance", "category", "outcome")
 
 
@@ -57,7 +61,7 @@ def _score(spark, sf):
     f"""WITH {UNIQUE} SELECT uid, length(title) % 100 / 100 AS relevance FROM uniq WHERE NOT regexp_matches(title, '[0-9]') AND length(title) <= 180""",
 )
 def _valid(spark, sf):
-    scored = scoring.score(scoring.payload(unique_items(spark, sf, "source_name", "title", "raw_text")), word_count_scorer)
+    scored = scoring.score(scoring.payload(unique_items(spark, sf, "source_name", "title", "raw_text")), word_count_scorer())
     return scoring.valid_verdicts(scored).select("uid", "relevance")
 
 

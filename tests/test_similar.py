@@ -3,7 +3,6 @@
 import random
 
 import pytest
-from pyspark.sql import functions as F
 
 from newsloom.functions.text import STOPWORDS
 from newsloom.operators import similar as sm
