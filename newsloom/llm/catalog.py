@@ -1,7 +1,9 @@
 """Importing this module registers the queries of this package."""
 
 from newsloom.llm import (  # noqa: F401
+    minhash,
     mixing,
+    secrets,
     line_dedup,
 )
 from newsloom.llm.common import ORACLES, QUERIES
