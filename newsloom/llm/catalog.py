@@ -1,9 +1,11 @@
 """Importing this module registers the queries of this package."""
 
 from newsloom.llm import (  # noqa: F401
+    bpe,
     minhash,
     mixing,
     secrets,
+    token_store,
     line_dedup,
 )
 from newsloom.llm.common import ORACLES, QUERIES
