@@ -3,9 +3,9 @@
 Text is split by the vocabulary's pattern in the JVM. The distinct words of a block of documents
 are folded with higher-order functions: each word is an array of byte ids, and step by step the
 adjacent pair with the lowest rank, the leftmost first, becomes one id until no pair has a rank.
-Ranks come from a literal: pair buckets, found by arithmetic on the two ids. Blocks travel with
-their documents inside one stage, so no text is shuffled and no vocabulary of the whole corpus is
-ever held. Decoding concatenates the binary pieces of the ids.
+The rank map is literal arrays addressed by the two ids. Blocks travel with their documents inside
+one stage, so no text is shuffled and no vocabulary of the whole corpus is ever held. Decoding
+concatenates the binary pieces of the ids.
 """
 
 from __future__ import annotations
@@ -19,9 +19,10 @@ from pyspark.sql import functions as F
 from newsloom.functions.binding import let
 from newsloom.llm.common import query, ship, table
 
-BUCKETS = 65521
-#: Above any rank.
-NONE = 2**30
+#: Any rank is below; what a lookup gives for a pair without rank is not.
+NONE = 65536
+GROUPS = 32749
+SLOTS = 131071
 #: The fold is quadratic in a word's length; longer words are merged over a heap, by the same rule.
 FOLD_BYTES = 128
 
@@ -57,42 +58,88 @@ def pair_ranks(pieces: list[bytes]) -> dict[tuple[int, int], int]:
     }
 
 
-def rank_literal(pieces: list[bytes]) -> Column:
-    """array<struct<k array<bigint>, v array<int>>>, a constant of bounded size: it has one entry per pair."""
-    buckets = [([], []) for _ in range(BUCKETS)]
-    for (one, two), rank in pair_ranks(pieces).items():
-        k, v = buckets[(one * 40503 + two) % BUCKETS]
-        k.append(one * 65536 + two)
-        v.append(rank)
-    text = json.dumps([{"k": k, "v": v} for k, v in buckets], separators=(",", ":"))
-    return F.from_json(F.lit(text), "array<struct<k:array<bigint>,v:array<int>>>")
+def placed_pairs(pairs: dict[tuple[int, int], int]) -> tuple[list[int], list[int]]:
+    """(shift per group, packed pair and rank per slot): the pair table without collisions.
 
+    A pair's key is one * 2^16 + two, its group key % GROUPS, its slot (key % SLOTS + the group's
+    shift) % SLOTS. The largest groups choose their shifts first; each slot has one pair at most.
+    """
+    import numpy as np
 
-def fold_word(word: Column, ranks: Column, byte_ids: Column) -> Column:
-    """array<int>: the ids of a word of at least one byte."""
+    keys = np.array([one * 65536 + two for one, two in pairs], np.int64)
+    ranks = np.fromiter(pairs.values(), np.int64, len(pairs))
+    order = np.argsort(keys % GROUPS, kind="stable")
+    sizes = np.bincount(keys % GROUPS, minlength=GROUPS)
+    ends = np.cumsum(sizes)
+    shift, packed, free = np.zeros(GROUPS, np.int64), np.zeros(SLOTS, np.int64), np.ones(SLOTS, bool)
+    span, start = np.arange(512)[:, None], 0
+    for g in np.argsort(-sizes, kind="stable"):
+        own = order[ends[g] - sizes[g] : ends[g]]
+        if not len(own):
+            break
+        home, at = keys[own] % SLOTS, start
+        while not (fits := free[(home + at + span) % SLOTS].all(axis=1)).any():
+            at += 512
+        shift[g] = (at + int(np.argmax(fits))) % SLOTS
+        slots = (home + shift[g]) % SLOTS
+        free[slots], packed[slots] = False, (keys[own] << 17) + ranks[own]
+        start = (start + 40503) % SLOTS
+    return shift.tolist(), packed.tolist()
 
-    def rank(one: Column, two: Column) -> Column:
-        one = one.cast("bigint")
-        bucket = F.get(ranks, ((one * 40503 + two) % BUCKETS).cast("int"))
-        return let(bucket, lambda b: F.coalesce(
-            F.get(b["v"], (F.array_position(b["k"], one * 65536 + two) - 1).cast("int")), F.lit(NONE)
-        ))
 
-    def merge(ids: Column) -> Column:
-        ranked = F.transform(F.slice(ids, 1, F.size(ids) - 1), lambda x, i: rank(x, F.get(ids, i + 1)))
-        return let(ranked, lambda r: let(F.array_min(r), lambda low: F.when(
-            low < NONE,
-            let(F.array_position(r, low).cast("int"), lambda at: F.struct(
-                F.concat(F.slice(ids, 1, at - 1), F.array(low), F.slice(ids, at + 2, F.size(ids))).alias("ids"),
-                F.lit(True).alias("more"),
-            )),
-        ).otherwise(F.struct(ids.alias("ids"), F.lit(False).alias("more")))))
+def literal(values: list[int]) -> Column:
+    """A constant array<bigint>."""
+    return F.from_json(F.lit(json.dumps(values, separators=(",", ":"))), "array<bigint>")
+
+
+class Ranks:
+    """The rank map as literals of a bounded size: one entry per pair of pieces that has a rank."""
+
+    def __init__(self, pieces: list[bytes]):
+        own = {p: i for i, p in enumerate(pieces)}
+        self.shift, self.packed = map(literal, placed_pairs(pair_ranks(pieces)))
+        self.bytes = literal([own[bytes([i])] for i in range(256)])
+
+    def of(self, one: Column, two: Column) -> Column:
+        """The pair's rank; NONE or more if it has none, null if there is no pair.
+
+        A slot of another pair differs in the bits of the key, so the difference is out of range.
+        """
+
+        def found(key: Column) -> Column:
+            slot = (key % SLOTS + F.get(self.shift, (key % GROUPS).cast("int"))) % SLOTS
+            return F.abs(F.get(self.packed, slot.cast("int")) - F.shiftleft(key, 17))
+
+        return let(F.shiftleft(one, 16) + two, found)
+
+
+def fold_word(word: Column, ranks: Ranks) -> Column:
+    """array<bigint>: the ids of a word of at least one byte.
+
+    The fold carries the ids and the rank of each with its right neighbour. A merge puts the new
+    id in place of two and looks up its two new neighbourhoods only.
+    """
+    empty = F.array().cast("array<bigint>")
+
+    def merge(s: Column, low: Column) -> Column:
+        ids, own = s["ids"], s["ranks"]
+        return let(F.array_position(own, low).cast("int"), lambda at: F.struct(
+            F.concat(F.slice(ids, 1, at - 1), F.array(low), F.slice(ids, at + 2, FOLD_BYTES)).alias("ids"),
+            F.concat(
+                F.when(at > 1, F.concat(F.slice(own, 1, at - 2), F.array(ranks.of(F.get(ids, at - 2), low)))).otherwise(empty),
+                F.array(ranks.of(low, F.get(ids, at + 1))),
+                F.slice(own, at + 2, FOLD_BYTES),
+            ).alias("ranks"),
+        ))
 
     chars = F.split(F.decode(word.cast("binary"), "ISO-8859-1"), "")
-    start = F.transform(chars, lambda c: F.get(byte_ids, F.ascii(c)))
-    step = lambda s, _: F.when(s["more"] & (F.size(s["ids"]) > 1), merge(s["ids"])).otherwise(s)
+    start = F.transform(chars, lambda c: F.get(ranks.bytes, F.ascii(c)))
+    step = lambda s, _: let(F.array_min(s["ranks"]), lambda low: F.when(low < NONE, merge(s, low)).otherwise(s))
     return let(start, lambda ids: F.aggregate(
-        ids, F.struct(ids.alias("ids"), F.lit(True).alias("more")), step, lambda s: s["ids"]
+        F.slice(ids, 2, FOLD_BYTES),
+        F.struct(ids.alias("ids"), F.transform(ids, lambda x, i: ranks.of(x, F.get(ids, i + 1))).alias("ranks")),
+        step,
+        lambda s: s["ids"],
     ))
 
 
@@ -171,9 +218,8 @@ def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), numbers, block, starts], names=["row", "numbers", "block", "starts"])
 
     blocks = carried.mapInArrow(distinct, f"row {row}, numbers array<int>, block array<string>, starts boolean")
-    ranks = rank_literal(pieces)
-    byte_ids = F.array(*[F.lit(own[bytes([i])]) for i in range(256)])
-    folded = F.transform("block", lambda w: F.when(F.octet_length(w) <= FOLD_BYTES, fold_word(w, ranks, byte_ids)))
+    ranks = Ranks(pieces)
+    folded = F.transform("block", lambda w: F.when(F.octet_length(w) <= FOLD_BYTES, fold_word(w, ranks)))
     long_words = F.filter("block", lambda w: F.octet_length(w) > FOLD_BYTES)
     blocks = blocks.select("row", "numbers", "starts", folded.alias("folded"), long_words.alias("long"))
 
