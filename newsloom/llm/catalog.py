@@ -2,6 +2,7 @@
 
 from newsloom.llm import (  # noqa: F401
     bpe,
+    language_id,
     minhash,
     mixing,
     secrets,
