@@ -5,6 +5,7 @@ from newsloom.llm import (  # noqa: F401
     language_id,
     minhash,
     mixing,
+    multi_index,
     secrets,
     token_store,
     line_dedup,
