@@ -2,6 +2,7 @@
 
 from newsloom.llm import (  # noqa: F401
     bpe,
+    imatch,
     language_id,
     minhash,
     mixing,
