@@ -1,5 +1,6 @@
 """Importing this module registers the queries of this package."""
 
+import corpus_pipeline
 from newsloom.llm import (  # noqa: F401
     bpe,
     imatch,
@@ -8,9 +9,14 @@ from newsloom.llm import (  # noqa: F401
     mixing,
     multi_index,
     secrets,
+    suffixes,
     token_store,
     line_dedup,
 )
 from newsloom.llm.common import ORACLES, QUERIES
 
+QUERIES["pipeline"] = corpus_pipeline.run
+if corpus_pipeline.ORACLE_SQL:
+    ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
+
 __all__ = ["ORACLES", "QUERIES"]

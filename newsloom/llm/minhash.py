@@ -7,8 +7,8 @@ times, each time with one symbol left open, and every pair within the distance s
 that share a key are checked on their signatures and then on their full shingle sets.
 
 Documents with equal sets are one class from the start, and inside a key documents are compared
-with one of them, not with each other: whatever that leaves in different components is compared
-until no key holds an untested pair across components. No pair within the distance is given up.
+with four of them first, not with each other: only pairs that this leaves in different components
+are compared then, all of them. No pair within the distance is given up.
 A pair at similarity 0.8 exceeds the distance with a probability of about 1e-4.
 """
 
@@ -25,6 +25,8 @@ CHUNKS = 8
 DISTANCE = 15
 SHINGLE = 5
 PERCENT = 80
+#: The documents of a key that all others are compared with first: the smallest and so many by hash.
+LEADERS = 3
 
 
 def shingle_set(text: str | None, size: int) -> set[bytes]:
@@ -201,41 +203,37 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     members = materialize(keys.join(shared.select(F.col("key").alias("_k")), F.col("key") == F.col("_k")).select("key", "id"), "minhash-members")
     sets = materialize(full_sets(docs, members.select("id").distinct(), shingle), "minhash-sets")
 
-    def links_of(pairs):
-        return confirmed(near_signatures(pairs, reps), sets, percent)
-
     nothing = docs.sparkSession.createDataFrame([], "a bigint, b bigint")
-    links, found, turn = nothing, nothing.selectExpr("a AS id", "b AS component_id"), 0
-    while True:
+    links, found = nothing, nothing.selectExpr("a AS id", "b AS component_id")
+
+    orders = [F.col("id"), *[F.xxhash64("id", F.lit(i)) for i in range(LEADERS)]]
+
+    def labelled():
+        """Members under their component so far, and the keys that hold several."""
         of = found.withColumnRenamed("id", "_id")
         now = members.join(of, F.col("id") == F.col("_id"), "left").select(
             "key", "id", F.coalesce("component_id", "id").alias("c")
         )
-        mixed = now.groupBy("key").agg(
-            F.min("c").alias("_c"), F.max("c").alias("_z"), F.min_by("id", F.xxhash64("id", F.lit(turn))).alias("a")
-        ).filter("_c != _z").select(F.col("key").alias("_k"), "a")
-        leaders = materialize(mixed, "minhash-leaders")
-        if leaders.isEmpty():
-            break
-        lead = leaders.join(of, F.col("a") == F.col("_id"), "left").select(
-            "_k", "a", F.coalesce("component_id", "a").alias("ca")
+        mixed = now.groupBy(F.col("key").alias("_k")).agg(
+            F.min("c").alias("_c"), F.max("c").alias("_z"),
+            F.array(*[F.struct(F.min_by("id", h).alias("a"), F.min_by("c", h).alias("ca")) for h in orders]).alias("lead"),
         )
-        pairs = now.join(lead, (F.col("key") == F.col("_k")) & (F.col("c") != F.col("ca")))
+        return now, materialize(mixed.filter("_c != _z").select("_k", "lead"), "minhash-mixed")
+
+    # Most of a group of copies joins its leaders; what is left across components is then compared, all of it.
+    for step in ("leaders", "rest"):
+        now, mixed = labelled()
+        if step == "leaders":
+            lead = mixed.select("_k", F.explode(F.array_distinct("lead")).alias("l")).select("_k", "l.*")
+            pairs = now.join(lead, (F.col("key") == F.col("_k")) & (F.col("c") != F.col("ca")))
+        else:
+            left = now.join(mixed.select("_k"), F.col("key") == F.col("_k"), "left_semi")
+            other = left.select(F.col("key").alias("_k"), F.col("id").alias("a"), F.col("c").alias("ca"))
+            pairs = left.join(other, (F.col("key") == F.col("_k")) & (F.col("c") < F.col("ca")))
         pairs = pairs.select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b")).distinct()
-        fresh = materialize(links_of(pairs), "minhash-links")
-        if fresh.isEmpty():
-            # No leader gains anything: compare what is left across components, all of it.
-            left = now.join(leaders.select("_k"), F.col("key") == F.col("_k"), "left_semi")
-            other = left.select(F.col("key").alias("_k"), F.col("id").alias("b"), F.col("c").alias("cb"))
-            pairs = left.join(other, (F.col("key") == F.col("_k")) & (F.col("c") < F.col("cb")))
-            pairs = pairs.select(F.least("id", "b").alias("a"), F.greatest("id", "b").alias("b")).distinct()
-            fresh = materialize(links_of(pairs), "minhash-links")
-            links = materialize(links.unionByName(fresh), "minhash-all-links")
-            found = materialize(components(links, "minhash"), "minhash-components")
-            break
-        links = materialize(links.unionByName(fresh), "minhash-all-links")
+        fresh = confirmed(near_signatures(pairs, reps), sets, percent)
+        links = materialize(links.unionByName(fresh), "minhash-links")
         found = materialize(components(links, "minhash"), "minhash-components")
-        turn += 1
     of = found.withColumnRenamed("id", "_id")
     rooted = classes.join(of, F.col("id") == F.col("_id"), "left").select(
         F.col("hi").alias("_h"), F.col("lo").alias("_l"), F.coalesce("component_id", "id").alias("_c")
