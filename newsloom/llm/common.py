@@ -62,22 +62,27 @@ def map_rows(df: DataFrame, schema: str, fn: Callable[[Iterator[dict]], Iterator
     return df.mapInArrow(run, schema)
 
 
-def components(links: DataFrame, label: str) -> DataFrame:
+def components(links: DataFrame, label: str, rounds: int | None = None) -> DataFrame:
     """(id, component_id) of every id in ``links`` (a, b): the smallest id it is connected with.
 
     Alternates two steps: every node hands its larger neighbours to its smallest one, then its
     smaller neighbours. Each keeps connectivity and the number of rounds grows with the logarithm
     of the largest component. Minima combine on the map side, the join back is on the node and
-    left to skew splitting; every round is a table in the shared folder.
+    left to skew splitting; every round is a table in the shared folder. With ``rounds`` it stops
+    early: equal labels then still mean connected, different ones may be connected too.
     """
+
+    def state(edges):
+        return edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+
     edges = materialize(
         links.filter("a != b")
         .select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
         .distinct(),
         f"{label}-links",
     )
-    before = None
-    while True:
+    before, done = state(edges), 0
+    while before[0] and done != rounds:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy(F.col("u").alias("n")).agg(F.least(F.min("v"), F.first("u")).alias("m"))
         large = both.filter("v > u").join(least, F.col("u") == F.col("n"))
@@ -88,14 +93,12 @@ def components(links: DataFrame, label: str) -> DataFrame:
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v")
         own = parent.select(F.col("n").alias("u"), F.col("m").alias("v"))
         edges = materialize(small.unionByName(own).distinct(), f"{label}-small")
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        now, done = state(edges), done + 1
         if now == before:
             break
         before = now
-    roots = edges.select(F.col("v").alias("id")).distinct()
-    return edges.select(F.col("u").alias("id"), F.col("v").alias("component_id")).unionByName(
-        roots.select("id", F.col("id").alias("component_id"))
-    )
+    named = edges.select(F.col("u").alias("id"), "v").unionByName(edges.select(F.col("v").alias("id"), "v"))
+    return named.groupBy("id").agg(F.min("v").alias("component_id"))
 
 
 ship(__name__)

@@ -233,7 +233,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
         pairs = pairs.select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b")).distinct()
         fresh = confirmed(near_signatures(pairs, reps), sets, percent)
         links = materialize(links.unionByName(fresh), "minhash-links")
-        found = materialize(components(links, "minhash"), "minhash-components")
+        found = materialize(components(links, "minhash", 1 if step == "leaders" else None), "minhash-components")
     of = found.withColumnRenamed("id", "_id")
     rooted = classes.join(of, F.col("id") == F.col("_id"), "left").select(
         F.col("hi").alias("_h"), F.col("lo").alias("_l"), F.coalesce("component_id", "id").alias("_c")
