@@ -6,9 +6,10 @@ one error (eight chunks with two errors each would make sixteen). So each chunk
 times, each time with one symbol left open, and every pair within the distance shares a key. Pairs
 that share a key are checked on their signatures and then on their full shingle sets.
 
-Documents with equal sets are one class from the start, and inside a key documents are compared
-with four of them first, not with each other: only pairs that this leaves in different components
-are compared then, all of them. No pair within the distance is given up.
+Documents with equal sets are one class from the start. What shared keys connect is a cluster;
+inside it, blocks of bounded size meet block by block, so that a large cluster is many tasks. All
+pairs of two blocks are compared by signature, near ones by their sets, and a block pair returns a
+forest of its links: pairs are never rows. No pair within the distance is given up.
 A pair at similarity 0.8 exceeds the distance with a probability of about 1e-4.
 """
 
@@ -25,8 +26,8 @@ CHUNKS = 8
 DISTANCE = 15
 SHINGLE = 5
 PERCENT = 80
-#: The documents of a key that all others are compared with first: the smallest and so many by hash.
-LEADERS = 3
+#: Documents of a cluster that one task compares with as many others.
+BLOCK = 256
 
 
 def shingle_set(text: str | None, size: int) -> set[bytes]:
@@ -119,51 +120,88 @@ def chunk_keys(reps: DataFrame) -> DataFrame:
     return reps.select("id", "sig").mapInArrow(run, "key bigint, id bigint")
 
 
-def near_signatures(pairs: DataFrame, sigs: DataFrame, distance: int = DISTANCE) -> DataFrame:
-    """The pairs (a, b) whose signatures differ in at most ``distance`` symbols."""
-
-    def run(batches):
-        import numpy as np
+def signature_distances(one, two):
+    """Matrix of the number of symbols that differ."""
+    import numpy as np
 
-        for b in batches:
-            if b.num_rows:
-                one, two = (
-                    np.frombuffer(b"".join(b.column(i).to_pylist()), np.uint16).reshape(-1, SYMBOLS) for i in (2, 3)
-                )
-                near = (one != two).sum(axis=1) <= distance
-                yield b.select([0, 1]).filter(__import__("pyarrow").array(near))
+    out = np.zeros((len(one), len(two)), np.int16)
+    for i in range(SYMBOLS):
+        out += one[:, i][:, None] != two[:, i][None, :]
+    return out
 
-    left = sigs.select(F.col("id").alias("a"), F.col("sig").alias("sa"))
-    right = sigs.select(F.col("id").alias("b"), F.col("sig").alias("sb"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb").mapInArrow(run, "a bigint, b bigint")
 
+def shared_counts(one: list, two: list, pairs):
+    """Sizes of the intersections of the sorted hash arrays at ``pairs`` (rows of one, rows of two)."""
+    import numpy as np
 
-def confirmed(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """The pairs whose full sets are alike enough: 100 * shared >= percent * united."""
+    rows, cols = pairs
+    codes, flat = np.unique(np.concatenate([*one, *two]), return_inverse=True)
+    each = sum(len(one[i]) + len(two[j]) for i, j in zip(rows[:64], cols[:64], strict=True)) / max(1, len(rows[:64]))
+    # Whichever is less work: pair by pair, or all pairs of the block as a product of 0/1 matrices.
+    if len(rows) * each * 30 < len(codes) * (len(one) * len(two) / 5 + len(one) + len(two)):
+        return np.array([len(np.intersect1d(one[i], two[j], assume_unique=True)) for i, j in zip(rows, cols, strict=True)], np.int64)
+    owner = np.repeat(np.arange(len(one) + len(two)), [len(x) for x in (*one, *two)])
+    order = np.argsort(flat, kind="stable")
+    flat, owner = flat[order], owner[order]
+    total, wide = np.zeros((len(one), len(two)), np.float64), 8192
+    for at in range(0, len(codes), wide):
+        lo, hi = np.searchsorted(flat, [at, at + wide])
+        has = np.zeros((len(one) + len(two), wide), np.float32)
+        has[owner[lo:hi], flat[lo:hi] - at] = 1
+        total += has[: len(one)] @ has[len(one) :].T
+    return total[rows, cols].astype(np.int64)
+
+
+def spanning(pairs):
+    """Pairs of a forest that connects what ``pairs`` connect."""
+    parent = {}
+
+    def find(x):
+        while parent.setdefault(x, x) != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    for a, b in pairs:
+        x, y = find(a), find(b)
+        if x != y:
+            parent[max(x, y)] = min(x, y)
+            yield a, b
+
+
+def block_links(blocks: DataFrame, percent: int, distance: int = DISTANCE) -> DataFrame:
+    """Links (a, b) from rows (cluster, low, high, block, id, sig, hashes): two blocks of a cluster a group.
+
+    All pairs of a group meet by their signatures; those within ``distance`` are confirmed on their
+    full sets. A group returns a forest of its links, not the links.
+    """
 
-    def run(batches):
+    def compare(table):
         import numpy as np
         import pyarrow as pa
 
-        for b in batches:
-            cols = []
-            for i in (2, 3):
-                c = b.column(i)
-                cols.append((c.values.to_numpy(zero_copy_only=False), c.offsets.to_numpy()))
-            (va, oa), (vb, ob) = cols
-            like = []
-            for i in range(b.num_rows):
-                one, two = va[oa[i] : oa[i + 1]], vb[ob[i] : ob[i + 1]]
-                if min(len(one), len(two)) * 100 < percent * max(len(one), len(two)):
-                    like.append(False)
-                    continue
-                both = len(np.intersect1d(one, two, assume_unique=True))
-                like.append(100 * both >= percent * (len(one) + len(two) - both))
-            yield b.select([0, 1]).filter(pa.array(like, pa.bool_()))
-
-    left = sets.select(F.col("id").alias("a"), F.col("hashes").alias("ha"))
-    right = sets.select(F.col("id").alias("b"), F.col("hashes").alias("hb"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "ha", "hb").mapInArrow(run, "a bigint, b bigint")
+        block, low, high = (table[c].to_numpy() for c in ("block", "low", "high"))
+        ids = table["id"].to_numpy()
+        sigs = np.frombuffer(b"".join(table["sig"].to_pylist()), np.uint16).reshape(-1, SYMBOLS)
+        lists = table["hashes"].combine_chunks()
+        flat, ends = lists.values.to_numpy(zero_copy_only=False).view(np.uint64), lists.offsets.to_numpy()
+        left, right = np.flatnonzero(block == low), np.flatnonzero(block == high)
+        near = signature_distances(sigs[left], sigs[right]) <= distance
+        near &= ids[left][:, None] < ids[right][None, :] if low[0] == high[0] else ids[left][:, None] != ids[right][None, :]
+        size = np.diff(ends)
+        n, m = size[left][:, None], size[right][None, :]
+        near &= np.minimum(n, m) * 100 >= percent * np.maximum(n, m)
+        rows, cols = np.nonzero(near)
+        links = []
+        if len(rows):
+            sets = [[flat[ends[i] : ends[i + 1]] for i in side] for side in (left, right)]
+            both = shared_counts(*sets, (rows, cols))
+            like = 100 * both >= percent * (size[left][rows] + size[right][cols] - both)
+            links = list(spanning(zip(ids[left[rows[like]]].tolist(), ids[right[cols[like]]].tolist(), strict=True)))
+        a, b = zip(*links, strict=True) if links else ((), ())
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return blocks.groupBy("cluster", "low", "high").applyInArrow(compare, "a bigint, b bigint")
 
 
 def full_sets(docs: DataFrame, ids: DataFrame, shingle: int) -> DataFrame:
@@ -200,40 +238,22 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     reps = classes.select("id", "sig")
     keys = chunk_keys(reps)
     shared = keys.groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("z")).filter("a != z")
-    members = materialize(keys.join(shared.select(F.col("key").alias("_k")), F.col("key") == F.col("_k")).select("key", "id"), "minhash-members")
-    sets = materialize(full_sets(docs, members.select("id").distinct(), shingle), "minhash-sets")
-
-    nothing = docs.sparkSession.createDataFrame([], "a bigint, b bigint")
-    links, found = nothing, nothing.selectExpr("a AS id", "b AS component_id")
-
-    orders = [F.col("id"), *[F.xxhash64("id", F.lit(i)) for i in range(LEADERS)]]
-
-    def labelled():
-        """Members under their component so far, and the keys that hold several."""
-        of = found.withColumnRenamed("id", "_id")
-        now = members.join(of, F.col("id") == F.col("_id"), "left").select(
-            "key", "id", F.coalesce("component_id", "id").alias("c")
-        )
-        mixed = now.groupBy(F.col("key").alias("_k")).agg(
-            F.min("c").alias("_c"), F.max("c").alias("_z"),
-            F.array(*[F.struct(F.min_by("id", h).alias("a"), F.min_by("c", h).alias("ca")) for h in orders]).alias("lead"),
-        )
-        return now, materialize(mixed.filter("_c != _z").select("_k", "lead"), "minhash-mixed")
-
-    # Most of a group of copies joins its leaders; what is left across components is then compared, all of it.
-    for step in ("leaders", "rest"):
-        now, mixed = labelled()
-        if step == "leaders":
-            lead = mixed.select("_k", F.explode(F.array_distinct("lead")).alias("l")).select("_k", "l.*")
-            pairs = now.join(lead, (F.col("key") == F.col("_k")) & (F.col("c") != F.col("ca")))
-        else:
-            left = now.join(mixed.select("_k"), F.col("key") == F.col("_k"), "left_semi")
-            other = left.select(F.col("key").alias("_k"), F.col("id").alias("a"), F.col("c").alias("ca"))
-            pairs = left.join(other, (F.col("key") == F.col("_k")) & (F.col("c") < F.col("ca")))
-        pairs = pairs.select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b")).distinct()
-        fresh = confirmed(near_signatures(pairs, reps), sets, percent)
-        links = materialize(links.unionByName(fresh), "minhash-links")
-        found = materialize(components(links, "minhash", 1 if step == "leaders" else None), "minhash-components")
+    candidates = keys.join(shared.select(F.col("key").alias("_k"), "a"), F.col("key") == F.col("_k"))
+    candidates = candidates.select("a", F.col("id").alias("b")).filter("a != b").distinct()
+    clusters = components(candidates, "minhash-candidates").withColumnRenamed("component_id", "cluster")
+    clusters = materialize(clusters, "minhash-clusters")
+    sizes = clusters.groupBy(F.col("cluster").alias("_c")).agg((F.floor((F.count("*") - 1) / BLOCK)).cast("int").alias("last"))
+    placed = clusters.join(sizes, F.col("cluster") == F.col("_c")).withColumn(
+        "block", F.pmod(F.xxhash64("id"), F.col("last") + 1).cast("int")
+    )
+    sets = full_sets(docs, clusters.select("id"), shingle).dropDuplicates(["id"])
+    full = materialize(sets.join(reps, "id"), "minhash-sets")
+    other = F.explode(F.sequence(F.lit(0), F.col("last"))).alias("other")
+    blocks = placed.select(F.col("id").alias("_i"), "cluster", "block", other).join(full, F.col("_i") == F.col("id")).select(
+        "cluster", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "id", "sig", "hashes"
+    )
+    links = materialize(block_links(blocks, percent), "minhash-links")
+    found = materialize(components(links, "minhash"), "minhash-components")
     of = found.withColumnRenamed("id", "_id")
     rooted = classes.join(of, F.col("id") == F.col("_id"), "left").select(
         F.col("hi").alias("_h"), F.col("lo").alias("_l"), F.coalesce("component_id", "id").alias("_c")
