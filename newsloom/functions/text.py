@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import json
+import re
 import unicodedata
+from html.entities import html5
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -54,14 +57,7 @@ BOILERPLATE = [
 # Titles that teach.
 INSTRUCTIONAL = r"(?i)\b(how[\s-]?to|tips?|tricks?|resources?|mistakes?)\b"
 
-# Named character references decoded by `html_to_text`; the ampersand goes last.
-ENTITIES = {
-    "&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&apos;": "'", "&nbsp;": " ",
-    "&copy;": "©", "&middot;": "·", "&hellip;": "…", "&mdash;": "—", "&ndash;": "–", "&amp;": "&",
-}
-
 HEADLINE_CHARS = 110
-HEADLINE_SOURCE_CHARS = 400
 EXCERPT_WORDS = 60
 
 
@@ -98,15 +94,40 @@ def blank_to_null(text: Column) -> Column:
     return F.nullif(strip(text), F.lit(""))
 
 
+def _named_references() -> Column:
+    """The standard's named character references, a constant map."""
+    named = {name: char for name, char in html5.items() if name.endswith(";")}
+    return F.from_json(F.lit(json.dumps(named)), "map<string,string>")
+
+
+def decode_entities(text: Column) -> Column:
+    """Character references as characters: numeric, hexadecimal and named ones; unknown ones stay.
+
+    The ampersand's own reference is decoded last, so that nothing is decoded twice.
+    """
+
+    def code_point(ref: Column) -> Column:
+        digits = F.regexp_extract(ref, r"^&#[xX]?([0-9a-fA-F]+);$", 1)
+        value = F.when(ref.rlike("^&#[xX]"), F.conv(digits, 16, 10)).otherwise(digits).try_cast("bigint")
+        known = value.between(1, 0xD7FF) | value.between(0xE000, 0x10FFFF)
+        return F.when(known, F.decode(F.unhex(F.lpad(F.hex(value), 8, "0")), "UTF-32"))
+
+    def character(ref: Column) -> Column:
+        named = F.element_at(_named_references(), F.substring(ref, F.lit(2), F.length(ref)))
+        return F.coalesce(F.when(ref.startswith("&#"), code_point(ref)).otherwise(named), ref)
+
+    found = F.array_distinct(F.regexp_extract_all(text, F.lit(r"&(?:#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]*);"), F.lit(0)))
+    ampersand = ["&amp;", "&AMP;", "&#38;", "&#x26;", "&#X26;"]
+    ordered = F.concat(F.filter(found, lambda r: ~r.isin(ampersand)), F.filter(found, lambda r: r.isin(ampersand)))
+    decoded = F.aggregate(ordered, text, lambda done, r: F.replace(done, r, character(r)))
+    return F.when(F.contains(text, F.lit("&")), decoded).otherwise(text)
+
+
 def html_to_text(html: Column, limit: int | None = None) -> Column:
     """Readable text of markup: scripts, styles, comments and tags out, entities decoded."""
     untagged = F.regexp_replace(html, r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->|<[^>]+>", " ")
     plain = F.when(F.contains(html, F.lit("<")), untagged).otherwise(html)
-    decoded = plain
-    for name, char in ENTITIES.items():
-        decoded = F.replace(decoded, F.lit(name), F.lit(char))
-    plain = F.when(F.contains(html, F.lit("&")), decoded).otherwise(plain)
-    plain = squeeze(plain)
+    plain = squeeze(decode_entities(plain))
     if limit is not None:
         plain = F.substring(plain, 1, limit)
     return F.nullif(plain, F.lit(""))
@@ -125,7 +146,10 @@ def _ends_in_abbreviation(head: Column) -> Column:
 
 
 def headline(text: Column, limit: int = HEADLINE_CHARS) -> Column:
-    """A headline for an untitled post: its first real sentence, else a clip at a word."""
+    """A headline for an untitled post: its first real sentence, else a clip at a word.
+
+    Neither can reach beyond the limit, so only a few times as many characters are looked at.
+    """
 
     def first_sentence(pieces: Column) -> Column:
         # Every start of the text that ends where a terminator is followed by whitespace.
@@ -145,7 +169,7 @@ def headline(text: Column, limit: int = HEADLINE_CHARS) -> Column:
             F.when(F.length(plain) <= limit, plain).when(cut != "", F.concat(cut, F.lit("…"))),
         )
 
-    return let(html_to_text(text, HEADLINE_SOURCE_CHARS), choose)
+    return let(html_to_text(text, max(400, 4 * limit)), choose)
 
 
 def excerpt(text: Column, count: int = EXCERPT_WORDS) -> Column:
@@ -204,15 +228,11 @@ def two_decimals(score: Column) -> Column:
     `round` and `bround` go by the shortest decimal spelling instead: they make 0.575 into 0.58,
     though the stored number is below the half.
     """
-    return F.format_number(score, 2).cast("double")
+    return F.replace(F.format_number(score, 2), F.lit(","), F.lit("")).cast("double")
 
 
 def contains_any(text: Column, phrases: list[str] = BOILERPLATE) -> Column:
-    lowered = F.lower(text)
-    found = F.lit(False)
-    for phrase in phrases:
-        found = found | F.contains(lowered, F.lit(phrase))
-    return found
+    return F.lower(text).rlike("|".join(re.escape(p) for p in phrases))
 
 
 def is_instructional(title: Column) -> Column:
@@ -233,10 +253,15 @@ def duration_seconds(iso: Column) -> Column:
 
 def rfc822_timestamp(text: Column) -> Column:
     """Feed dates: RFC-822 with or without weekday, else ISO-8601; null when unreadable."""
-    bare = F.regexp_replace(strip(text), r"^[A-Za-z]{3},\s*", "")
+    bare = F.regexp_replace(strip(text), r"^[A-Za-z]{3,9},?\s+|^[A-Za-z]{3,9},", "")
+    # The optional parts in full: seconds, and years of two digits, 69 and up in the last century.
+    timed = F.regexp_replace(F.trim(bare), r"^(\d{1,2}\s+[A-Za-z]{3}\s+\d+\s+\d{1,2}:\d{2})(\s|$)", "$1:00$2")
+    dated = F.regexp_replace(timed, r"^(\d{1,2}\s+[A-Za-z]{3}\s+)([0-5]\d|6[0-8])(\s)", "$120$2$3")
+    whole = F.regexp_replace(dated, r"^(\d{1,2}\s+[A-Za-z]{3}\s+)(\d{2})(\s)", "$119$2$3")
+    whole = F.regexp_replace(whole, r"\s+", " ")
     return F.coalesce(
-        F.try_to_timestamp(bare, F.lit("d MMM yyyy HH:mm:ss Z")),
-        F.try_to_timestamp(bare, F.lit("d MMM yyyy HH:mm:ss z")),
+        F.try_to_timestamp(whole, F.lit("d MMM yyyy H:mm:ss Z")),
+        F.try_to_timestamp(whole, F.lit("d MMM yyyy H:mm:ss z")),
         F.try_to_timestamp(strip(text)),
     )
 

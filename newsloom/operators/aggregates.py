@@ -17,10 +17,12 @@ def dedupe_newest(items: DataFrame, key: str = "uid", order: str = "seq") -> Dat
     """The newest row of each key, the earliest input position on ties.
 
     An aggregate, not a window: copies of one key collapse inside each map task, so a key that
-    holds a large share of the rows never meets in one place.
+    holds a large share of the rows never meets in one place. Rows without a key cannot be copies
+    of each other and all stay.
     """
     best = F.max_by(F.struct(*items.columns), F.struct(F.col("published_at"), -F.col(order)))
-    return items.groupBy(key).agg(best.alias("_row")).select("_row.*")
+    known = items.filter(F.col(key).isNotNull()).groupBy(key).agg(best.alias("_row")).select("_row.*")
+    return known.unionByName(items.filter(F.col(key).isNull()))
 
 
 def whole_days(now: Column, then: Column) -> Column:
@@ -104,8 +106,10 @@ def usage_cost(usage: DataFrame, prices: DataFrame) -> DataFrame:
             F.sum("calls").alias("calls"),
             *[F.sum(c).alias(c) for c in tokens],
             F.sum("cost_usd").alias("cost_usd"),
+            F.grouping("stage").alias("_all"),
         )
-        .withColumn("stage", F.coalesce("stage", F.lit("total")))
+        .withColumn("stage", F.when(F.col("_all") == 1, "total").otherwise(F.coalesce("stage", F.lit("unknown"))))
+        .drop("_all")
         .withColumn(
             "cache_hit_rate",
             F.when(prompt > 0, F.col("cache_read_tokens") / prompt).otherwise(F.lit(0.0)),
@@ -143,13 +147,14 @@ def average_rank(df: DataFrame, value: str, into: str) -> DataFrame:
 
     The running count is taken over distinct values only, after they were counted, so no single
     task sorts the rows. Distinct values are themselves range-partitioned first: each partition
-    sums its own part and gets the total of the partitions before it.
+    sums its own part and gets the total of the partitions before it. Rows without a value keep
+    their place in the table and get no rank.
     """
-    histogram = df.groupBy(value).agg(F.count("*").alias("_n"))
+    histogram = df.filter(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("_n"))
     ranked = running_total(histogram, value, "_n", "_before").select(
         value, (F.col("_before") + (F.col("_n") + 1) / F.lit(2.0)).alias(into)
     )
-    return df.join(ranked, value)
+    return df.join(ranked, value, "left")
 
 
 def running_total(df: DataFrame, order: str, amount: str, into: str) -> DataFrame:

@@ -41,9 +41,12 @@ def apply_scores(
 
     ``items``: uid, source_id, ... ; ``scores``: uid, relevance, category, is_promo, gist, beat;
     ``community_sources``: source_id of outlets that speak for the community, whose section wins
-    over the scored one. Relevance is put on the two-decimal grid, the ranking grain.
+    over the scored one. Relevance is put on the two-decimal grid, the ranking grain. Of several
+    verdicts on a uid the newest by scored_at counts, where there is one, else the highest.
     """
-    verdict = scores.select(
+    newest = [c for c in ("scored_at", "relevance", "category", "gist") if c in scores.columns]
+    one = scores.groupBy("uid").agg(F.max_by(F.struct(*scores.columns), F.struct(*newest)).alias("_v")).select("_v.*")
+    verdict = one.select(
         "uid",
         F.lit(True).alias("_scored"),
         F.col("category").alias("_category"),

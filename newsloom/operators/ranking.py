@@ -46,9 +46,12 @@ def with_position(df: DataFrame, groups: list[str], order: list[Column], into: s
 def first_n(df: DataFrame, groups: list[str], order: list[Column], n: int, into: str = "position") -> DataFrame:
     """First ``n`` rows of each group.
 
-    The planner cuts every map task to its own first ``n`` per group before the shuffle, so a
-    hot group sends at most ``n`` rows from each task.
+    Up to the planner's limit on group limits every map task is cut to its own first ``n`` per
+    group before the shuffle, so a hot group sends at most ``n`` rows from each task. Beyond it
+    rows are numbered by a range sort, which spreads a hot group as well.
     """
+    if n > int(df.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold", "1000")):
+        return with_position(df, groups, order, into).filter(F.col(into) <= n)
     window = Window.partitionBy(*groups).orderBy(*order)
     return df.withColumn(into, F.row_number().over(window)).filter(F.col(into) <= n)
 
@@ -58,19 +61,19 @@ def relevance_order(relevance: Column | None = None, order: str = "seq") -> list
     return [score.desc_nulls_last(), F.col(order).asc()]
 
 
-def resource_slot(items: DataFrame, groups: list[str]) -> DataFrame:
+def resource_slot(items: DataFrame, groups: list[str], order: str = "seq") -> DataFrame:
     """The one video each issue promotes.
 
     A pick beats an instructional title, which beats any video; among picks the title does not
-    count. Best relevance wins inside a level and the earliest position breaks ties. A single
-    aggregate, combined on the map side.
+    count. Best relevance on the two-decimal grid wins inside a level and the earliest position
+    breaks ties. A single aggregate, combined on the map side.
     """
     level = F.when(F.col("is_pick"), 2).when(is_instructional(F.col("title")), 1).otherwise(0)
-    best = F.struct(level, F.coalesce("relevance", F.lit(0.0)), -F.col("seq"))
+    best = F.struct(level, two_decimals(F.coalesce("relevance", F.lit(0.0))), -F.col(order))
     return (
         items.filter(F.col("video_id").isNotNull())
         .groupBy(*groups)
-        .agg(F.max_by(F.struct("seq", "title", "video_id"), best).alias("_r"))
+        .agg(F.max_by(F.struct(order, "title", "video_id"), best).alias("_r"))
         .select(*groups, "_r.*")
     )
 
@@ -103,9 +106,9 @@ def highlights(items: DataFrame, groups: list[str], position: str = "position",
     )
 
 
-def sectioned(items: DataFrame, resource: DataFrame | None = None) -> DataFrame:
+def sectioned(items: DataFrame, resource: DataFrame | None = None, key: str = "seq") -> DataFrame:
     """Add section and its order; leave out the item promoted to the resource slot."""
-    kept = items if resource is None else items.join(resource.select("seq"), "seq", "left_anti")
+    kept = items if resource is None else items.join(resource.select(key), key, "left_anti")
     return kept.withColumn("section_order", category_ordinal(F.col("category"))).withColumn(
         "section", F.coalesce("category", F.lit(UNCATEGORISED))
     )

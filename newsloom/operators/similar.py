@@ -70,7 +70,7 @@ def _exploded(sets: DataFrame, prefix: str, threshold: float, smaller: bool) ->
 
 def _matches(small: DataFrame, large: DataFrame, threshold: float, budget: BlockBudget) -> DataFrame:
     """Pairs (small set, large set) at or over the threshold, each exactly once."""
-    salts = F.least(F.ceil(F.col("_df") / F.lit(budget.salt_rows)), F.lit(4096)).cast("int")
+    salts = F.ceil(F.col("_df") / F.lit(budget.salt_rows)).cast("int")
     left = _exploded(small, "s", threshold, True).withColumn(
         "salt", F.explode(F.sequence(F.lit(0), salts - 1))
     )

@@ -61,10 +61,10 @@ def ranked(
 def lay_out(issue: DataFrame) -> DataFrame:
     """Section every item in page order; the promoted video is in the section ``Resource``."""
     keyed = issue.withColumn("_issue", F.lit(1))
-    resource = resource_slot(keyed, ["_issue"]).select("seq")
-    body = sectioned(issue, resource)
+    resource = resource_slot(keyed, ["_issue"], "position").select("position")
+    body = sectioned(issue, resource, "position")
     promoted = (
-        issue.join(resource, "seq", "left_semi")
+        issue.join(resource, "position", "left_semi")
         .withColumn("section", F.lit("Resource"))
         .withColumn("section_order", F.lit(99))
     )

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -32,7 +34,7 @@ def scratch_root(spark: SparkSession) -> str:
     """The folder for intermediate tables.
 
     A cluster names a shared one in ``spark.checkpoint.dir``. Only where that is unset, and only
-    for a local master, is a temporary folder chosen, once per session.
+    for a local master, is a temporary folder chosen, once per session; it goes when Python ends.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
@@ -42,12 +44,14 @@ def scratch_root(spark: SparkSession) -> str:
     made = spark.conf.get("newsloom.local.scratch", None)
     if not made:
         made = tempfile.mkdtemp(prefix="newsloom-")
+        atexit.register(shutil.rmtree, made, ignore_errors=True)
         spark.conf.set("newsloom.local.scratch", made)
     return made
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
-    return f"{scratch_root(spark)}/newsloom/{label}-{uuid.uuid4().hex}"
+    """A new place under the run's own folder, which can be dropped whole once the run's results are stored."""
+    return f"{scratch_root(spark)}/newsloom/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
@@ -60,13 +64,3 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
-
-def spread(df: DataFrame, few: int = 16) -> DataFrame:
-    """Share a table of only a few splits among all cores before heavy per-row work.
-
-    A small file with one row group would keep one core busy. Tables with more than ``few``
-    splits, or enough for every core, are left as they are, so large inputs are never shuffled.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    splits = df.rdd.getNumPartitions()
-    return df.repartition(cores) if splits < min(cores, few + 1) else df

@@ -7,6 +7,9 @@ the run writes.
 
 from __future__ import annotations
 
+from urllib.parse import quote
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -16,11 +19,18 @@ from newsloom.session import materialize
 
 def read_table(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """The table, or an empty one before its first write."""
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    fs = hadoop.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(hadoop):
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException as exc:
+        if exc.getCondition() != "PATH_NOT_FOUND":
+            raise
         return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).parquet(path)
+
+
+def write_partition(rows: DataFrame, path: str, **part: object) -> None:
+    """Replace one partition of a table as a whole, also by nothing."""
+    folder = "/".join(f"{name}={quote(str(value), safe='')}" for name, value in part.items())
+    rows.write.mode("overwrite").parquet(f"{path}/{folder}")
 
 
 def append_new(rows: DataFrame, path: str, run: str, key: str = "uid") -> DataFrame:
@@ -32,13 +42,7 @@ def append_new(rows: DataFrame, path: str, run: str, key: str = "uid") -> DataFr
     schema = T.StructType([*rows.schema.fields, T.StructField("run", T.StringType())])
     known = read_table(spark, path, schema).filter(F.col("run") != run).select(key)
     one = rows.groupBy(key).agg(F.min_by(F.struct(*rows.columns), "seq").alias("_r")).select("_r.*")
-    fresh = one.join(known, key, "left_anti").withColumn("run", F.lit(run))
-    (
-        fresh.write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("run")
-        .parquet(path)
-    )
+    write_partition(one.join(known, key, "left_anti"), path, run=run)
     return spark.read.schema(schema).parquet(path).filter(F.col("run") == run)
 
 
@@ -50,13 +54,18 @@ def publish(rows: DataFrame, path: str, run: str, full_run: bool = True) -> Data
 
 
 def latest_scores(*ledgers: DataFrame) -> DataFrame:
-    """Replace on (uid, prompt, model): the last verdict wins, whether it kept or dropped the item."""
-    rows = ledgers[0]
-    for other in ledgers[1:]:
+    """Replace on (uid, prompt, model): the last write wins, whatever it says and whenever it was scored.
+
+    A later ledger replaces an earlier one. Inside one ledger the newest verdict counts, at equal
+    times the higher one.
+    """
+    ranked = [rows.withColumn("_write", F.lit(i)) for i, rows in enumerate(ledgers)]
+    rows = ranked[0]
+    for other in ranked[1:]:
         rows = rows.unionByName(other)
     keys = ["uid", "prompt_hash", "model"]
-    newest = F.max_by(F.struct(*rows.columns), F.struct("scored_at", "relevance"))
-    return rows.groupBy(*keys).agg(newest.alias("_r")).select("_r.*")
+    newest = F.max_by(F.struct(*rows.columns), F.struct("_write", "scored_at", "relevance"))
+    return rows.groupBy(*keys).agg(newest.alias("_r")).select("_r.*").drop("_write")
 
 
 def upsert_scores(scores: DataFrame, path: str) -> DataFrame:

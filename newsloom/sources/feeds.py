@@ -164,7 +164,7 @@ def works_items(landing: DataFrame) -> DataFrame:
         ).alias("url"),
         F.try_to_timestamp("publication_date", F.lit("yyyy-MM-dd")).alias("published_at"),
         F.when(first.isNotNull(), author).alias("author"),
-        inflate_index(F.col("abstract_inverted_index")).alias("raw_text"),
+        html_to_text(inflate_index(F.col("abstract_inverted_index"))).alias("raw_text"),
         "doi",
         venue["type"].alias("venue_type"),
     ).withColumn(

@@ -102,7 +102,7 @@ def load_labels(raw: DataFrame, known: DataFrame) -> DataFrame:
         .join(asked, "uid", "left")
         .withColumn(
             "problem",
-            F.when(~F.col("bucket").isin(BUCKETS), "unknown bucket").when(
+            F.when(~F.coalesce(F.col("bucket").isin(BUCKETS), F.lit(False)), "unknown bucket").when(
                 F.col("_known").isNull(), "labelled but not in the item set"
             ),
         )

@@ -5,14 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from newsloom.functions.text import BOILERPLATE, contains_any, html_to_text, mentions_any, SUBJECT_TERMS
+from newsloom.functions.text import BOILERPLATE, contains_any, decode_entities, html_to_text, mentions_any, SUBJECT_TERMS
 from newsloom.functions.urls import is_absolute_http, resolve_url, unwrap_tracker
 from newsloom.operators.gates import headline_length_ok
 
 # Advertised feeds that never carry stories, and feed file endings.
 JUNK_FEEDS = ["/comments/feed", "wp-json", "oembed", "web-stories", "/feed/atom", "?attachment_id="]
 FEED_FILES = r"(?i)^[^?]*\.(rss|xml|atom)(\?.*)?$"
-MAX_LINKED_FEEDS = 8
 
 _ANCHOR = r"(?is)<a\s[^>]*>.*?</a\s*>"
 _LINK = r"(?is)<link\b[^>]*>"
@@ -22,12 +21,17 @@ def _attribute(tag: Column, name: str) -> Column:
     """Value of an attribute, quoted either way or bare, with entities decoded."""
     head = F.regexp_extract(tag, r"(?s)^<[^>]*>", 0)
     quoted = F.regexp_extract(head, rf"""(?is)\s{name}\s*=\s*("([^"]*)"|'([^']*)'|([^\s>"']+))""", 1)
-    return F.replace(F.regexp_replace(quoted, r"""^["']|["']$""", ""), F.lit("&amp;"), F.lit("&"))
+    return decode_entities(F.regexp_replace(quoted, r"""^["']|["']$""", ""))
+
+
+def visible(html: Column) -> Column:
+    """Markup without comments, scripts and styles: links inside them are not links."""
+    return F.regexp_replace(html, r"(?is)<!--.*?-->|<(script|style)\b.*?</\1\s*>", " ")
 
 
 def anchors(pages: DataFrame, key: str = "page_id") -> DataFrame:
     """Every anchor with a target: link_pos, href as written, link text."""
-    found = F.regexp_extract_all("html", F.lit(_ANCHOR), F.lit(0))
+    found = F.regexp_extract_all(visible(F.col("html")), F.lit(_ANCHOR), F.lit(0))
     return (
         pages.select(key, F.posexplode(found).alias("link_pos", "_tag"))
         .select(
@@ -70,9 +74,10 @@ def discover_feeds(pages: DataFrame) -> DataFrame:
     """Feeds a crawled page points to: page_id, feed_pos, feed_url, note.
 
     Advertised feeds win; junk ones are left out. A page advertising none falls back to links to
-    feed files, the first eight. A page with neither gives one row with a null feed and why.
+    feed files, all of them; limit by ``feed_pos`` where fewer are wanted. A page with neither gives one row with a null feed and why.
     """
-    tags = F.regexp_extract_all("html", F.lit(_LINK), F.lit(0))
+    html = visible(F.col("html"))
+    tags = F.regexp_extract_all(html, F.lit(_LINK), F.lit(0))
     advertised = F.filter(
         tags,
         lambda t: F.array_contains(F.split(F.lower(_attribute(t, "rel")), r"\s+"), "alternate")
@@ -84,7 +89,7 @@ def discover_feeds(pages: DataFrame) -> DataFrame:
     def is_junk(u: Column) -> Column:
         return contains_any(u, JUNK_FEEDS)
 
-    hrefs = F.transform(F.regexp_extract_all("html", F.lit(r"(?is)<a\s[^>]*>"), F.lit(0)), lambda t: _attribute(t, "href"))
+    hrefs = F.transform(F.regexp_extract_all(html, F.lit(r"(?is)<a\s[^>]*>"), F.lit(0)), lambda t: _attribute(t, "href"))
     files = F.transform(
         F.filter(hrefs, lambda h: (h != "") & h.rlike(FEED_FILES)), lambda h: resolve_url(F.col("url"), h)
     )
@@ -92,7 +97,7 @@ def discover_feeds(pages: DataFrame) -> DataFrame:
         "page_id",
         F.array_distinct(F.filter(heads, lambda u: ~is_junk(u))).alias("_head"),
         F.size(F.filter(heads, is_junk)).alias("_junk"),
-        F.slice(F.array_distinct(files), 1, MAX_LINKED_FEEDS).alias("_files"),
+        F.array_distinct(files).alias("_files"),
     )
     chosen = F.when(F.size("_head") > 0, F.col("_head")).otherwise(F.col("_files"))
     note = (

@@ -41,7 +41,7 @@ pos AS (SELECT *, row_number() OVER (PARTITION BY issue_date ORDER BY rel2 DESC,
 
 RESOURCE = """res AS (SELECT issue_date, seq, title, video_id FROM (SELECT *, row_number() OVER (PARTITION BY issue_date ORDER BY
     CASE WHEN is_pick THEN 2 WHEN regexp_matches(title, '(?i)\\b(how[\\s-]?to|tips?|tricks?|resources?|mistakes?)\\b') THEN 1 ELSE 0 END DESC,
-    relevance DESC, seq) AS r FROM iss WHERE video_id IS NOT NULL) x WHERE r = 1)"""
+    CAST(format('{:.2f}', relevance) AS DOUBLE) DESC, seq) AS r FROM iss WHERE video_id IS NOT NULL) x WHERE r = 1)"""
 
 
 def positioned(spark, sf):

@@ -16,9 +16,9 @@ def events(spark, sf):
 
 @query("stream_dedupe", "SELECT DISTINCT user_id, event_type FROM events")
 def _dedupe(spark, sf):
-    path = scratch_path(spark, "stream-dedupe")
+    path, state = scratch_path(spark, "stream-dedupe"), scratch_path(spark, "state")
     unique = st.dedupe(events(spark, sf), ["user_id", "event_type"], "ts", "60 days")
-    st.run_to_table(unique.select("user_id", "event_type"), path)
+    st.run_to_table(unique.select("user_id", "event_type"), path, state)
     return spark.read.parquet(path)
 
 
@@ -27,9 +27,9 @@ _WINDOWS = """SELECT window_start, window_start + INTERVAL {width} DAY AS window
 
 
 def closed(spark, sf, width, slide=None):
-    path = scratch_path(spark, "stream-volume")
+    path, state = scratch_path(spark, "stream-volume"), scratch_path(spark, "state")
     counts = st.volume(events(spark, sf), "event_type", "ts", width, "1 day", slide)
-    st.run_to_table(counts, path)
+    st.run_to_table(counts, path, state)
     return spark.read.parquet(path).withColumns(
         {c: F.col(c).cast("timestamp_ntz") for c in ("window_start", "window_end")}
     )
@@ -58,18 +58,30 @@ def _sliding(spark, sf):
 
 @query("stream_seen_upsert", "SELECT user_id, min(event_id) AS event_id FROM events GROUP BY user_id")
 def _upsert(spark, sf):
+    path, state = scratch_path(spark, "stream-seen"), scratch_path(spark, "state")
+    st.run_batches(events(spark, sf).select("user_id", "event_id"), st.append_unseen(path, "user_id", "event_id", "all"), state)
+    return spark.read.parquet(path).select("user_id", "event_id")
+
+
+@query("stream_seen_two_runs", "SELECT user_id, min(event_id) AS event_id FROM events GROUP BY user_id")
+def _two_runs(spark, sf):
+    """Two jobs, each with a state of its own, over the two halves of the events: neither loses the other's rows."""
     path = scratch_path(spark, "stream-seen")
-    st.run_batches(events(spark, sf).select("user_id", "event_id"), st.append_unseen(path, "user_id", "event_id"))
+    rows = events(spark, sf).select("user_id", "event_id")
+    half = table(spark, sf, "events").agg(F.expr("max(event_id) div 2")).first()[0]
+    for job, part in (("early", F.col("event_id") <= half), ("late", F.col("event_id") > half)):
+        handler = st.append_unseen(path, "user_id", "event_id", job)
+        st.run_batches(rows.filter(part), handler, scratch_path(spark, "state"))
     return spark.read.parquet(path).select("user_id", "event_id")
 
 
 @query("stream_recency", "SELECT event_id, ts FROM events WHERE ts >= (SELECT max(ts) FROM events) - INTERVAL 7 DAY")
 def _recency(spark, sf):
-    path = scratch_path(spark, "stream-recent")
+    path, state = scratch_path(spark, "stream-recent"), scratch_path(spark, "state")
     # The reference time is a job parameter: one value, the newest timestamp of the table.
     now = table(spark, sf, "events").agg(F.max("ts").cast("timestamp").cast("string")).first()[0]
     fresh = st.recent_only(events(spark, sf).select("event_id", "ts"), "ts", F.lit(now).cast("timestamp"), 7)
-    st.run_to_table(fresh, path)
+    st.run_to_table(fresh, path, state)
     return spark.read.parquet(path).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
 
 
@@ -79,8 +91,8 @@ def _recency(spark, sf):
     FROM events GROUP BY user_id""",
 )
 def _silent(spark, sf):
-    path = scratch_path(spark, "stream-last")
+    path, state = scratch_path(spark, "stream-last"), scratch_path(spark, "state")
     talk = events(spark, sf).select(F.col("user_id").cast("string").alias("user"), "ts")
-    st.run_batches(talk, st.track_last_seen(path, "user", "ts"))
+    st.run_batches(talk, st.track_last_seen(path, "user", "ts", "all"), state)
     quiet = st.silent_sources(spark.read.parquet(path), "12 HOURS")
     return quiet.withColumn("last_seen", F.col("last_seen").cast("timestamp_ntz"))

@@ -9,15 +9,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsloom.functions.urls import canonical_url, item_uid
+from newsloom.functions.urls import TRACKING_PARAMS, canonical_url, item_uid
 from newsloom.operators.aggregates import dedupe_newest
 from newsloom.schema import BEATS, SOURCE_TYPES, literal_array
-from newsloom.session import spread
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    df = spark.read.parquet(f"{sf}/{name}.parquet")
-    return spread(df) if name in ("documents", "pages") else df
+    return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
 def items(spark: SparkSession, sf: str) -> DataFrame:
@@ -102,10 +100,7 @@ items_raw AS (
 )"""
 
 _URL = r"^([A-Za-z][A-Za-z0-9+.\-]*)://([^/?#]*)([^?#]*)(?:\?([^#]*))?"
-_TRACKING = (
-    "'utm_source','utm_medium','utm_campaign','utm_term','utm_content','fbclid',"
-    "'gclid','mc_cid','mc_eid','ref','ref_src','source'"
-)
+_TRACKING = ",".join(f"'{p}'" for p in TRACKING_PARAMS)
 
 
 def sql_canonical(u: str) -> str:

@@ -170,3 +170,44 @@ def test_feed_dates(evaluate):
 @pytest.mark.parametrize("score", [0.125, 0.135, 0.575, 0.585, 0.005, 0.015, 0.995, 1.0, 0.0, 0.45, 0.625])
 def test_two_decimals_agree_with_python_formatting(evaluate, score):
     assert evaluate(tx.two_decimals, score) == float(f"{score:.2f}")
+
+
+@pytest.mark.parametrize(
+    "text, want",
+    [
+        ("It&#8217;s caf&eacute; &amp; bar", "It’s café & bar"),
+        ("&rsquo;&#x2019;&#39;", "’’'"),
+        ("&amp;lt;b&amp;gt; &lt;i&gt;", "&lt;b&gt; <i>"),
+        ("&unknownref; &#0; &#xD800; a & b", "&unknownref; &#0; &#xD800; a & b"),
+        ("no references", "no references"),
+    ],
+)
+def test_decode_entities(evaluate, text, want):
+    assert evaluate(tx.decode_entities, text) == want
+
+
+@pytest.mark.parametrize(
+    "text, want",
+    [
+        ("Thu, 13 Aug 2026 09:31:07 +0000", "2026-08-13 09:31:07"),
+        ("Thu, 13 Aug 2026 09:31 +0000", "2026-08-13 09:31:00"),
+        ("Thursday, 13 Aug 2026 9:31:07 +0200", "2026-08-13 07:31:07"),
+        ("13 Aug 26 09:31 GMT", "2026-08-13 09:31:00"),
+        ("1 Jan 99 00:00:00 +0000", "1999-01-01 00:00:00"),
+        ("2026-08-13T09:31:07Z", "2026-08-13 09:31:07"),
+        ("soon", None),
+    ],
+)
+def test_feed_dates(evaluate, text, want):
+    assert evaluate(lambda c: tx.rfc822_timestamp(c).cast("string"), text) == want
+
+
+def test_two_decimals_above_a_thousand(evaluate):
+    assert evaluate(tx.two_decimals, 1234.567) == 1234.57
+    assert evaluate(tx.two_decimals, 0.575) == 0.57
+
+
+def test_headline_with_a_long_limit(evaluate):
+    words = "coral " * 200
+    got = evaluate(lambda c: tx.headline(c, 600), words)
+    assert got.endswith("…") and 590 < len(got) <= 601

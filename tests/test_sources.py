@@ -111,7 +111,7 @@ def test_feed_discovery(spark):
     for r in pg.discover_feeds(pages).orderBy("page_id", "feed_pos").collect():
         got.setdefault(r["page_id"], []).append((r["feed_url"], r["note"]))
     assert got[1] == [("https://a.com/feed", "")]
-    assert len(got[2]) == 8 and got[2][0][0] == "https://b.com/f0.xml"
+    assert len(got[2]) == 12 and got[2][0][0] == "https://b.com/f0.xml"
     assert got[3] == [(None, "page loads but advertises no feed")]
     assert got[4] == [(None, "advertises 1 feed(s), all boilerplate")]
 

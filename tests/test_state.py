@@ -64,7 +64,7 @@ def feed(spark, tmp_path):
 def test_stream_append_equals_batch_and_survives_replay(spark, feed):
     folder, stream = feed
     path = scratch_path(spark, "stream")
-    handler = st.append_unseen(path, "uid", "id")
+    handler = st.append_unseen(path, "uid", "id", "j")
     batches = []
 
     def twice(batch, batch_id):
@@ -72,7 +72,7 @@ def test_stream_append_equals_batch_and_survives_replay(spark, feed):
         handler(batch, batch_id)
         handler(batch, batch_id)
 
-    st.run_batches(stream.select("uid", "id"), twice)
+    st.run_batches(stream.select("uid", "id"), twice, scratch_path(spark, "state"))
     assert len(batches) == 3
     got = spark.read.parquet(path)
     assert got.count() == got.select("uid").distinct().count() == 4
@@ -81,10 +81,10 @@ def test_stream_append_equals_batch_and_survives_replay(spark, feed):
 def test_stream_dedupe_and_volume_equal_batch(spark, feed):
     folder, stream = feed
     path = scratch_path(spark, "stream")
-    st.run_to_table(st.dedupe(stream, ["uid"], "ts", "60 days").select("uid"), path)
+    st.run_to_table(st.dedupe(stream, ["uid"], "ts", "60 days").select("uid"), path, scratch_path(spark, "state"))
     assert sorted(r["uid"] for r in spark.read.parquet(path).collect()) == ["u0", "u1", "u2", "u3"]
     out = scratch_path(spark, "stream")
-    st.run_to_table(st.volume(stream, "source", "ts", "5 days", "20 days"), out)
+    st.run_to_table(st.volume(stream, "source", "ts", "5 days", "20 days"), out, scratch_path(spark, "state"))
     newest = T0 + dt.timedelta(days=29)
     batch = (
         spark.read.parquet(folder)
@@ -99,6 +99,33 @@ def test_stream_dedupe_and_volume_equal_batch(spark, feed):
 def test_silent_sources(spark, feed):
     _, stream = feed
     path = scratch_path(spark, "stream")
-    st.run_batches(stream, st.track_last_seen(path, "source", "ts"))
+    st.run_batches(stream, st.track_last_seen(path, "source", "ts", "j"), scratch_path(spark, "state"))
     got = {r["source"]: r["silent"] for r in st.silent_sources(spark.read.parquet(path), "5 DAYS").collect()}
     assert got == {"s1": True, "s2": False} or got == {"s1": False, "s2": True}
+
+
+def test_a_new_job_keeps_what_an_older_one_wrote(spark, feed):
+    folder, stream = feed
+    path = scratch_path(spark, "stream")
+    for job, part in (("one", "id < 12"), ("two", "id >= 12")):
+        st.run_batches(
+            stream.select("uid", "id").filter(part), st.append_unseen(path, "uid", "id", job), scratch_path(spark, "state")
+        )
+    got = spark.read.parquet(path)
+    assert got.count() == got.select("uid").distinct().count() == 4
+
+
+def test_scores_written_later_replace_earlier_ones_whatever_they_say(spark):
+    schema = "uid string, prompt_hash string, model string, relevance double, scored_at timestamp_ntz"
+    path = scratch_path(spark, "scores")
+    ledgers.upsert_scores(spark.createDataFrame([("a", "p1", "m", 0.9, T0)], schema), path)
+    out = ledgers.upsert_scores(spark.createDataFrame([("a", "p1", "m", 0.1, T0)], schema), path)
+    assert [r["relevance"] for r in out.collect()] == [0.1]
+
+
+def test_a_retry_with_nothing_leaves_nothing(spark):
+    path = scratch_path(spark, "seen")
+    rows = spark.createDataFrame([("a", 1)], "uid string, seq long")
+    assert ledgers.append_new(rows, path, "r/1").count() == 1
+    assert ledgers.append_new(rows.limit(0), path, "r/1").count() == 0
+    assert ledgers.append_new(rows, path, "r2").count() == 1
