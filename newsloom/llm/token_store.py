@@ -1,8 +1,9 @@
 """Token-id shards with a minimal perfect hash index.
 
-File format, two Parquet tables in one folder:
+File format, three Parquet tables in one folder:
 
-* ``shards``: shard, start (ids of all shards before it), payload (the raw ids of its documents one
+* ``starts``: shard, start (ids of all shards before it).
+* ``shards``: shard, n_ids, payload (the raw ids of its documents one
   after the other, little-endian unsigned 16 or 32 bits), entries (key, offset, n per document, in
   ids). Shards follow ascending doc_id and are bounded in ids and in documents.
 * ``index``: one row per hash bucket of keys: seeds (one displacement per group of keys), prints
@@ -30,7 +31,7 @@ SHARD_DOCS = 10_000
 BUCKET_KEYS = 2_000
 GROUP_KEYS = 4
 #: Words and pieces a worker remembers before it starts anew.
-REMEMBERED = 400_000
+REMEMBERED = 350_000
 
 WORKER: dict = {}
 
@@ -57,12 +58,14 @@ def piece_encoder(tokenizer_json: str):
     shown = {b: chr(b) for b in visible} | {b: chr(256 + i) for i, b in enumerate(hidden)}
     model = whole.model
     words: dict[bytes, bytes] = {}
-    pieces: dict[str, list[int]] = {}
+    pieces: dict[str, bytes] = {}
+    plain = regex.compile("[\x00-\u024f]*").fullmatch
 
     def piece_ids(piece):
         ids = pieces.get(piece)
         if ids is None:
-            ids = [t.id for t in model.tokenize(piece.encode().decode("latin-1").translate(shown))]
+            seen = piece if piece.isascii() and piece.isprintable() else piece.encode().decode("latin-1").translate(shown)
+            ids = array.array("H", [t.id for t in model.tokenize(seen)]).tobytes()
             if len(pieces) >= REMEMBERED:
                 pieces.clear()
             pieces[piece] = ids
@@ -71,11 +74,15 @@ def piece_encoder(tokenizer_json: str):
     def word_ids(word):
         text = word.decode()
         # Below U+0250 composition changes nothing and lower case is letter by letter.
-        if max(text) < "ɐ":
-            ids = [i for p in split.findall(text.lower()) for i in piece_ids(p)]
-        else:
-            ids = whole.encode(text, add_special_tokens=False).ids
-        return array.array("H", ids).tobytes()
+        if not (text.isascii() or plain(text)):
+            return array.array("H", whole.encode(text, add_special_tokens=False).ids).tobytes()
+        text = text.lower()
+        bare = text.rstrip(".,;:!?")
+        if bare.isascii() and bare.isalpha():
+            # Letters and then punctuation: the pattern makes one piece of either.
+            end = text[len(bare) :]
+            return piece_ids(bare) + piece_ids(end) if end else piece_ids(bare)
+        return b"".join([piece_ids(p) for p in split.findall(text)])
 
     def encode(text):
         found = text.encode().split()
@@ -97,8 +104,17 @@ def piece_encoder(tokenizer_json: str):
     return encode
 
 
-def encoded(docs: DataFrame, tokenizer_json: str, end_id: int) -> DataFrame:
-    """(doc_id, raw, n): the ids of the whole text and the end id, 16 bits each."""
+def id_bounds(docs: DataFrame) -> list[int]:
+    """Ids that cut the table into about as many equal ranges as a shuffle has partitions."""
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    shares = [i / parts for i in range(1, parts)]
+    if not shares:
+        return []
+    return sorted(set(docs.agg(F.percentile_approx(F.col("doc_id").cast("bigint"), shares, 10 * parts)).first()[0] or []))
+
+
+def encoded(docs: DataFrame, tokenizer_json: str, end_id: int, bounds: list[int]) -> DataFrame:
+    """(doc_id, raw, n, part): the ids of the whole text and the end id, 16 bits each, and the range of the doc_id."""
 
     def run(batches):
         import numpy as np
@@ -109,12 +125,16 @@ def encoded(docs: DataFrame, tokenizer_json: str, end_id: int) -> DataFrame:
         last = np.array([end_id], "<u2").tobytes()
         for b in batches:
             raw = [WORKER["encode"](t.as_py() or "") + last for t in b.column(1)]
+            ids = b.column(0).fill_null(-(2**63)).to_numpy()
+            part = np.searchsorted(np.array(bounds, np.int64), ids, side="right").astype(np.int32)
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(raw, pa.binary()), pa.array([len(r) // 2 for r in raw], pa.int64())],
-                names=["doc_id", "raw", "n"],
+                [b.column(0), pa.array(raw, pa.binary()), pa.array([len(r) // 2 for r in raw], pa.int64()), pa.array(part)],
+                names=["doc_id", "raw", "n", "part"],
             )
 
-    return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(run, "doc_id bigint, raw binary, n bigint")
+    return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(
+        run, "doc_id bigint, raw binary, n bigint, part int"
+    )
 
 
 ENTRY = "struct<doc_id:bigint,nth:int,offset:bigint,n:bigint>"
@@ -130,12 +150,19 @@ class TokenStore:
     def shards(self, spark: SparkSession) -> DataFrame:
         return spark.read.parquet(f"{self.path}/shards")
 
+    def starts(self, spark: SparkSession) -> DataFrame:
+        return spark.read.parquet(f"{self.path}/starts")
+
     def index(self, spark: SparkSession) -> DataFrame:
         return spark.read.parquet(f"{self.path}/index")
 
 
-def pack(rows: DataFrame, width: int = 2) -> DataFrame:
-    """Shards from (doc_id, raw, n) rows: range-sorted, then packed as each partition streams by."""
+def pack(rows: DataFrame, bounds: list[int]) -> DataFrame:
+    """Shards from (doc_id, raw, n) rows: dealt out by ranges of doc_id, sorted, and packed as each partition streams by.
+
+    ``bounds`` are the ranges' lower ends, from the ids alone. (A range repartition of the encoded
+    rows would encode every text twice, once for its sample.)
+    """
 
     def run(batches):
         import pyarrow as pa
@@ -147,11 +174,11 @@ def pack(rows: DataFrame, width: int = 2) -> DataFrame:
 
         def shard():
             return pa.RecordBatch.from_pylist(
-                [{"part": part, "seq": made, "n_ids": ids, "payload": b"".join(raws), "entries": entries}], schema=schema
+                [{"shard": (part << 32) + made, "n_ids": ids, "payload": b"".join(raws), "entries": entries}], schema=schema
             )
 
         entry = pa.struct([("doc_id", pa.int64()), ("nth", pa.int32()), ("offset", pa.int64()), ("n", pa.int64())])
-        schema = pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("n_ids", pa.int64()), ("payload", pa.binary()), ("entries", pa.list_(entry))])
+        schema = pa.schema([("shard", pa.int64()), ("n_ids", pa.int64()), ("payload", pa.binary()), ("entries", pa.list_(entry))])
         for b in batches:
             for doc, raw, n in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
                 if raws and (ids + n > SHARD_IDS or len(entries) >= SHARD_DOCS):
@@ -164,8 +191,8 @@ def pack(rows: DataFrame, width: int = 2) -> DataFrame:
         if raws:
             yield shard()
 
-    placed = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "raw")
-    return placed.mapInArrow(run, f"part int, seq int, n_ids bigint, payload binary, entries array<{ENTRY}>")
+    placed = rows.repartitionById(len(bounds) + 1, F.col("part")).sortWithinPartitions("doc_id", "raw").drop("part")
+    return placed.mapInArrow(run, f"shard bigint, n_ids bigint, payload binary, entries array<{ENTRY}>")
 
 
 def key_hash(doc_id: Column, nth: Column) -> Column:
@@ -180,7 +207,7 @@ def mixed(h, seed):
     """64 mixed bits of a hash and a seed, both numpy unsigned."""
     import numpy as np
 
-    x = (h ^ (seed * np.uint64(0x9E3779B97F4A7C15))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (h ^ (np.atleast_1d(seed) * np.uint64(0x9E3779B97F4A7C15))) * np.uint64(0xBF58476D1CE4E5B9)
     x ^= x >> np.uint64(31)
     x = x * np.uint64(0x94D049BB133111EB)
     return x ^ (x >> np.uint64(29))
@@ -267,19 +294,12 @@ def build_index(entries: DataFrame, buckets: int) -> DataFrame:
     )
 
 
-def write_store(rows: DataFrame, path: str) -> TokenStore:
-    """Writes (doc_id, raw, n) rows as a store. Equal doc_ids are numbered from 0 and all kept."""
+def write_store(rows: DataFrame, path: str, bounds: list[int]) -> TokenStore:
+    """Writes encoded rows as a store. Equal doc_ids are numbered from 0 and all kept."""
     spark = rows.sparkSession
-    pack(rows).write.parquet(f"{path}/packed")
-    packed = spark.read.parquet(f"{path}/packed")
-    light = packed.select("part", "seq", "n_ids").withColumn("_all", F.lit(0))
-    starts = prefix_sums(light, "_all", ["part", "seq"], "n_ids", "start").select(
-        F.col("part").alias("_p"), F.col("seq").alias("_s"), "start"
-    )
-    shard = (F.col("part").cast("bigint") * (1 << 32) + F.col("seq")).alias("shard")
-    packed.select("part", "seq", shard, "n_ids", "payload", "entries").join(
-        starts, (F.col("part") == F.col("_p")) & (F.col("seq") == F.col("_s"))
-    ).select("shard", "start", "payload", "entries").write.option("compression", "none").parquet(f"{path}/shards")
+    pack(rows, bounds).write.option("compression", "none").parquet(f"{path}/shards")
+    light = spark.read.parquet(f"{path}/shards").select("shard", "n_ids").withColumn("_all", F.lit(0))
+    prefix_sums(light, "_all", ["shard"], "n_ids", "start").select("shard", "start").write.parquet(f"{path}/starts")
     each = spark.read.parquet(f"{path}/shards").select("shard", F.explode("entries").alias("e")).select("shard", "e.*")
     count = each.count()
     store = TokenStore(path, 1 + count // BUCKET_KEYS)
@@ -320,10 +340,11 @@ def read_ids(spark: SparkSession, store: TokenStore, places: DataFrame) -> DataF
 
     The places of one shard, at most its number of documents, meet its payload; both are bounded.
     """
+    starts = store.starts(spark).withColumnRenamed("shard", "_t")
     grouped = places.groupBy(F.col("shard").alias("_s")).agg(
         F.collect_list(F.struct("doc_id", "nth", "offset", "n")).alias("asked")
-    )
-    shards = store.shards(spark).select("shard", "start", "payload")
+    ).join(starts, F.col("_s") == F.col("_t"))
+    shards = store.shards(spark).select("shard", "payload")
 
     def run(batches):
         import pyarrow as pa
@@ -355,7 +376,8 @@ def tokenise(docs: DataFrame, tokenizer_path: str, end_id: int, path: str) -> To
     """
     with open(tokenizer_path, encoding="utf-8") as f:
         tokenizer_json = f.read()
-    return write_store(encoded(docs, tokenizer_json, end_id), path)
+    bounds = id_bounds(docs)
+    return write_store(encoded(docs, tokenizer_json, end_id, bounds), path, bounds)
 
 
 @query("op6_token_store")
