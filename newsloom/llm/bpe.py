@@ -191,11 +191,11 @@ def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """``docs`` with the column ids (array<int>) in place of text.
 
     A null or empty text has no ids. Repeated rows are encoded each; an empty table gives an empty
-    result; further columns pass through.
+    result; further columns pass through, but for one named ids.
     """
     pieces = read_ranks(path)
     own = {p: i for i, p in enumerate(pieces)}
-    rest = [c for c in docs.columns if c != "text"]
+    rest = [c for c in docs.columns if c not in ("text", "ids")]
     words = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(java_pattern(pattern)), F.lit(0))
     carried = docs.select(F.struct(*rest).alias("row"), words.alias("words"))
     row = carried.schema["row"].dataType.simpleString()
@@ -318,6 +318,7 @@ def round_trip(docs: DataFrame) -> DataFrame:
     import public_tokenizers
 
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    docs = docs.drop("bytes", "n_tokens", "ids_sha256", "decoded_sha256")
     encoded = id_digests(encode(docs, path, public_tokenizers.PATTERN))
     return decode(encoded, path).withColumn("decoded_sha256", F.sha2("bytes", 256)).drop("ids", "bytes")
 

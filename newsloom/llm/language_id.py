@@ -216,10 +216,11 @@ def predict(docs: DataFrame, network: Network) -> DataFrame:
 
     ``und`` with score 0 stands for a null text, one without letters, and any text if there was
     nothing to learn from. Repeated rows are predicted each; an empty table gives an empty result;
-    all columns pass through.
+    further columns pass through, but for those named like the new ones.
     """
     from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
+    docs = docs.drop("lang_pred", "score")
     names = docs.columns
     labels, w = network.labels, network.weights
     block = 4_000_000

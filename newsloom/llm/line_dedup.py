@@ -284,12 +284,14 @@ def cut_lines(docs: DataFrame, store: Store, min_chars: int = MIN_CHARS) -> Data
     A null or empty text is one empty line and stays one. Lines shorter than ``min_chars`` stay.
     Rows that repeat a doc_id are one document: they keep what that document keeps. A null doc_id
     counts as one document that is never the first holder of a line another document holds.
-    An empty table gives an empty result; further columns pass through.
+    An empty table gives an empty result; further columns pass through, but for those named like
+    one of the new ones.
     """
-    drops = repeated_lines(store).groupBy(F.col("doc_id").alias("_id")).agg(
-        F.collect_list(F.struct("hi", "lo")).alias("_drop")
+    docs = docs.drop("n_lines", "n_dropped", "kept")
+    drops = repeated_lines(store).groupBy(F.col("doc_id").alias("__of")).agg(
+        F.collect_list(F.struct("hi", "lo")).alias("__drop")
     )
-    joined = docs.join(drops, F.col("doc_id").eqNullSafe(F.col("_id")), "left").drop("_id")
+    joined = docs.join(drops, F.col("doc_id").eqNullSafe(F.col("__of")), "left").drop("__of")
     names = docs.columns
 
     from pyspark.sql.types import LongType, StringType, StructField, StructType
@@ -321,7 +323,7 @@ def cut_lines(docs: DataFrame, store: Store, min_chars: int = MIN_CHARS) -> Data
             at = {n: i for i, n in enumerate(b.schema.names)}
             out = [
                 lines_of(t, d)
-                for t, d in zip(b.column(at["text"]).to_pylist(), b.column(at["_drop"]).to_pylist(), strict=True)
+                for t, d in zip(b.column(at["text"]).to_pylist(), b.column(at["__drop"]).to_pylist(), strict=True)
             ]
             cols = list(zip(*out, strict=True)) or [(), (), ()]
             yield pa.RecordBatch.from_arrays(
@@ -330,7 +332,7 @@ def cut_lines(docs: DataFrame, store: Store, min_chars: int = MIN_CHARS) -> Data
                 names=[*names, "n_lines", "n_dropped", "kept"],
             )
 
-    return joined.select(*names, "_drop").mapInArrow(run, schema)
+    return joined.select(*names, "__drop").mapInArrow(run, schema)
 
 
 SQL = """

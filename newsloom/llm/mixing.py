@@ -147,23 +147,23 @@ def mixed_documents(docs: DataFrame, **how) -> DataFrame:
     misses its target by half a document at most. Empty documents follow the whole passes. Equal
     rows share one identity and are told apart by their number only.
     """
-    rows = docs.withColumn("_row", F.xxhash64(*docs.columns))
+    rows = docs.withColumn("__row", F.xxhash64(*docs.columns))
     keep = (F.col("_before") + F.floor(F.col("size") / 2) < F.col("_rest")).cast("bigint")
     taken = (
-        mix(rows, carry=("_row",), **how)
-        .groupBy(F.col("_row").alias("_of"))
-        .agg(F.max("epochs").alias("_epochs"), F.sum(keep).alias("_more"))
-        .filter("_epochs + _more > 0")
+        mix(rows, carry=("__row",), **how)
+        .groupBy(F.col("__row").alias("__of"))
+        .agg(F.max("epochs").alias("__epochs"), F.sum(keep).alias("__more"))
+        .filter("__epochs + __more > 0")
     )
-    nth = F.row_number().over(Window.partitionBy("_row").orderBy("_row"))
-    copies = F.col("_epochs") + (F.col("_nth") <= F.col("_more")).cast("bigint")
+    nth = F.row_number().over(Window.partitionBy("__row").orderBy("__row"))
+    copies = F.col("__epochs") + (F.col("__nth") <= F.col("__more")).cast("bigint")
     each = F.explode(F.sequence(F.lit(1).cast("bigint"), copies))
     return (
-        rows.withColumn("_nth", nth)
-        .join(taken, F.col("_row") == F.col("_of"))
+        rows.withColumn("__nth", nth)
+        .join(taken, F.col("__row") == F.col("__of"))
         .filter(copies > 0)
-        .select(*docs.columns, each.alias("_epoch"))
-        .drop("_epoch")
+        .select(*docs.columns, each.alias("__epoch"))
+        .drop("__epoch")
     )
 
 
