@@ -78,41 +78,27 @@ def mentions(texts: DataFrame, aliases: DataFrame, key: str = "doc_id", text: st
 def ownership_chains(entities: DataFrame) -> DataFrame:
     """Every (entity, owner above it) pair with its distance; distance 0 is the entity itself.
 
-    ``entities``: entity_id, parent. Climbs one level for all entities at once, so the number of
-    jobs is the depth of the deepest chain. An owner already on the chain ends it, which makes
-    cycles finite.
+    ``entities``: entity_id, parent. Chains double in length every round: whoever stands at the
+    end of a chain of length 2^k brings the chain above it along, so the number of jobs grows with
+    the logarithm of the deepest one. An entity has one parent, so once an owner comes up again
+    only known owners follow: keeping each owner's smallest distance makes cycles finite.
     """
-    edges = materialize(
-        entities.filter(F.col("parent").isNotNull()).select(F.col("entity_id").alias("owner"), F.col("parent").alias("_next")),
-        "ownership-edges",
+    ids = entities.select(F.col("entity_id").alias("owner"))
+    own = entities.select("entity_id", F.col("entity_id").alias("owner"), F.lit(0).alias("distance"))
+    up = entities.filter(F.col("parent").isNotNull() & (F.col("parent") != F.col("entity_id"))).select(
+        "entity_id", F.col("parent").alias("owner"), F.lit(1).alias("distance")
     )
-    ids = entities.select(F.col("entity_id").alias("_next"))
-    frontier = materialize(
-        entities.select(
-            "entity_id",
-            F.col("entity_id").alias("owner"),
-            F.lit(0).alias("distance"),
-            F.array("entity_id").alias("_path"),
-        ),
-        "ownership-level",
-    )
-    out = frontier
-    while True:
-        frontier = materialize(
-            frontier.join(edges, "owner")
-            .filter(~F.array_contains("_path", F.col("_next")))
-            .join(ids, "_next", "left_semi")
-            .select(
-                "entity_id",
-                F.col("_next").alias("owner"),
-                (F.col("distance") + 1).alias("distance"),
-                F.array_append("_path", F.col("_next")).alias("_path"),
-            ),
-            "ownership-level",
+    chains, rows, reach = materialize(own.unionByName(up.join(ids, "owner", "left_semi")).distinct(), "ownership"), 0, 1
+    while chains.count() > rows:
+        rows = chains.count()
+        ends = chains.filter(F.col("distance") == reach).select("entity_id", F.col("owner").alias("_end"))
+        above = chains.filter("distance > 0").select(
+            F.col("entity_id").alias("_end"), "owner", (F.col("distance") + reach).alias("distance")
         )
-        if not frontier.limit(1).count():
-            return out.drop("_path")
-        out = out.union(frontier)
+        longer = chains.unionByName(ends.join(above, "_end").select("entity_id", "owner", "distance"))
+        chains = materialize(longer.groupBy("entity_id", "owner").agg(F.min("distance").alias("distance")), "ownership")
+        reach *= 2
+    return chains
 
 
 def ownership_statements(entities: DataFrame) -> DataFrame:

@@ -11,9 +11,18 @@ from newsloom.sources.pages import discover_feeds
 
 
 def health_report(
-    registry: DataFrame, entries: DataFrame, pages: DataFrame, now: Column, stale_days: int = STALE_DAYS
+    registry: DataFrame,
+    entries: DataFrame,
+    pages: DataFrame,
+    now: Column,
+    stale_days: int = STALE_DAYS,
+    problems: DataFrame | None = None,
 ) -> DataFrame:
-    """target, verdict, detail, entries: one row per source, found feed, or page without one."""
+    """target, verdict, detail, entries: one row per source, found feed, or page without one.
+
+    ``problems``: source_id, problem, of sources whose body could not be used (`body_problems`). An
+    unusable answer is an error, not a quiet source.
+    """
     known = liveness(registry, entries, now, stale_days).select(
         F.col("source_id").alias("target"),
         "verdict",
@@ -23,6 +32,15 @@ def health_report(
         .alias("detail"),
         "entries",
     )
+    if problems is not None:
+        worst = problems.groupBy(F.col("source_id").alias("_id")).agg(F.min("problem").alias("_problem"))
+        failed = F.col("_problem").isNotNull()
+        known = known.join(worst, F.col("target") == F.col("_id"), "left").select(
+            "target",
+            F.when(failed, "error").otherwise(F.col("verdict")).alias("verdict"),
+            F.when(failed, F.col("_problem")).otherwise(F.col("detail")).alias("detail"),
+            "entries",
+        )
     found = discover_feeds(pages)
     feeds = (
         found.filter(F.col("feed_url").isNotNull())

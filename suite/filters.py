@@ -210,7 +210,7 @@ def _excerpt(spark, sf):
 
 @query(
     "score_payload",
-    f"""WITH {ITEMS_UID} SELECT seq, uid, source_name AS source, title, substr(raw_text, 1, 600) AS text,
+    f"""WITH {ITEMS_UID} SELECT seq, uid, source_name AS source, title, coalesce(raw_text, '') AS text,
     strftime(published_at, '%Y-%m-%d') AS published FROM items""",
 )
 def _payload(spark, sf):

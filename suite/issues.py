@@ -8,6 +8,7 @@ from newsloom.operators import gates, joins
 from newsloom.plans import health
 from newsloom.plans import issue as iss
 from newsloom.plans import scoring
+from newsloom.sources.feeds import body_problems
 from suite.aggregates import aged_entries
 from suite.filters import VIDEO_TITLE
 from suite.ingest import FOUND, feed_pages
@@ -56,6 +57,16 @@ def _score(spark, sf):
     return scored.select("uid", "relevance", "category", "outcome")
 
 
+@query(
+    "rejected_verdicts",
+    f"""WITH {UNIQUE}, n AS (SELECT *, length(title) AS n, regexp_matches(title, '[0-9]') AS d FROM uniq)
+    SELECT 'invented' AS uid, 'unknown' AS reject_reason FROM n WHERE NOT d AND n > 180 UNION ALL SELECT uid, 'omitted' FROM n WHERE d OR n > 180""",
+)
+def _rejected(spark, sf):
+    scored = scoring.score(scoring.payload(unique_items(spark, sf, "source_name", "title", "raw_text")), word_count_scorer())
+    return scoring.rejected_verdicts(scored).select("uid", "reject_reason")
+
+
 @query(
     "valid_verdicts",
     f"""WITH {UNIQUE} SELECT uid, length(title) % 100 / 100 AS relevance FROM uniq WHERE NOT regexp_matches(title, '[0-9]') AND length(title) <= 180""",
@@ -124,13 +135,17 @@ def _build(spark, sf):
     f AS (SELECT source_id, count(*) AS entries, max(CASE WHEN source_id <> 'src7' THEN p END) AS newest FROM e GROUP BY 1),
     j AS (SELECT r.source_id, coalesce(entries, 0) AS entries, CAST(floor((epoch_us(n) - epoch_us(newest)) / 86400000000.0) AS INT) AS age
       FROM (SELECT DISTINCT source_id FROM registry) r LEFT JOIN f USING (source_id), now)
-    SELECT source_id AS target, CASE WHEN entries = 0 THEN 'empty' WHEN age <= 60 THEN 'ok' ELSE 'stale' END AS verdict,
-      CASE WHEN entries = 0 THEN 'has no entries' WHEN age IS NULL THEN 'unknown age' ELSE 'newest ' || age || 'd old' END AS detail, entries FROM j
+    SELECT source_id AS target, CASE WHEN source_id = 'src3' THEN 'error' WHEN entries = 0 THEN 'empty' WHEN age <= 60 THEN 'ok' ELSE 'stale' END AS verdict,
+      CASE WHEN source_id = 'src3' THEN 'unparseable feed' WHEN entries = 0 THEN 'has no entries' WHEN age IS NULL THEN 'unknown age' ELSE 'newest ' || age || 'd old' END AS detail, entries FROM j
     UNION ALL SELECT feed_url, 'discovered', 'advertised by ' || count(DISTINCT page_id) || ' page(s)', 0 FROM found WHERE feed_url IS NOT NULL GROUP BY 1
     UNION ALL SELECT url, 'no-feed', note, 0 FROM found JOIN pages USING (page_id) WHERE feed_url IS NULL""",
 )
 def _health(spark, sf):
     rows = items(spark, sf)
-    return health.health_report(
-        registry(spark, sf).select("source_id").distinct(), aged_entries(rows), feed_pages(spark, sf), gates.newest(rows)
+    sources = registry(spark, sf).select("source_id").distinct()
+    # One source answers with a page instead of its feed.
+    body = F.when(F.col("source_id") == "src3", "<html><body>moved</body></html>").otherwise(
+        "<rss><channel><title>t</title><item><title>x</title></item></channel></rss>"
     )
+    problems = body_problems(sources.withColumn("body", body), "rss")
+    return health.health_report(sources, aged_entries(rows), feed_pages(spark, sf), gates.newest(rows), problems=problems)
