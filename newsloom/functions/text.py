@@ -16,34 +16,39 @@ from newsloom.functions.binding import let
 from newsloom.schema import GIST_MAX_WORDS, literal_array
 
 # Words whose full stop does not end a sentence.
-ABBREVIATIONS = (
-    "dr prof mr mrs ms st sr jr vs etc al inc ltd co corp dept est fig no vol "
-    "approx cf ca ie eg pp ed eds repr trans univ assoc"
-).split()
+ABBREVIATIONS = [
+    "dr", "prof", "mr", "mrs", "ms", "st", "sr", "jr", "vs", "etc", "al", "inc", "ltd", "co", "corp",
+    "dept", "est", "fig", "no", "vol", "approx", "cf", "ca", "ie", "eg", "pp", "ed", "eds", "repr", "trans",
+    "univ", "assoc",
+]
 
 # Words too common to show that two headlines tell one story.
-STOPWORDS = (
-    "a an the and or but of in on at to for from by with as is are was were be "
-    "been being it its this that these those has have had will would can could "
-    "new now our your their his her out up more most just about after before "
-    "over under into than then them they we you i not no all some any one two"
-).split()
+STOPWORDS = [
+    "a", "an", "the", "and", "or", "but", "of", "in", "on", "at", "to", "for", "from", "by", "with", "as",
+    "is", "are", "was", "were", "be", "been", "being", "it", "its", "this", "that", "these", "those", "has",
+    "have", "had", "will", "would", "can", "could", "new", "now", "our", "your", "their", "his", "her",
+    "out", "up", "more", "most", "just", "about", "after", "before", "over", "under", "into", "than",
+    "then", "them", "they", "we", "you", "i", "not", "no", "all", "some", "any", "one", "two",
+]
 
 # Terms kept in capitals, and words kept small, when a headline is recased.
-ACRONYMS = (
-    "PAM RGB DNA RNA LED SPS LPS NOAA ENSO UV ICP MPA MPAS PAR GFO ATS CITES USA US UK "
-    "AI API PH CO2 SST ROV OA"
-).split()
-MINOR_WORDS = "a an and as at but by for in nor of on or the to vs via with from into".split()
+ACRONYMS = [
+    "PAM", "RGB", "DNA", "RNA", "LED", "SPS", "LPS", "NOAA", "ENSO", "UV", "ICP", "MPA", "MPAS", "PAR",
+    "GFO", "ATS", "CITES", "USA", "US", "UK", "AI", "API", "PH", "CO2", "SST", "ROV", "OA",
+]
+MINOR_WORDS = [
+    "a", "an", "and", "as", "at", "but", "by", "for", "in", "nor", "of", "on", "or", "the", "to", "vs",
+    "via", "with", "from", "into",
+]
 
 # Vocabulary of the subject gate.
-SUBJECT_TERMS = (
-    "marine saltwater reef reefs coral corals aquaria aquarium aquariums "
-    "aquatic aquatics aquaculture fish fishes livestock invertebrate "
-    "invertebrates anemone clownfish tang wrasse angelfish frag fragging "
-    "zoanthid acropora montipora cichlid seahorse ornamental mariculture "
-    "quarantine salinity skimmer sump refugium cites bleaching"
-).split()
+SUBJECT_TERMS = [
+    "marine", "saltwater", "reef", "reefs", "coral", "corals", "aquaria", "aquarium", "aquariums",
+    "aquatic", "aquatics", "aquaculture", "fish", "fishes", "livestock", "invertebrate", "invertebrates",
+    "anemone", "clownfish", "tang", "wrasse", "angelfish", "frag", "fragging", "zoanthid", "acropora",
+    "montipora", "cichlid", "seahorse", "ornamental", "mariculture", "quarantine", "salinity", "skimmer",
+    "sump", "refugium", "cites", "bleaching",
+]
 
 # Link texts that are never a story.
 BOILERPLATE = [
