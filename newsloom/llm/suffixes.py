@@ -169,7 +169,7 @@ def spans_of(x: tuple, y: tuple, min_words: int, gram: int):
 
 def neighbour_spans(suffixes: DataFrame, side: str, min_words: int, gram: int) -> DataFrame:
     """(doc_id, start, end, other) from neighbours in the order of (gram, ``side``)."""
-    schema = "part int, edge int, gram bigint, doc_id bigint, place int, right binary, left binary, start int, end int, other bigint"
+    schema = "part int, edge int, tip boolean, gram bigint, doc_id bigint, place int, right binary, left binary, start int, end int, other bigint"
     arrow = to_arrow_schema(StructType.fromDDL(schema))
 
     def run(batches):
@@ -180,8 +180,8 @@ def neighbour_spans(suffixes: DataFrame, side: str, min_words: int, gram: int) -
         first_run, leading, current = [], True, []
 
         def table_of(spans, edges):
-            rows = [(part, 0, None, d, None, None, None, s, e, o) for d, s, e, o in spans]
-            rows += [(part, edge, *x, None, None, None) for edge, x in edges]
+            rows = [(part, 0, None, None, d, None, None, None, s, e, o) for d, s, e, o in spans]
+            rows += [(part, edge, tip, *x, None, None, None) for edge, tip, x in edges]
             cols = list(zip(*rows, strict=True)) if rows else [()] * len(arrow)
             return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, arrow, strict=True)], schema=arrow)
 
@@ -204,19 +204,20 @@ def neighbour_spans(suffixes: DataFrame, side: str, min_words: int, gram: int) -
         if current:
             if leading:
                 first_run = current
-            yield table_of([], [*((1, x) for x in first_run), *((2, x) for x in current)])
+            ends = [(1, x is first_run[0], x) for x in first_run] + [(2, x is current[-1], x) for x in current]
+            yield table_of([], ends)
 
     order = ["gram", side, "doc_id", "place"]
     placed = suffixes.select("gram", "doc_id", "place", "right", "left")
     placed = placed.repartitionByRange(*order).sortWithinPartitions(*order)
     found = materialize(placed.mapInArrow(run, schema), f"suffixes-{side}")
 
-    # One or a few rows per partition end here: the last run of one and the first run of the next.
+    # The last run of a partition meets the first row of the next, the first run the last row before it.
     edges = found.filter("edge > 0")
     parts = edges.select("part").distinct().withColumn("to", F.lead("part").over(Window.orderBy("part")))
-    ends = edges.filter("edge = 2").join(parts, "part").select(F.col("to").alias("_p"), *[F.col(c).alias(f"x_{c}") for c in SUFFIX])
-    starts = edges.filter("edge = 1").select(F.col("part").alias("_q"), *[F.col(c).alias(f"y_{c}") for c in SUFFIX])
-    across = ends.join(starts, (F.col("_p") == F.col("_q")) & (F.col("x_gram") == F.col("y_gram"))).drop("_p", "_q")
+    ends = edges.filter("edge = 2").join(parts, "part").select(F.col("to").alias("_p"), F.col("tip").alias("_x"), *[F.col(c).alias(f"x_{c}") for c in SUFFIX])
+    starts = edges.filter("edge = 1").select(F.col("part").alias("_q"), F.col("tip").alias("_y"), *[F.col(c).alias(f"y_{c}") for c in SUFFIX])
+    across = ends.join(starts, (F.col("_p") == F.col("_q")) & (F.col("x_gram") == F.col("y_gram")) & (F.col("_x") | F.col("_y"))).drop("_p", "_q", "_x", "_y")
 
     def meet(batches):
         import pyarrow as pa
