@@ -27,7 +27,7 @@ DISTANCE = 15
 SHINGLE = 5
 PERCENT = 80
 #: Documents of a cluster that one task compares with as many others.
-BLOCK = 256
+BLOCK = 512
 
 
 def shingle_set(text: str | None, size: int) -> set[bytes]:
