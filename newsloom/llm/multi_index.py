@@ -5,11 +5,13 @@ its nearest centroid of either half. For a search the cells are visited in the o
 their two half distances, a heap walking outwards from the nearest cell, and every vector of a
 visited cell is verified by its exact cosine.
 
-The walk stops where the target recall is met: probe vectors are compared with every row, the
-distance sums at which a walk from a probe reaches its true links are counted, and the smallest
-sum that covers the target share of them, or of made neighbours half way to the link threshold if
-that is larger, ends every walk. (A stop that can be proved to miss nothing, by the distance to a
-cell's border, visits nine cells in ten in 64 dimensions, so it is not used.)
+A link is found if a walk from either of its ends comes to the other, and counts at both ends. The
+walk stops where the target recall is met in every band of cosines from the link threshold up: for
+made neighbours of probe vectors at the lower end of each band, and for the true links of the
+probes, found against every row, with equal weight for each probe, so that a large tight group
+does not decide alone. The largest of these distance sums ends every walk. (A stop that can be
+proved to miss nothing, by the distance to a cell's border, visits nine cells in ten in 64
+dimensions, so it is not used.)
 """
 
 from __future__ import annotations
@@ -21,9 +23,11 @@ from newsloom.llm.common import components, query, ship, table
 from newsloom.session import materialize
 
 COSINE = 0.9
-#: The share of links to find, and the share of made neighbours.
+#: The share of links to find in each band, of true links and of made neighbours.
 RECALL = 0.999
-MADE_RECALL = 0.9
+#: Bands of cosines from the link threshold to 1, and neighbours made per probe and band.
+BANDS = 4
+MADE = 64
 #: The codebooks are fitted on this many vectors at most and have this many centroids at most.
 FIT_ROWS = 16_384
 MOST_CENTROIDS = 2_048
@@ -117,29 +121,51 @@ def linkable(vectors: DataFrame) -> tuple[DataFrame, int]:
     return once, common["n"] if common else 0
 
 
-def made_neighbours(probes, cosine: float):
-    """One random unit vector per probe at the cosine half way between ``cosine`` and 1."""
+def made_neighbours(probes, cosine: float, seed: int = 2):
+    """One random unit vector per probe at the given cosine."""
     import numpy as np
 
-    way = np.random.default_rng(2).normal(size=probes.shape)
+    way = np.random.default_rng(seed).normal(size=probes.shape)
     way -= (way * probes).sum(1)[:, None] * probes
     way /= np.maximum(np.sqrt((way * way).sum(1)), 1e-12)[:, None]
-    near = (1 + cosine) / 2
-    return near * probes + (1 - near * near) ** 0.5 * way
+    return cosine * probes + (1 - cosine * cosine) ** 0.5 * way
+
+
+def band_limit(found: list[tuple[int, int, int]], recall: float) -> int:
+    """The step within which ``recall`` of the links (probe, step, n) lie, if every probe weighs the same."""
+    of, at = {}, {}
+    for probe, _, n in found:
+        of[probe] = of.get(probe, 0) + n
+    for probe, step, n in found:
+        at[step] = at.get(step, 0.0) + n / of[probe]
+    upto = 0.0
+    for step in sorted(at):
+        upto += at[step]
+        if upto >= recall * len(of) - 1e-9:
+            return step
+    return 0
 
 
 def stop_at(ready: DataFrame, probes, books, cosine: float, recall: float) -> float:
-    """The distance sum that ends a walk: ``recall`` of the probes' links, found against all rows, lie within."""
+    """The distance sum that ends a walk: within it lie ``recall`` of the links of every band of cosines.
+
+    The sum of a link is the smaller one of the walks from its two ends.
+    """
     import numpy as np
 
     half = books[0].shape[1]
+    wide = (1 - cosine) / BANDS
+
+    def placed(rows):
+        """Nearest centroids and distances beyond them, per half."""
+        return [half_distances(x, k) for x, k in zip((rows[:, :half], rows[:, half:]), books, strict=True)]
 
-    def reach(rows, which):
-        """Sums at which walks from the probes in ``which`` come to the cells of ``rows``."""
-        cells = [half_distances(x, k)[0] for x, k in zip((rows[:, :half], rows[:, half:]), books, strict=True)]
-        return beyond[0][which, cells[0]] + beyond[1][which, cells[1]]
+    def reach(one, p, two, q):
+        """Sums at which walks between rows ``p`` of one and ``q`` of two come to the other's cell."""
+        there = sum(one[h][1][p, two[h][0][q]] for h in (0, 1))
+        return np.minimum(there, sum(two[h][1][q, one[h][0][p]] for h in (0, 1)))
 
-    beyond = [half_distances(x, k)[1] for x, k in zip((probes[:, :half], probes[:, half:]), books, strict=True)]
+    own = placed(probes)
 
     def count(batches):
         import pyarrow as pa
@@ -150,27 +176,31 @@ def stop_at(ready: DataFrame, probes, books, cosine: float, recall: float) -> fl
             unit, _ = unit_rows(matrix(b.column(0)))
             like = unit @ probes.T
             row, probe = np.nonzero((like >= cosine) & (like < 1 - 1e-12))
-            steps, n = np.unique(np.ceil(reach(unit[row], probe) / GRAIN).astype(np.int64), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(steps), pa.array(n.astype(np.int64))], names=["step", "n"])
-
-    made = np.quantile(reach(made_neighbours(probes, cosine), np.arange(len(probes))), MADE_RECALL)
-    # At most one row per step of a sum that cannot exceed 8.
-    found = ready.select("v").mapInArrow(count, "step bigint, n bigint").groupBy("step").agg(F.sum("n").alias("n"))
-    found = sorted((r["step"], r["n"]) for r in found.collect())
-    total, upto, limit = sum(n for _, n in found), 0, 0.0
-    for step, n in found:
-        upto, limit = upto + n, step * GRAIN
-        if upto >= recall * total:
-            break
-    return max(limit, float(made)) + GRAIN
+            near = np.unique(row)
+            steps = np.ceil(reach(own, probe, placed(unit[near]), np.searchsorted(near, row)) / GRAIN).astype(np.int64)
+            bands = np.minimum((like[row, probe] - cosine) / max(wide, 1e-12), BANDS - 1).astype(np.int64)
+            keys, n = np.unique(np.stack([bands, probe, steps]), axis=1, return_counts=True)
+            yield pa.RecordBatch.from_arrays([*(pa.array(k) for k in keys), pa.array(n.astype(np.int64))], names=["band", "probe", "step", "n"])
+
+    limits, everyone = [0.0], np.arange(len(probes))
+    for band in range(BANDS):
+        made = [reach(own, everyone, placed(made_neighbours(probes, cosine + band * wide, 2 + k)), everyone) for k in range(MADE)]
+        limits.append(float(np.quantile(made, recall)))
+    # At most one row per band, probe and step of a sum that cannot exceed 8.
+    found = ready.select("v").mapInArrow(count, "band bigint, probe bigint, step bigint, n bigint")
+    found = found.groupBy("band", "probe", "step").agg(F.sum("n").alias("n")).collect()
+    for band in range(BANDS):
+        limits.append(GRAIN * band_limit([(r["probe"], r["step"], r["n"]) for r in found if r["band"] == band], recall))
+    return max(limits) + GRAIN
 
 
 def near_links(vectors: DataFrame, cosine: float = COSINE, recall: float = RECALL) -> tuple[DataFrame, DataFrame]:
     """(counts, edges): n_links per distinct vector (id, copies, n), and links (a, b) that span the components.
 
     Every block of queries of a cell meets every block of members of the cells it visits, once;
-    a task compares two blocks of bounded size by a matrix product and returns a count per query
-    and a spanning forest of the links, never the pairs.
+    a task compares two blocks of bounded size by a matrix product and returns counts and a spanning
+    forest of the links, never the pairs. A link counts for the query; for the member too, unless the
+    member's own walk comes to the query's cell and counts it there.
     """
     once, size = linkable(vectors)
     ready = once.filter(F.size("v") == size)
@@ -230,11 +260,11 @@ def near_links(vectors: DataFrame, cosine: float = COSINE, recall: float = RECAL
     visits = materialize(visits, "visits")
     # Queries of one cell and block that visit the same block form one group with it: at most BLOCK or so rows a side.
     pair = ["qcell", "qblock", "visit", "vblock"]
-    rows = visits.join(members.select(F.col("id").alias("_i"), "v"), F.col("id") == F.col("_i")).select(*pair, "id", "v")
+    rows = visits.join(members.select(F.col("id").alias("_i"), "v", "copies"), F.col("id") == F.col("_i")).select(*pair, "id", "v", "copies")
     wanted = visits.select(*pair).distinct()
     held = wanted.join(members, (F.col("visit") == F.col("cell")) & (F.col("vblock") == F.col("block"))).select(*pair, "id", "v", "copies")
 
-    def compare(left, right):
+    def compare(key, left, right):
         import pyarrow as pa
 
         q, m = left["id"].combine_chunks().to_numpy(), right["id"].combine_chunks().to_numpy()
@@ -245,6 +275,9 @@ def near_links(vectors: DataFrame, cosine: float = COSINE, recall: float = RECAL
             linked = one @ two.T >= cosine
             linked &= q[:, None] != m[None, :]
             counts = linked @ copies
+            i, j = divmod(key[0].as_py(), wide)
+            back = sum(half_distances(x, k)[1][:, c] for x, k, c in zip((two[:, :half], two[:, half:]), books, (i, j), strict=True)) <= limit
+            unmet = np.where(back, 0, left["copies"].combine_chunks().to_numpy() @ linked)
             top = np.minimum(q, np.where(linked, m[None, :], np.iinfo(np.int64).max).min(axis=1))
             low = top.copy()
             # Least id over alternating hops inside the block: a spanning star per connected part.
@@ -258,7 +291,7 @@ def near_links(vectors: DataFrame, cosine: float = COSINE, recall: float = RECAL
             right_low = np.where(linked, low[:, None], np.iinfo(np.int64).max).min(axis=0)
             has, got = counts > 0, linked.any(axis=0)
             out_id = np.r_[q[has], m[got]]
-            out_n = np.r_[counts[has], np.zeros(got.sum(), np.int64)]
+            out_n = np.r_[counts[has], unmet[got]]
             out_to = np.r_[low[has], np.minimum(right_low[got], m[got])]
         return pa.table({"id": pa.array(out_id, pa.int64()), "n": pa.array(out_n, pa.int64()), "to": pa.array(out_to, pa.int64())})
 
@@ -280,7 +313,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, recall: float =
     most link with equal ones only.
     Rows that repeat a vec_id and its vector are one vector; a vec_id with several vectors has the
     links of each row's own vector. A null vec_id has no component. An empty table gives an empty
-    result. Links are counted from each vector's own walk.
+    result. A link that a walk from either end comes to is counted at both.
     """
     classes, edges = near_links(vectors, cosine, recall)
     classes = materialize(classes, "vector-classes")

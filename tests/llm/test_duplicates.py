@@ -205,3 +205,28 @@ def test_passages_across_many_partitions(spark):
 
 def test_passages_of_nothing(spark):
     assert suffixes.repeated_passages(frame(spark, [])).count() == 0
+
+
+def links_found(spark, data):
+    """Links found, and true ones, per vector."""
+    rows = [(i, [float(x) for x in v], 0) for i, v in enumerate(np.asarray(data, np.float32))]
+    unit = np.array([v for _, v, _ in rows])
+    unit /= np.linalg.norm(unit, axis=1)[:, None]
+    want = (unit @ unit.T >= 0.9).sum(axis=1) - 1
+    got = {r["vec_id"]: r["n_links"] for r in multi_index.near_duplicates(vectors_of(spark, rows)).collect()}
+    return np.array([got[i] for i in range(len(rows))]), want
+
+
+@pytest.mark.parametrize("hot", [0, 2000])
+def test_multi_index_finds_links_near_the_threshold(spark, hot):
+    """Links at cosines of 0.90 to 0.91 among random vectors, alone and beside a tight group of a third."""
+    rng = np.random.default_rng(11)
+    base = rng.normal(size=(2000, 64))
+    base /= np.linalg.norm(base, axis=1)[:, None]
+    data = np.vstack([base, multi_index.made_neighbours(base, 0.905, 77), base[0] + rng.normal(size=(hot, 64)) * 0.002])
+    got, want = links_found(spark, data)
+    assert (got <= want).all()
+    some = np.arange(1, 2000)
+    assert want[some].sum() >= 1999
+    assert got[some].sum() >= 0.99 * want[some].sum()
+    assert (got == want).mean() >= 0.98
