@@ -7,6 +7,11 @@ sorted, once by the words to their right and once by the words to their left rea
 Neighbours in either order are compared, and each match is extended to the left and right of the
 gram; matches of 50 words or more are merged into passages per document.
 
+Suffixes that share a passage only in part to the right and in part to the left of the gram need
+not be neighbours in either order. The sorts tell how far each suffix agrees with any other
+document on either side; where the windows of 50 words within that reach are not all in passages
+found, an exact step groups those windows of the gram by their hashes.
+
 Both sorts are range sorts that break ties by document, so a passage that a third of the documents
 share is spread over many partitions, and neighbours across partition borders are compared apart.
 """
@@ -168,7 +173,11 @@ def spans_of(x: tuple, y: tuple, min_words: int, gram: int):
 
 
 def neighbour_spans(suffixes: DataFrame, side: str, min_words: int, gram: int) -> DataFrame:
-    """(doc_id, start, end, other) from neighbours in the order of (gram, ``side``)."""
+    """(doc_id, start, end, other) from neighbours in the order of (gram, ``side``), and (doc_id, place, agree).
+
+    The latter is how many words a suffix shares on that side with any other document; suffixes in
+    the first and last run of a partition have all words of a passage, as their neighbours are elsewhere.
+    """
     schema = "part int, edge int, tip boolean, gram bigint, doc_id bigint, place int, right binary, left binary, start int, end int, other bigint"
     arrow = to_arrow_schema(StructType.fromDDL(schema))
 
@@ -178,15 +187,23 @@ def neighbour_spans(suffixes: DataFrame, side: str, min_words: int, gram: int) -
 
         part = TaskContext.get().partitionId()
         first_run, leading, current = [], True, []
+        words = 3 if side == "right" else 4
 
-        def table_of(spans, edges):
-            rows = [(part, 0, None, None, d, None, None, None, s, e, o) for d, s, e, o in spans]
+        def agreeing(agree, x, y):
+            if x[0] == y[0] and x[1] != y[1]:
+                n = common_words(x[words], y[words])
+                for z in (x, y):
+                    agree[z[1], z[2]] = max(n, agree.get((z[1], z[2]), 0))
+
+        def table_of(spans, edges, agree):
+            rows = [(part, -1, None, None, d, p, None, None, n, None, None) for (d, p), n in agree.items()]
+            rows += [(part, 0, None, None, d, None, None, None, s, e, o) for d, s, e, o in spans]
             rows += [(part, edge, tip, *x, None, None, None) for edge, tip, x in edges]
             cols = list(zip(*rows, strict=True)) if rows else [()] * len(arrow)
             return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, arrow, strict=True)], schema=arrow)
 
         for b in batches:
-            spans = set()
+            spans, agree = set(), {}
             for row in zip(*(b.column(i).to_pylist() for i in range(5)), strict=True):
                 # ``current``: the latest rows of one gram and document; the next other document meets them all.
                 if current and (current[-1][0], current[-1][1]) != (row[0], row[1]):
@@ -195,17 +212,19 @@ def neighbour_spans(suffixes: DataFrame, side: str, min_words: int, gram: int) -
                     last = current[-1]
                     for x in current:
                         spans.update(spans_of(x, row, min_words, gram))
+                        agreeing(agree, x, row)
                     before, current = last, [row]
                 else:
                     if current and not leading:
                         spans.update(spans_of(before, row, min_words, gram))
+                        agreeing(agree, before, row)
                     current.append(row)
-            yield table_of(spans, [])
+            yield table_of(spans, [], agree)
         if current:
             if leading:
                 first_run = current
             ends = [(1, x is first_run[0], x) for x in first_run] + [(2, x is current[-1], x) for x in current]
-            yield table_of([], ends)
+            yield table_of([], ends, {(x[1], x[2]): min_words - gram for _, _, x in ends})
 
     order = ["gram", side, "doc_id", "place"]
     placed = suffixes.select("gram", "doc_id", "place", "right", "left")
@@ -231,12 +250,54 @@ def neighbour_spans(suffixes: DataFrame, side: str, min_words: int, gram: int) -
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["doc_id", "start", "end", "other"])
 
     bridged = across.mapInArrow(meet, "doc_id bigint, start int, end int, other bigint")
-    return found.filter("edge = 0").select("doc_id", "start", "end", "other").unionByName(bridged)
+    agree = found.filter("edge = -1").select("doc_id", "place", F.col("start").alias("agree"))
+    return found.filter("edge = 0").select("doc_id", "start", "end", "other").unionByName(bridged), agree
 
 
 SUFFIX = ("gram", "doc_id", "place", "right", "left")
 
 
+def window_spans(suffixes: DataFrame, right: DataFrame, left: DataFrame, spans: DataFrame, min_words: int, gram: int) -> DataFrame:
+    """(doc_id, start, end, other): windows of ``min_words`` words that other documents have, where ``spans`` leave any open.
+
+    ``right`` and ``left`` have (doc_id, place, agree), which bound the windows that can be shared at
+    all. A gram with a window in bounds but in no span has all its windows in bounds compared.
+    """
+    reach = min_words - gram
+    zero = F.lit(0)
+    both = right.select("doc_id", "place", F.col("agree").alias("r"), zero.alias("l")).unionByName(
+        left.select("doc_id", "place", zero.alias("r"), F.col("agree").alias("l"))
+    )
+    both = both.groupBy(F.col("doc_id").alias("_d"), F.col("place").alias("_p")).agg(F.max("r").alias("r"), F.max("l").alias("l"))
+    some = suffixes.join(both.filter(F.col("r") + F.col("l") >= reach), (F.col("doc_id") == F.col("_d")) & (F.col("place") == F.col("_p"))).drop("_d", "_p")
+    some = materialize(some, "suffixes-in-reach")
+    covered = merged(spans).groupBy(F.col("doc_id").alias("_d")).agg(F.collect_list(F.struct("start_word", "end_word")).alias("spans"))
+    inside = F.exists("spans", lambda s: (s["start_word"] <= F.col("place") - F.col("l")) & (s["end_word"] >= F.col("place") + gram + F.col("r")))
+    open_ = some.select("gram", "doc_id", "place", "r", "l").join(covered, F.col("doc_id") == F.col("_d"), "left").filter(~F.coalesce(inside, F.lit(False)))
+    undecided = some.join(open_.select(F.col("gram").alias("_g")).distinct(), F.col("gram") == F.col("_g"), "left_semi")
+
+    def run(batches):
+        import pyarrow as pa
+        import xxhash
+
+        for b in batches:
+            out = []
+            for g, doc, place, after, before, r, l in zip(*(b.column(i).to_pylist() for i in range(7)), strict=True):
+                for k in range(max(0, reach - min(r, len(after) // 4)), min(l, reach, len(before) // 4) + 1):
+                    out.append((g, xxhash.xxh3_64_intdigest(before[: 4 * k] + b"|" + after[: 4 * (reach - k)], k) - 2**63, doc, place - k))
+            cols = list(zip(*out, strict=True)) if out else [()] * 4
+            types = [pa.int64(), pa.int64(), pa.int64(), pa.int32()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["gram", "h", "doc_id", "start"])
+
+    windows = undecided.select(*SUFFIX, "r", "l").mapInArrow(run, "gram bigint, h bigint, doc_id bigint, start int")
+    windows = materialize(windows, "suffix-windows")
+    shared = windows.groupBy(F.col("gram").alias("_g"), F.col("h").alias("_h")).agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("z")).filter("a != z")
+    return windows.join(shared, (F.col("gram") == F.col("_g")) & (F.col("h") == F.col("_h"))).select(
+        "doc_id", "start", (F.col("start") + min_words).cast("int").alias("end"),
+        F.when(F.col("doc_id") == F.col("a"), F.col("z")).otherwise(F.col("a")).alias("other"),
+    )
+
+
 def merged(spans: DataFrame) -> DataFrame:
     """Overlapping and touching spans of a document as one, with the smallest other document."""
     grouped = spans.groupBy("doc_id").agg(
@@ -269,7 +330,7 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, gram: int = G
     """(doc_id, start_word, end_word, n_words, other_doc_id): passages that other documents repeat.
 
     A row is a longest run of words, end exclusive, covered by matches of ``min_words`` words or
-    more with other documents; other_doc_id is the smallest of the neighbours it was matched with.
+    more with other documents; other_doc_id is the smallest of the documents it was matched with.
     Documents whose words are all equal are one class: each copy has one row over its whole text.
     Null, empty and short texts have no rows, nor has a null doc_id; rows that repeat a doc_id are
     one document and not copies of each other. An empty table gives an empty result.
@@ -288,8 +349,9 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, gram: int = G
         F.collect_set(F.struct("place", "gram")).alias("spots")
     )
     suffixes = materialize(contexts(docs, wanted, min_words, gram), "suffixes")
-    sides = [neighbour_spans(suffixes, side, min_words, gram) for side in ("right", "left")]
-    own = merged(sides[0].unionByName(sides[1]))
+    (one, right), (two, left) = (neighbour_spans(suffixes, side, min_words, gram) for side in ("right", "left"))
+    spans = one.unionByName(two)
+    own = merged(spans.unionByName(window_spans(suffixes, right, left, spans, min_words, gram)))
     copied = classes.filter("rep != last")
     members = chosen.select("doc_id", "hi", "lo").join(
         copied.select(F.col("hi").alias("_h"), F.col("lo").alias("_l"), "rep", "last", "n_words"),

@@ -230,3 +230,29 @@ def test_multi_index_finds_links_near_the_threshold(spark, hot):
     assert want[some].sum() >= 1999
     assert got[some].sum() >= 0.99 * want[some].sum()
     assert (got == want).mean() >= 0.98
+
+
+def test_passages_shared_in_part_and_edited_copies_equal_brute_force(spark):
+    """A whole passage among many that have only its first or last words, and copies with single words changed."""
+    rng = random.Random(21)
+    fresh = lambda n: ["".join(rng.choice("abcdefghij") for _ in range(4)) for _ in range(n)]
+    rows = []
+    for p in [fresh(60) for _ in range(4)]:
+        for i in range(75):
+            part = p if i % 9 == 0 else p[:44] if i % 2 else p[16:]
+            rows.append((len(rows), " ".join(fresh(rng.randint(0, 12)) + part + fresh(rng.randint(0, 12)))))
+        for _ in range(6):
+            lo = rng.randint(0, 8)
+            rows.append((len(rows), " ".join(fresh(3) + p[lo : lo + 52] + fresh(3))))
+    for _ in range(4):
+        text = fresh(200)
+        for _ in range(25):
+            rows.append((len(rows), " ".join(edited(rng, text, 0.02))))
+    rng.shuffle(rows)
+    got = suffixes.repeated_passages(frame(spark, rows)).collect()
+    assert {(r["doc_id"], r["start_word"], r["end_word"]) for r in got} == passages_by_hand(rows, 50)
+    words = {i: t.encode().split() for i, t in rows}
+    runs = {i: {tuple(w[k : k + 50]) for k in range(len(w) - 49)} for i, w in words.items()}
+    for r in got:
+        own = words[r["doc_id"]][r["start_word"] : r["end_word"]]
+        assert any(tuple(own[k : k + 50]) in runs[r["other_doc_id"]] for k in range(len(own) - 49))
