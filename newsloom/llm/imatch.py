@@ -1,7 +1,9 @@
 """I-Match document fingerprints, in DataFrame functions only.
 
 The lexicon is every term whose document frequency lies in a band, so neither near-ubiquitous
-words nor one-off ones count. The band's terms are split at random into disjoint sub-lexicons; for
+words nor one-off ones count. Documents with equal term sets count once. Where a large group of near
+copies puts its shared terms above the band, or a document has few terms in it for another reason,
+the document's own rarest terms stand in: the band is widened for it in fixed steps. The band's terms are split at random into disjoint sub-lexicons; for
 each, a document's terms are sorted and hashed as one. An edit changes only the sub-lexicons whose
 terms it touches, so the share of equal hashes tells how alike two documents are.
 
@@ -26,6 +28,11 @@ TERMS = 1.5
 #: The band: terms of at least so many documents and at most this share of them.
 LEAST_DOCS = 2
 MOST_SHARE = 0.1
+#: A document with less than this share of its terms in the band takes the first of the steps that holds as much:
+#: terms below the band as well, then terms up to each of these shares of the documents, at last all terms.
+ENOUGH = 0.25
+WIDER = (0.2, 0.4, 0.8)
+ALL = len(WIDER) + 2
 MASK = 0xFFFFFF
 
 
@@ -35,15 +42,46 @@ def term_hashes(text: Column) -> Column:
     return F.array_distinct(F.transform(words, lambda w: F.xxhash64(w)))
 
 
-def document_frequencies(docs: DataFrame) -> DataFrame:
-    """(h, df) over all documents; counts combine on the map side."""
-    return docs.select(F.explode(term_hashes(F.col("text"))).alias("h")).groupBy("h").agg(F.count("*").alias("df"))
+def document_frequencies(docs: DataFrame) -> tuple[DataFrame, int]:
+    """(h, df) over distinct term sets, and their number; counts combine on the map side.
 
+    Terms are counted over all rows, and once less for every further row with the same set, so that
+    only rows which stand for several are looked up.
+    """
+    terms = docs.select("row", term_hashes(F.col("text")).alias("terms"))
+    sets = terms.select("row", F.xxhash64(F.array_sort("terms")).alias("set")).groupBy("set").agg(
+        F.count("*").alias("n"), F.min("row").alias("row")
+    )
+    sets = materialize(sets, "imatch-sets")
+    several = sets.filter("n > 1").select(F.col("row").alias("_r"), (F.lit(1) - F.col("n")).alias("weight"))
+    less = docs.join(several, F.col("row") == F.col("_r")).select("row", "weight", term_hashes(F.col("text")).alias("terms"))
+    less = less.dropDuplicates(["row"]).select("weight", F.explode("terms").alias("h"))
+    each = terms.select(F.lit(1).cast("bigint").alias("weight"), F.explode("terms").alias("h"))
+    counted = each.unionByName(less).groupBy("h").agg(F.sum("weight").alias("df"))
+    return counted, sets.count()
+
+
+def steps(frequencies: DataFrame, documents: int, least: int = LEAST_DOCS, share: float = MOST_SHARE) -> DataFrame:
+    """(h, step) of terms of at least ``least`` documents; the lexicon is those of step 0.
+
+    They are the band of document frequencies, which is a band of idf = ln(documents / df). Steps
+    2 and on are the terms above it, by the shares of ``WIDER``; step 1 is for terms below it.
+    """
+    df = F.col("df")
+    step = F.when(df <= max(float(least), share * documents), 0)
+    for i, wide in enumerate(WIDER, 2):
+        step = step.when(df <= wide * documents, i)
+    return frequencies.filter(df >= least).select("h", step.otherwise(ALL).alias("step"))
 
-def band(frequencies: DataFrame, documents: int, least: int = LEAST_DOCS, share: float = MOST_SHARE) -> DataFrame:
-    """The lexicon: terms in the band of document frequencies, which is a band of idf = ln(documents / df)."""
-    most = max(float(least), share * documents)
-    return frequencies.filter((F.col("df") >= least) & (F.col("df") <= most)).select("h")
+
+def rare_terms(terms: Column) -> Column:
+    """Sorted hashes of the (step, h) of a document that its sub-lexicons are made from."""
+    out = terms
+    for last in range(ALL - 1, -1, -1):
+        low = 2 if last > 1 else 0
+        own = F.filter(terms, lambda x: (x["step"] == 0) | x["step"].between(low, last))  # noqa: B023
+        out = F.when((F.size(own) > 0) & (F.size(own) >= ENOUGH * F.size(terms)), own).otherwise(out)
+    return F.array_sort(F.transform(out, lambda x: x["h"]))
 
 
 def power(hashes: Column) -> Column:
@@ -68,7 +106,7 @@ def sub_hashes(terms: Column, level: Column) -> Column:
 
 
 def fingerprint(terms: Column, level: Column, whole: Column) -> Column:
-    """struct(level, near, far, whole): the hashes of two levels; ``whole`` stands in if no term is in the lexicon."""
+    """struct(level, near, far, whole): the hashes of two levels; ``whole`` stands in if there is no term."""
     return F.struct(
         level.alias("level"), sub_hashes(terms, level).alias("near"), sub_hashes(terms, level + 1).alias("far"),
         whole.alias("whole"),
@@ -125,16 +163,13 @@ def fingerprints(docs: DataFrame, least: int = LEAST_DOCS, share: float = MOST_S
     """doc_id, row, n_chars, edited_sha256, next_row, fp, edited_fp per row of ``docs``.
 
     The edited text is the text whose last quarter is replaced by the next document's first
-    characters. A null text counts as empty; texts without a term in the lexicon, empty ones too,
-    get a fingerprint of all their terms. Rows with equal doc_id and text are one document in the
+    characters. A null text counts as empty; a text without a term gets one hash for its fingerprint. Rows with equal doc_id and text are one document in the
     order and get a row each; a null doc_id comes first. An empty table gives an empty result.
     """
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     rows = rows.withColumn("row", F.xxhash64("doc_id", "text"))
     order = materialize(with_neighbours(rows), "imatch-neighbours")
-    lexicon = materialize(
-        band(document_frequencies(rows), rows.count(), least, share), "imatch-lexicon"
-    )
+    lexicon = materialize(steps(*document_frequencies(rows), least, share), "imatch-lexicon")
     # The text is shuffled once, by row; the heads of next documents come to it.
     texts = rows.select(F.col("row").alias("_r"), "text")
     placed = order.join(texts, F.col("row") == F.col("_r"))
@@ -159,9 +194,11 @@ def fingerprints(docs: DataFrame, least: int = LEAST_DOCS, share: float = MOST_S
         h.alias("h"), F.array_contains("a", h).alias("in_a"), F.array_contains("b", h).alias("in_b")
     ))
     terms = drawn.select("row", "a", "b").dropDuplicates(["row"]).select("row", F.explode(marked).alias("t")).select("row", "t.*")
-    known = terms.join(lexicon.withColumnRenamed("h", "_h"), F.col("h") == F.col("_h"))
-    of = lambda side: F.sort_array(F.collect_list(F.when(F.col(f"in_{side}"), F.col("h")))).alias(f"terms_{side}")
+    known = terms.join(lexicon.withColumnRenamed("h", "_h"), F.col("h") == F.col("_h"), "left")
+    term = F.struct(F.coalesce("step", F.lit(1)).alias("step"), "h")
+    of = lambda side: F.collect_list(F.when(F.col(f"in_{side}"), term)).alias(f"terms_{side}")
     known = known.groupBy(F.col("row").alias("_r")).agg(of("a"), of("b"))
+    known = known.select("_r", *[rare_terms(F.col(x)).alias(x) for x in ("terms_a", "terms_b")])
     none = F.array().cast("array<bigint>")
     fp = lambda s: fingerprint(F.coalesce(f"terms_{s}", none), F.col(f"level_{s}"), F.col(f"whole_{s}"))
     return drawn.drop("a", "b").join(known, F.col("row") == F.col("_r"), "left").select(

@@ -199,6 +199,38 @@ def test_fingerprints(spark):
     assert imatch.compare_neighbours(spark.createDataFrame([], DOCS)).count() == 0
 
 
+@pytest.mark.parametrize("changed", [0, 4])
+def test_fingerprints_of_a_large_group_of_copies(spark, changed):
+    """A third of the rows are copies, or copies with some words changed: they look alike, and unlike the others."""
+    rng = random.Random(14)
+    vocabulary = ["".join(rng.choice("abcdefghijklmnop") for _ in range(5)) for _ in range(3000)]
+    other = lambda: " ".join(rng.choice(vocabulary) for _ in range(100))
+    base = [rng.choice(vocabulary) for _ in range(100)]
+    texts = []
+    for _ in range(60):
+        words = list(base)
+        for at in rng.sample(range(100), changed):
+            words[at] = rng.choice(vocabulary)
+        texts.append(" ".join(words))
+    rows = [(i, t, "en", "s") for i, t in enumerate(texts + [other() for _ in range(120)])]
+    got = {r["doc_id"]: r for r in imatch.compare_neighbours(spark.createDataFrame(rows, DOCS)).collect()}
+    mean = lambda name, ids: sum(got[i][name] for i in ids) / len(ids)
+    assert mean("near_next", range(59)) >= (0.5 if changed else 1.0)
+    # The edited text of the last copy ends in another document's words; those of the others in a copy's.
+    assert mean("near_edited", range(59)) > 0.3 and got[59]["near_edited"] > 0
+    assert mean("near_next", range(59, 179)) < 0.05 and mean("near_edited", range(60, 179)) > 0.3
+    assert not any(r["fingerprint"].startswith("w:") for r in got.values())
+
+
+def test_frequencies_count_equal_sets_once(spark):
+    texts = ["a b", "b a", "a b", "a c", "", None]
+    docs = frame(spark, texts).select(F.col("doc_id").alias("row"), F.coalesce("text", F.lit("")).alias("text"))
+    counted, sets = imatch.document_frequencies(docs)
+    words = docs.sparkSession.createDataFrame([("a",), ("b",), ("c",)], "w string").select("w", F.xxhash64("w").alias("_h"))
+    got = {r["w"]: r["df"] for r in counted.join(words, F.col("h") == F.col("_h")).collect()}
+    assert (got, sets) == ({"a": 2, "b": 1, "c": 1}, 3)
+
+
 def test_fingerprints_use_no_python(spark):
     plan = imatch.compare_neighbours(frame(spark, ["a b", "c d"]))._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
