@@ -2,7 +2,7 @@
 
 The network reads the UTF-8 bytes of a text in both directions, labels every position and pools
 the positions' probabilities over the document. It is small, written in numpy and trained by
-backpropagation through time on a bounded sample of labelled documents; prediction runs over the
+backpropagation through time on a sample of labelled documents, bounded per label; prediction runs over the
 whole text of every document, in segments whose states start afresh.
 """
 
@@ -10,13 +10,13 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from newsloom.llm.common import query, ship, table
 
 HIDDEN = 8
-#: The bound on the training sample, documents in all, and what each one gives.
+#: The bound on the training sample, documents of each label, and what each one gives.
 TRAIN_DOCS = 2_000
 WINDOWS = 6
 WINDOW_BYTES = 48
@@ -120,7 +120,10 @@ def train(samples: list[tuple[bytes, str]], hidden: int = HIDDEN, steps: int = S
     if len(labels) < 2:
         return Network(labels, {})
     rng = np.random.default_rng(seed)
-    by = [np.array([np.frombuffer(x.ljust(WINDOW_BYTES, b" ")[:WINDOW_BYTES], np.uint8) for x, y in samples if y == label]) for label in labels]
+    own = {label: [] for label in labels}
+    for x, y in samples:
+        own[y].append(np.frombuffer(x.ljust(WINDOW_BYTES, b" ")[:WINDOW_BYTES], np.uint8))
+    by = [np.array(own[label]) for label in labels]
     w = new_weights(len(labels), hidden, rng)
     first = {k: np.zeros_like(v) for k, v in w.items()}
     second = {k: np.zeros_like(v) for k, v in w.items()}
@@ -192,15 +195,18 @@ def document_probabilities(w: dict, texts: list[bytes]):
 
 
 def training_windows(docs: DataFrame, most: int = TRAIN_DOCS) -> list[tuple[bytes, str]]:
-    """Windows spread over the texts of at most ``most`` labelled documents, in the order of a hash."""
+    """Windows spread over the texts of at most ``most`` documents of each label, in the order of a hash."""
     size = F.length("text")
     start = lambda i: (F.floor(size * i / WINDOWS) + 1).cast("int")
     windows = F.array(*[F.substring(F.col("text"), start(i), F.lit(WINDOW_BYTES)) for i in range(WINDOWS)])
+    # The planner takes the first ``most`` of each label before the shuffle, so a common label moves few rows.
+    of_label = Window.partitionBy("lang").orderBy("k", "w")
     rows = (
         docs.filter("text IS NOT NULL AND lang IS NOT NULL")
         .select(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).alias("k"), "lang", windows.alias("w"))
+        .withColumn("number", F.row_number().over(of_label))
+        .filter(F.col("number") <= most)
         .orderBy("k", "lang", "w")
-        .limit(most)
         .collect()
     )
     return [(x.encode(), r["lang"]) for r in rows for x in r["w"] if len(x) >= 8]

@@ -268,6 +268,17 @@ def test_language_with_little_to_learn(spark):
     assert language_id.identify(spark.createDataFrame([], DOCS)).count() == 0
 
 
+def test_training_takes_every_label(spark):
+    """A label rarer than one in the bound is learned all the same, and the bound holds for each label."""
+    rows = [(i, PROSE["en"], "en", "s") for i in range(300)] + [(1000 + i, PROSE["de"], "de", "s") for i in range(2)]
+    found = language_id.training_windows(spark.createDataFrame(rows, DOCS), 20)
+    windows = {lang: sum(y == lang for _, y in found) for lang in ("en", "de")}
+    per = len(language_id.training_windows(spark.createDataFrame(rows[:1], DOCS), 20))
+    assert windows["en"] == 20 * per and windows["de"] > 0
+    network = language_id.train(found)
+    assert network.labels == ["de", "en"]
+
+
 def test_gradients_are_right():
     import numpy as np
 
