@@ -26,6 +26,14 @@ RATE = 0.02
 SEGMENT_BYTES = 128
 SEGMENTS = 2_048
 UNKNOWN = "und"
+#: A text is in no known language if its score is under SLACK times what all but LOW_SHARE of the held-out
+#: documents of its length (classes in bytes) reach; a class, or all of them, counts from LEAST_HELD documents on.
+SLACK = 0.8
+LOW_SHARE = 0.01
+LENGTHS = (0, 64, 256, 1_024)
+LEAST_HELD = 20
+#: Held-out documents of each label that the thresholds come from, at most.
+HELD_DOCS = 500
 
 
 @dataclass
@@ -194,18 +202,23 @@ def document_probabilities(w: dict, texts: list[bytes]):
     return out
 
 
+def first_of_labels(docs: DataFrame, then: str, most: int) -> DataFrame:
+    """``docs`` with k, a hash of the id: the first ``most`` rows of each label in the order of k and ``then``.
+
+    The planner takes them from every partition before the shuffle, so a common label moves few rows.
+    """
+    docs = docs.withColumn("k", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
+    of_label = Window.partitionBy("lang").orderBy("k", then)
+    return docs.withColumn("number", F.row_number().over(of_label)).filter(F.col("number") <= most)
+
+
 def training_windows(docs: DataFrame, most: int = TRAIN_DOCS) -> list[tuple[bytes, str]]:
     """Windows spread over the texts of at most ``most`` documents of each label, in the order of a hash."""
     size = F.length("text")
     start = lambda i: (F.floor(size * i / WINDOWS) + 1).cast("int")
     windows = F.array(*[F.substring(F.col("text"), start(i), F.lit(WINDOW_BYTES)) for i in range(WINDOWS)])
-    # The planner takes the first ``most`` of each label before the shuffle, so a common label moves few rows.
-    of_label = Window.partitionBy("lang").orderBy("k", "w")
     rows = (
-        docs.filter("text IS NOT NULL AND lang IS NOT NULL")
-        .select(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).alias("k"), "lang", windows.alias("w"))
-        .withColumn("number", F.row_number().over(of_label))
-        .filter(F.col("number") <= most)
+        first_of_labels(docs.filter("text IS NOT NULL AND lang IS NOT NULL").select("doc_id", "lang", windows.alias("w")), "w", most)
         .orderBy("k", "lang", "w")
         .collect()
     )
@@ -277,10 +290,48 @@ def predict(docs: DataFrame, network: Network) -> DataFrame:
     return docs.mapInArrow(run, StructType([*docs.schema.fields, *more]))
 
 
+def learn(docs: DataFrame, most: int = TRAIN_DOCS) -> Network:
+    """A network from the labelled rows of ``docs`` that are not held out."""
+    return train(training_windows(docs.filter(~held_out()), most))
+
+
 def identify(docs: DataFrame, learn_from: DataFrame | None = None, most: int = TRAIN_DOCS) -> DataFrame:
     """Learns from the labelled rows of ``learn_from`` (default ``docs``) that are not held out, predicts for all."""
-    network = train(training_windows((learn_from or docs).filter(~held_out()), most))
-    return predict(docs, network)
+    return predict(docs, learn(docs if learn_from is None else learn_from, most))
+
+
+def thresholds(docs: DataFrame, network: Network) -> list[float]:
+    """The least score of a text in a known language, per class of ``LENGTHS``.
+
+    They come from held-out labelled documents that the network labels rightly. Classes with few of
+    them take the least of the others' thresholds; without enough in all, or a choice of labels,
+    nothing is rejected.
+    """
+    import numpy as np
+
+    none = [0.0] * len(LENGTHS)
+    if len(network.labels) < 2:
+        return none
+    held = docs.filter(held_out() & F.col("text").isNotNull() & F.col("lang").isNotNull()).select("doc_id", "text", "lang")
+    scored = predict(first_of_labels(held, "text", HELD_DOCS), network).filter("lang = lang_pred")
+    rows = scored.select(F.octet_length("text").alias("n"), "score").collect()
+    if len(rows) < LEAST_HELD:
+        return none
+    of = [[] for _ in LENGTHS]
+    for r in rows:
+        of[sum(r["n"] >= n for n in LENGTHS) - 1].append(r["score"])
+    own = [SLACK * float(np.quantile(x, LOW_SHARE, method="lower")) if len(x) >= LEAST_HELD else None for x in of]
+    every = SLACK * float(np.quantile([r["score"] for r in rows], LOW_SHARE, method="lower"))
+    least = min([every, *[x for x in own if x is not None]])
+    return [least if x is None else x for x in own]
+
+
+def least_score(limits: list[float]) -> Column:
+    """The threshold that the length of ``text`` asks for."""
+    out = F.lit(limits[0])
+    for n, x in zip(LENGTHS[1:], limits[1:], strict=True):
+        out = F.when(F.octet_length("text") >= n, F.lit(x)).otherwise(out)
+    return out
 
 
 @query("op9_language_id")

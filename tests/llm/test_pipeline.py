@@ -1,5 +1,6 @@
 """The pipeline, stage by stage and whole, against plain Python on the same rows."""
 
+import base64
 import hashlib
 import random
 from collections import Counter, defaultdict
@@ -11,7 +12,7 @@ corpus_pipeline = pytest.importorskip("corpus_pipeline")
 
 from llm.test_duplicates import roots, shingles  # noqa: E402
 from llm.test_mixing_lines import cut_by_hand, targets  # noqa: E402
-from llm.test_texts import PROSE, tiktoken_ids  # noqa: E402
+from llm.test_texts import PROSE, labelled, tiktoken_ids  # noqa: E402
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -94,3 +95,19 @@ def test_columns_named_like_internal_ones_survive(spark):
 def test_pipeline_over_nothing(spark, tmp_path):
     spark.createDataFrame([], DOCS).write.parquet(str(tmp_path / "documents.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_language_stage_drops_what_the_network_rejects(spark):
+    """Letters in no known language go, by the network's own score; clean documents stay, with no label to learn from too."""
+    rng = random.Random(5)
+    rows = [(i, t, lang, s, len(t)) for i, t, lang, s in labelled(600, 3)]
+    noise = [base64.b64encode(rng.randbytes(600)).decode() for _ in range(20)]
+    noise += ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(900)) for _ in range(20)]
+    rows += [(10_000 + i, t, None, "n", len(t)) for i, t in enumerate(noise)] + [(20_000, "12 34", "en", "s", 5)]
+    docs = spark.createDataFrame(rows, DOCS)
+    kept = {r["doc_id"] for r in corpus_pipeline.keep_known_languages(spark, docs, "").collect()}
+    assert kept >= set(range(600))
+    assert len([i for i in kept if i >= 10_000]) <= 2
+    bare = docs.withColumn("lang", F.lit(None).cast("string"))
+    kept = {r["doc_id"] for r in corpus_pipeline.keep_known_languages(spark, bare, "").collect()}
+    assert kept == {r[0] for r in rows} - {20_000}
