@@ -205,22 +205,24 @@ def block_links(blocks: DataFrame, percent: int, distance: int = DISTANCE) -> Da
 
 
 def full_sets(docs: DataFrame, ids: DataFrame, shingle: int) -> DataFrame:
-    """(id, hashes) of the documents in ``ids``."""
+    """(set, hashes): the classes and full sets of all texts of the documents in ``ids`` (doc)."""
 
     def run(batches):
         import numpy as np
         import pyarrow as pa
+        import xxhash
 
         for b in batches:
             found = [shingle_hashes(t.as_py(), shingle) for t in b.column(1)]
+            own = [np.frombuffer(xxhash.xxh3_128_digest(x.tobytes()), "<i8")[0] for x in found]
             offsets = np.r_[0, np.cumsum([len(x) for x in found])].astype(np.int32)
             flat = np.concatenate(found).view(np.int64) if found else np.empty(0, np.int64)
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], names=["id", "hashes"]
+                [pa.array(own, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], names=["set", "hashes"]
             )
 
-    wanted = docs.select(F.col("doc_id").cast("bigint").alias("id"), "text").join(ids, "id", "left_semi")
-    return wanted.mapInArrow(run, "id bigint, hashes array<bigint>")
+    wanted = docs.select(F.col("doc_id").cast("bigint").alias("doc"), "text").join(ids, "doc", "left_semi")
+    return wanted.mapInArrow(run, "set bigint, hashes array<bigint>")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -233,7 +235,8 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     """
     signed = materialize(signatures(docs, shingle), "minhash-signatures")
     named = signed.filter("n_shingles > 0 AND doc_id IS NOT NULL")
-    classes = named.groupBy("hi", "lo").agg(F.min("doc_id").alias("id"), F.max("sig").alias("sig"))
+    # A class goes by half of its set's 128-bit hash, not by a doc_id, which may stand on several texts.
+    classes = named.groupBy(F.col("hi").alias("id")).agg(F.min("doc_id").alias("doc"), F.max("sig").alias("sig"))
     classes = materialize(classes, "minhash-classes")
     reps = classes.select("id", "sig")
     keys = chunk_keys(reps)
@@ -246,19 +249,24 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     placed = clusters.join(sizes, F.col("cluster") == F.col("_c")).withColumn(
         "block", F.pmod(F.xxhash64("id"), F.col("last") + 1).cast("int")
     )
-    sets = full_sets(docs, clusters.select("id"), shingle).dropDuplicates(["id"])
+    holders = classes.join(clusters.select("id"), "id", "left_semi").select("doc").distinct()
+    sets = full_sets(docs, holders, shingle).dropDuplicates(["set"]).withColumnRenamed("set", "id")
     full = materialize(sets.join(reps, "id"), "minhash-sets")
     other = F.explode(F.sequence(F.lit(0), F.col("last"))).alias("other")
     blocks = placed.select(F.col("id").alias("_i"), "cluster", "block", other).join(full, F.col("_i") == F.col("id")).select(
         "cluster", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "id", "sig", "hashes"
     )
     links = materialize(block_links(blocks, percent), "minhash-links")
+    # A document with several texts links their classes.
+    several = named.groupBy("doc_id").agg(F.min("hi").alias("a"), F.max("hi").alias("z")).filter("a != z")
+    own = named.join(several.select(F.col("doc_id").alias("_d"), "a"), F.col("doc_id") == F.col("_d")).select("a", F.col("hi").alias("b"))
+    links = links.unionByName(own.filter("a != b").distinct())
     found = materialize(components(links, "minhash"), "minhash-components")
     of = found.withColumnRenamed("id", "_id")
-    rooted = classes.join(of, F.col("id") == F.col("_id"), "left").select(
-        F.col("hi").alias("_h"), F.col("lo").alias("_l"), F.coalesce("component_id", "id").alias("_c")
-    )
-    out = signed.join(rooted, (F.col("hi") == F.col("_h")) & (F.col("lo") == F.col("_l")) & (F.col("n_shingles") > 0), "left")
+    rooted = classes.join(of, F.col("id") == F.col("_id"), "left").select("id", "doc", F.coalesce("component_id", "id").alias("part"))
+    least = rooted.groupBy(F.col("part").alias("_p")).agg(F.min("doc").alias("_c"))
+    rooted = rooted.join(least, F.col("part") == F.col("_p")).select(F.col("id").alias("_h"), "_c")
+    out = signed.join(rooted, (F.col("hi") == F.col("_h")) & (F.col("n_shingles") > 0), "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("_c", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn(
         "kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))

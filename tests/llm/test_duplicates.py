@@ -256,3 +256,20 @@ def test_passages_shared_in_part_and_edited_copies_equal_brute_force(spark):
     for r in got:
         own = words[r["doc_id"]][r["start_word"] : r["end_word"]]
         assert any(tuple(own[k : k + 50]) in runs[r["other_doc_id"]] for k in range(len(own) - 49))
+
+
+def test_minhash_of_a_doc_id_with_two_texts(spark):
+    """Each class is confirmed on its own text's set, and a document links the classes of all its texts."""
+    rng = random.Random(31)
+    text = lambda n: ["".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(n)]
+    rows = []
+    for k in range(0, 200, 20):
+        one, two = text(80), text(90)
+        rows += [(k + 3, " ".join(one)), (k + 3, " ".join(two))]
+        rows += [(k + 5, " ".join([*one[:-1], "other"])), (k + 6, " ".join([*two[:-1], "other"])), (k + 1, " ".join(two)), (k + 9, " ".join(text(70)))]
+    got = minhash.near_duplicates(frame(spark, rows).repartition(5)).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        k = r["doc_id"] % 20
+        assert r["component_id"] == r["doc_id"] - k + (9 if k == 9 else 1)
+        assert r["kept"] == (k in (1, 9))
