@@ -3,7 +3,8 @@
 Three patterns find credential assignments, access ids and long hex runs. Beyond them, runs that
 look like base64 or hex are decoded and reported only if their bytes have the structure of a
 secret: a private key in DER whose nested lengths add up, an OpenSSH private key, an armoured key
-block around either, or a signed token whose header and claims are JSON.
+block around either, or a signed token whose header and claims are JSON. Keys may be wrapped over
+lines, with real line breaks or written as in a JSON string or a source literal.
 """
 
 from __future__ import annotations
@@ -30,6 +31,15 @@ ANY_HEX = re.compile(r"[0-9a-fA-F]{32,}")
 TOKEN = re.compile(r"eyJ[A-Za-z0-9_-]{5,}\.[A-Za-z0-9_-]{2,}\.[A-Za-z0-9_-]*")
 BEGIN = re.compile(r"-----BEGIN ([A-Z0-9 ]{0,40}PRIVATE KEY)-----")
 HEADER = re.compile(r"^[A-Za-z0-9-]+:.*$", re.M)
+#: Line breaks as escapes of a string, perhaps escaped themselves; ASCII characters by number; joined literals.
+ESCAPED_BREAK = re.compile(r"\\+[nr]")
+ESCAPED_CHAR = re.compile(r"\\+u00([2-7][0-9a-fA-F])")
+JOINT = re.compile(r"""["']\s*[+,.]?\s*["']""")
+QUOTING = re.compile(r"""["'\\]""")
+#: Lines of base64 and what may stand between them: escapes, or a line break with quotes, joining signs and indentation.
+BETWEEN = r"""(?:(?:\\+[nr])*(?:["'][\x20\t]*[+,.]?)?[\x20\t]*\\?\r?\n[\x20\t]*(?:[+,.][\x20\t]*)?(?:(?<![A-Za-z0-9/_-])["'])?|(?:\\+[nr])+)"""
+WRAPPED = re.compile(rf"(?<!\\)[A-Za-z0-9+/_-]{{32,}}(?:{BETWEEN}[A-Za-z0-9+/_-]+={{0,2}})+")
+LINE = re.compile(rf"{BETWEEN}|[A-Za-z0-9+/_-]+={{0,2}}")
 
 INTEGER, OCTETS, OID, SEQUENCE = 0x02, 0x04, 0x06, 0x30
 MAX_DEPTH = 16
@@ -128,6 +138,50 @@ def key_kind(raw: bytes) -> str | None:
     return "der" if is_der_key(raw) else "ssh" if is_ssh_key(raw) else None
 
 
+def armour_body(text: str) -> str:
+    """The base64 of an armour's body, also where it is written as a string or as joined literals."""
+    text = ESCAPED_CHAR.sub(lambda m: chr(int(m[1], 16)), text)
+    text = QUOTING.sub("", JOINT.sub("", ESCAPED_BREAK.sub("\n", text)))
+    return "".join(HEADER.sub("", text).split())
+
+
+def der_chars(head: str) -> int | None:
+    """How many base64 characters, without padding, the DER sequence takes that begins like this."""
+    raw = from_base64(head[:8])
+    if len(raw) < 6 or raw[0] != SEQUENCE:
+        return None
+    wide = raw[1] & 0x7F if raw[1] > 0x80 else 0
+    if wide > 4:
+        return None
+    size = 2 + wide + (int.from_bytes(raw[2 : 2 + wide], "big") if wide else raw[1])
+    return -(-size * 4 // 3)
+
+
+def wrapped_spans(text: str) -> list[tuple[int, str, int]]:
+    """Keys over several lines of one width, the last one as long or shorter."""
+    found = []
+    for m in WRAPPED.finditer(text):
+        lines = [x for x in LINE.finditer(text, m.start(), m.end()) if x[0][0].isalnum() or x[0][0] in "+/_-"]
+        after = -1
+        for i, first in enumerate(lines):
+            width = len(first[0])
+            if i <= after or width < 32 or not first[0].startswith(("M", "b3BlbnNzaC1rZXktdjE")):
+                continue
+            chars = der_chars(first[0])
+            if chars is None and first[0][0] == "M":
+                continue
+            most = len(lines) if chars is None else i - (-chars // width)
+            last = i
+            while last + 1 < min(len(lines), most) and len(lines[last][0]) == width and len(lines[last + 1][0]) <= width:
+                last += 1
+            for end in (last, last - 1):
+                if end > i and (kind := key_kind(from_base64("".join(x[0] for x in lines[i : end + 1])))):
+                    found.append((first.start(), kind, lines[end].end()))
+                    after = end
+                    break
+    return found
+
+
 def base_spans(text: str) -> list[tuple[int, str, int]]:
     found = [(m.start(), "assign", m.end()) for m in ASSIGN.finditer(text) if len(m[2]) >= 6]
     found += [(m.start(), "access", m.end()) for m in ACCESS.finditer(text)]
@@ -139,11 +193,12 @@ def confirmed_spans(text: str) -> list[tuple[int, str, int]]:
     for m in BEGIN.finditer(text):
         close = f"-----END {m[1]}-----"
         end = text.find(close, m.end())
-        if end > 0 and key_kind(from_base64("".join(HEADER.sub("", text[m.end() : end]).split()))):
+        if end > 0 and key_kind(from_base64(armour_body(text[m.end() : end]))):
             found.append((m.start(), "armour", end + len(close)))
     for m in CANDIDATE.finditer(text):
         if kind := key_kind(from_base64(m[0])):
             found.append((m.start(), kind, m.end()))
+    found += wrapped_spans(text)
     for m in ANY_HEX.finditer(text):
         if len(m[0]) % 2 == 0 and (kind := key_kind(bytes.fromhex(m[0]))):
             found.append((m.start(), kind, m.end()))

@@ -98,6 +98,23 @@ def test_secret_query_equals_patterns_and_confirms(spark):
     assert secrets.find_secrets(frame(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("raw", [RSA, WRAPPED, ssh_key()])
+@pytest.mark.parametrize("glue", ["\n", "\r\n", "\\n", "\\r\\n", "\\\\n", "\n    ", '\\n" +\n  "', '"\n  "', "',\n'", '\\n"\n  + "', "\\\n"])
+def test_wrapped_keys(raw, glue):
+    """Keys over lines, in files, JSON strings and source literals, with and without armour lines."""
+    kind = "ssh" if raw == ssh_key() else "der"
+    body = [b64(raw)[k : k + 64] for k in range(0, len(b64(raw)), 64)]
+    armour = glue.join(["-----BEGIN PRIVATE KEY-----", *body, "-----END PRIVATE KEY-----"])
+    text = 'é {"private_key": "' + armour + '"}'
+    assert (text.index("-----BEGIN"), "armour", text.index("-----END") + 25) in secrets.confirmed_spans(text)
+    bare = glue.join(body)
+    for before, after in (('key = "', '"'), ("x\n", "\nregards\n"), ("", "")):
+        assert secrets.confirmed_spans(before + bare + after) == [(len(before), kind, len(before) + len(bare))]
+    assert not secrets.confirmed_spans(glue.join(body[:-1]))
+    public = b64(PUBLIC)
+    assert not secrets.confirmed_spans(glue.join([public[:64], public[64:]]))
+
+
 def tiktoken_ids(texts):
     tiktoken = pytest.importorskip("tiktoken")
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
