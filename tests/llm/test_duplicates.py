@@ -223,7 +223,10 @@ def test_multi_index_finds_links_near_the_threshold(spark, hot):
     rng = np.random.default_rng(11)
     base = rng.normal(size=(2000, 64))
     base /= np.linalg.norm(base, axis=1)[:, None]
-    data = np.vstack([base, multi_index.made_neighbours(base, 0.905, 77), base[0] + rng.normal(size=(hot, 64)) * 0.002])
+    way = rng.normal(size=base.shape)
+    way -= (way * base).sum(1)[:, None] * base
+    way /= np.linalg.norm(way, axis=1)[:, None]
+    data = np.vstack([base, 0.905 * base + (1 - 0.905**2) ** 0.5 * way, base[0] + rng.normal(size=(hot, 64)) * 0.002])
     got, want = links_found(spark, data)
     assert (got <= want).all()
     some = np.arange(1, 2000)
