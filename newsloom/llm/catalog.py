@@ -8,7 +8,10 @@ from newsloom.llm import (  # noqa: F401
     minhash,
     mixing,
     multi_index,
+    periodic_runs,
+    quality,
     secrets,
+    spelling,
     suffixes,
     token_store,
     line_dedup,
