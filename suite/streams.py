@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from newsloom.session import scratch_path
+from newsloom.streaming import events as ev
 from newsloom.streaming import streams as st
 from suite.registry import query
 from suite.tables import table
@@ -96,3 +97,61 @@ def _silent(spark, sf):
     st.run_batches(talk, st.track_last_seen(path, "user", "ts", "all"), state)
     quiet = st.silent_sources(spark.read.parquet(path), "12 HOURS")
     return quiet.withColumn("last_seen", F.col("last_seen").cast("timestamp_ntz"))
+
+
+# Arrival differs from event time here: every eleventh event comes two files after its own.
+FILES = 5
+_ARRIVED = f"""parts AS (SELECT *, least({FILES} - 1, event_id * {FILES} // (SELECT max(event_id) + 1 FROM events) + CASE WHEN event_id % 11 = 0 THEN 2 ELSE 0 END) AS part FROM events),
+marks AS (SELECT part, max(ts) AS newest FROM parts GROUP BY part),
+horizons AS (SELECT p.part, (SELECT max(newest) FROM marks m WHERE m.part < p.part) AS before FROM marks p)"""
+
+
+def arrive(spark, sf, folder, files, late_by):
+    """Write the files of ``files`` one after the other, since a file stream goes by file time; returns the schema."""
+    rows = table(spark, sf, "events")
+    most = rows.agg(F.max("event_id") + 1).first()[0]
+    part = F.least(F.lit(FILES - 1), F.expr(f"event_id * {FILES} div {most}") + late_by)
+    for i in files:
+        rows.filter(part == i).coalesce(1).write.mode("append").parquet(folder)
+    return rows.schema
+
+
+@query(
+    "stream_late_items",
+    f"""WITH {_ARRIVED} SELECT event_id, part AS batch, CASE WHEN ts < before - INTERVAL 2 DAY THEN 'late' END AS verdict,
+      sum(CASE WHEN ts < before - INTERVAL 2 DAY THEN 1 ELSE 0 END) OVER (PARTITION BY part)::BIGINT AS late_in_batch
+    FROM parts JOIN horizons USING (part)""",
+)
+def _late(spark, sf):
+    folder = scratch_path(spark, "arrivals")
+    schema = arrive(spark, sf, folder, range(FILES), F.when(F.col("event_id") % 11 == 0, 2).otherwise(0))
+    stream = st.read_events(spark, folder, "*.parquet", schema, "ts", files_per_batch=1).select("event_id", "ts")
+    tables = ev.LateTables(scratch_path(spark, "late-rows"), scratch_path(spark, "late-marks"))
+    st.run_batches(stream, ev.late_rule(tables, "ts", "2 DAYS", "items"), scratch_path(spark, "state"))
+    rows = tables.read(spark, stream.schema)
+    counts = ev.late_counts(rows).select("batch", F.col("late").alias("late_in_batch"))
+    return rows.join(counts, "batch").select("event_id", "batch", "verdict", "late_in_batch")
+
+
+# Files 0 to 2 belong to the first run, which ends with a batch of no data (slot 3); then the query
+# starts again from its checkpoint. A timer can run out in every slot from the row's own to the last
+# one before the source's next row, by the watermark of the slots before.
+@query(
+    "stream_silence_alerts",
+    f"""WITH t AS (SELECT user_id, date_trunc('millisecond', ts) AS seen, event_id * {FILES} // (SELECT max(event_id) + 1 FROM events) AS part FROM events),
+    s AS (SELECT CAST(user_id AS VARCHAR) AS source, seen, part + CASE WHEN part >= 3 THEN 1 ELSE 0 END AS slot FROM t),
+    newest AS (SELECT slot, max(seen) AS w FROM s GROUP BY slot),
+    turn AS (SELECT source, slot, max(seen) AS seen, lead(slot) OVER (PARTITION BY source ORDER BY slot) AS next_slot FROM s GROUP BY source, slot)
+    SELECT source, seen AS last_seen, seen + INTERVAL 20 HOUR AS silent_since FROM turn
+    WHERE seen + INTERVAL 20 HOUR < (SELECT max(w) FROM newest WHERE newest.slot <= coalesce(turn.next_slot - 2, {FILES + 1}))""",
+)
+def _silence(spark, sf):
+    folder, path, state = (scratch_path(spark, x) for x in ("arrivals", "alerts", "state"))
+    with ev.with_timers(spark):
+        # The query runs over the first three files, stops, and starts again when the others have come.
+        for files in (range(3), range(3, FILES)):
+            schema = arrive(spark, sf, folder, files, F.lit(0))
+            stream = st.read_events(spark, folder, "*.parquet", schema, "ts", files_per_batch=1)
+            st.run_to_table(ev.silence_alerts(stream, "user_id", "ts", 20 * 3_600_000), path, state)
+    alerts = spark.read.parquet(path)
+    return alerts.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("last_seen", "silent_since")})
