@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from newsloom.operators import gates, joins
 from newsloom.session import scratch_path
-from newsloom.sinks import ledgers
+from newsloom.sinks import buckets, ledgers
 from newsloom.sources import forms
 from suite.registry import query
 from suite.tables import (
@@ -369,3 +369,67 @@ def _difference(spark, sf):
         have.join(known, "source_id", "left_anti").withColumn("side", F.lit("unregistered"))
         .unionByName(known.join(have, "source_id", "left_anti").withColumn("side", F.lit("without documents")))
     )
+
+
+_UNSEEN_SQL = f"""WITH {ITEMS_UID}, old AS (SELECT uid, min(seq) AS seq FROM items WHERE published_at < {CUT} GROUP BY uid),
+    fresh AS (SELECT uid, min(seq) AS seq FROM items WHERE published_at >= {CUT} AND uid NOT IN (SELECT uid FROM old) GROUP BY uid)"""
+
+
+def small_log(spark, label):
+    return buckets.SeenLog(scratch_path(spark, label), buckets=16, bits=1 << 18)
+
+
+@query("seen_log_buckets", f"{_UNSEEN_SQL} SELECT 'run-1' AS run, uid, seq FROM old UNION ALL SELECT 'run-2', uid, seq FROM fresh")
+def _append_buckets(spark, sf):
+    log = small_log(spark, "seen-buckets")
+    rows = identified(spark, sf).select(SEEN)
+    late = rows.filter(F.col("published_at") >= cut(rows))
+    log.append(history(rows), "run-1")
+    log.append(late, "run-2")
+    log.compact(spark)
+    log.append(late, "run-2")
+    return log.read(spark, rows.schema).select("run", "uid", "seq")
+
+
+@query(
+    "unseen_items_bitmap",
+    f"""WITH {ITEMS_UID} SELECT seq, uid FROM items i WHERE published_at >= {CUT}
+    AND NOT EXISTS (SELECT 1 FROM items s WHERE s.uid = i.uid AND s.published_at < {CUT})""",
+)
+def _unseen_bitmap(spark, sf):
+    log = small_log(spark, "seen-bitmap")
+    rows = identified(spark, sf).select("uid", "seq", "published_at")
+    log.append(history(rows), "run-1")
+    return log.unseen(rows.filter(F.col("published_at") >= cut(rows))).select("seq", "uid")
+
+
+@query(
+    "published_log_buckets",
+    f"""WITH {ITEMS_UID} SELECT uid, min(seq) AS seq FROM items WHERE category IS NOT NULL AND is_promo = 0 AND relevance >= 0.45 GROUP BY uid""",
+)
+def _publish_buckets(spark, sf):
+    log = small_log(spark, "published-buckets")
+    rows = identified(spark, sf).filter(gates.publishable()).select(SEEN)
+    log.publish(rows, "trial", full_run=False)
+    log.publish(rows, "full")
+    log.publish(rows, "next")
+    return log.read(spark, rows.schema).select("uid", "seq")
+
+
+@query(
+    "score_ledger_buckets",
+    f"""WITH {LEDGER} SELECT uid, prompt_hash, model, CASE WHEN prompt_hash = 'p1' AND uid IN (SELECT uid FROM uniq WHERE lang = 'fr')
+      THEN 1 - relevance ELSE relevance END AS relevance, category FROM ledger""",
+)
+def _upsert_buckets(spark, sf):
+    ledger = buckets.ScoreLedger(scratch_path(spark, "score-buckets"), buckets=16)
+    first = ledger.upsert(score_ledger(spark, sf))
+    french = unique_items(spark, sf, "lang").filter("lang = 'fr'").select("uid")
+    again = (
+        joins.score_version(first, "p1", "m")
+        .join(french, "uid", "left_semi")
+        .withColumn("relevance", 1 - F.col("relevance"))
+        .withColumn("scored_at", F.col("scored_at") + F.expr("INTERVAL 1 DAY"))
+        .select(first.columns)
+    )
+    return ledger.upsert(again).select("uid", "prompt_hash", "model", "relevance", "category")
