@@ -16,7 +16,8 @@ How the same result is reached in parallel:
    only reach the threshold if one of the first ``n - ceil(threshold * n) + 1`` words of the
    smaller set is in the larger. Frequent words are salted.
 4. A few rounds decide the block: a set with a kept earlier neighbour is merged, one whose
-   earlier neighbours are all merged is kept.
+   earlier neighbours are all merged is kept. What is still open then is shortened: a set with one
+   open neighbour has the opposite fate of it, so chains of such sets point at their ends by doubling.
 5. Kept sets of the block then remove their neighbours from everything undecided after the
    block. Members of a large group of near copies leave here, one row each.
 """
@@ -33,6 +34,8 @@ from newsloom.session import materialize
 
 SIMILARITY_THRESHOLD = 0.40
 MIN_WORDS = 3
+#: Jobs of two plain rounds before chains are shortened; most blocks end within them.
+PLAIN_JOBS = 3
 
 
 @dataclass(frozen=True)
@@ -120,12 +123,82 @@ def _decide(block: DataFrame, edges: DataFrame) -> DataFrame:
         .select("rep", F.when(F.col("_open"), 0).otherwise(1).alias("status")),
         "collapse-status",
     )
-    while status.filter("status = 0").limit(1).count():
+    for _ in range(PLAIN_JOBS):
+        if status.filter("status = 0").isEmpty():
+            return status
         # Two rounds to a job: the second reads the first inside one plan.
         status = materialize(_round(_round(status, edges), edges), "collapse-status")
+    return _decide_chains(status, edges.select("late", "early", F.lit(0).alias("flip")))
+
+
+def _decide_chains(status: DataFrame, edges: DataFrame) -> DataFrame:
+    """Status as `_decide` gives it, however long chains are.
+
+    An edge (late, early, flip) blocks ``late`` if early is kept, or with ``flip`` if it is not. A set is
+    kept if nothing blocks it. One with a single open edge follows its neighbour's fate, so edges to
+    it become edges to what it follows, itself found by doubling: a chain takes a logarithmic
+    number of jobs. Edges to one set with and without flip block for certain.
+    """
+    while not status.filter("status = 0").isEmpty():
+        fate = status.select(F.col("rep").alias("early"), F.col("status").alias("_s"))
+        open_ = status.filter("status = 0").select(F.col("rep").alias("late"))
+        blocks = F.when(F.col("_s") != 0, (F.col("_s") == 1).cast("int").bitwiseXOR(F.col("flip")))
+        seen = materialize(
+            edges.join(open_, "late").join(fate, "early").select("late", "early", "flip", blocks.alias("blocks")),
+            "collapse-seen",
+        )
+        both = (
+            seen.filter(F.col("blocks").isNull()).groupBy("late", "early")
+            .agg((F.min("flip") != F.max("flip")).alias("_b")).filter("_b").select("late").distinct()
+            .withColumn("_both", F.lit(True))
+        )
+        news = (
+            seen.groupBy("late")
+            .agg(F.max(F.coalesce("blocks", F.lit(0))).alias("_k"), F.max(F.col("blocks").isNull()).alias("_u"))
+            .join(both, "late", "left")
+            .withColumnRenamed("late", "rep")
+        )
+        status = materialize(
+            status.join(news, "rep", "left").select(
+                "rep",
+                F.when(F.col("status") != 0, F.col("status"))
+                .when((F.col("_k") == 1) | F.col("_both"), 2)
+                .when(F.col("_u"), 0)
+                .otherwise(1)
+                .alias("status"),
+            ),
+            "collapse-status",
+        )
+        still = status.filter("status = 0").select(F.col("rep").alias("late"))
+        left = materialize(seen.filter(F.col("blocks").isNull()).join(still, "late").select("late", "early", "flip"), "collapse-open")
+        follows = _follow(
+            left.groupBy("late").agg(F.count("*").alias("_n"), F.first("early").alias("head"), F.first("flip").alias("flip"))
+            .filter("_n = 1")
+            .select(F.col("late").alias("rep"), "head", F.col("flip").bitwiseXOR(F.lit(1)).alias("turn"))
+        )
+        edges = materialize(
+            left.join(follows.withColumnRenamed("rep", "early"), "early", "left")
+            .select("late", F.coalesce("head", "early").alias("early"), F.col("flip").bitwiseXOR(F.coalesce("turn", F.lit(0))).alias("flip"))
+            .distinct(),
+            "collapse-shortened",
+        )
     return status
 
 
+def _follow(follows: DataFrame) -> DataFrame:
+    """(rep, head, turn): heads that follow nothing themselves; kept(rep) is kept(head), turned over if turn is 1."""
+    follows = materialize(follows, "collapse-follow")
+    while True:
+        further = follows.select(F.col("rep").alias("_r"), F.col("head").alias("_h"), F.col("turn").alias("_t"))
+        joined = follows.join(further, F.col("head") == F.col("_r"), "left")
+        if joined.filter(F.col("_r").isNotNull()).isEmpty():
+            return follows
+        follows = materialize(
+            joined.select("rep", F.coalesce("_h", "head").alias("head"), F.col("turn").bitwiseXOR(F.coalesce("_t", F.lit(0))).alias("turn")),
+            "collapse-follow",
+        )
+
+
 def _round(status: DataFrame, edges: DataFrame) -> DataFrame:
     early = status.select(F.col("rep").alias("early"), F.col("status").alias("_s"))
     news = (
@@ -253,7 +326,11 @@ def collapse_similar(
     ``position`` is a unique BIGINT giving the order of visits.
     """
     tokens = _fingerprints(items, position, title)
-    decided = collapse_sets(word_sets(tokens), threshold, budget)
+    return spread(tokens, collapse_sets(word_sets(tokens), threshold, budget), position)
+
+
+def spread(tokens: DataFrame, decided: DataFrame, position: str) -> DataFrame:
+    """Decisions on distinct word sets (rep, leader) handed to every item: position, leader."""
     firsts = (
         tokens.filter(F.size("tokens") >= MIN_WORDS)
         .groupBy("tokens")

@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from newsloom.functions.text import STOPWORDS, with_word_set
 from newsloom.operators import similar as sm
-from newsloom.session import materialize
+from newsloom.session import materialize, scratch_path
+from newsloom.sinks.headlines import HeadlineIndex, collapse_next
 from suite.registry import query
 from suite.tables import ITEMS, items
 
@@ -70,6 +71,20 @@ def _collapse(spark, sf):
     return sm.collapse_similar(items(spark, sf).select("seq", "title"))
 
 
+@query(
+    "collapse_in_batches",
+    f"WITH RECURSIVE {VISIT}, {GREEDY} SELECT pos AS seq, leader FROM verdict",
+)
+def _batches(spark, sf):
+    """Two batches against a stored index, the second one twice: as one pass over both."""
+    rows = items(spark, sf).select("seq", "title")
+    half = rows.agg(F.expr("max(seq) div 2")).first()[0]
+    index = HeadlineIndex(scratch_path(spark, "headline-index"), buckets=16)
+    first = collapse_next(rows.filter(F.col("seq") <= half), index, "one")
+    collapse_next(rows.filter(F.col("seq") > half), index, "two")
+    return first.unionByName(collapse_next(rows.filter(F.col("seq") > half), index, "two"))
+
+
 @query(
     "merge_counts",
     f"WITH RECURSIVE {VISIT}, {GREEDY} SELECT leader AS seq, count(*) AS similar FROM verdict WHERE leader IS NOT NULL GROUP BY 1",
@@ -80,7 +95,7 @@ def _merged(spark, sf):
 
 @query(
     "token_overlap_with_benchmark",
-    """WITH d AS (SELECT doc_id, list_distinct(regexp_extract_all(lower(split_part(text, '.', 1)), '[a-z]+')) AS t FROM documents),
+    """WITH d AS (SELECT doc_id, list_distinct(regexp_extract_all(lower(text), '[a-z]+')) AS t FROM documents),
     w AS (SELECT doc_id, unnest(t) AS term, len(t) AS n FROM d), v AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS term FROM benchmark)
     SELECT doc_id, count(*) AS shared, round(count(*) / any_value(n), 6) AS share FROM w JOIN v USING (term) GROUP BY doc_id""",
 )
@@ -88,8 +103,7 @@ def _tokens(spark, sf):
     from newsloom.functions.text import ascii_words
     from suite.tables import table
 
-    first = F.split_part("text", F.lit("."), F.lit(1))
-    words = table(spark, sf, "documents").select("doc_id", F.array_distinct(ascii_words(first)).alias("t"))
+    words = table(spark, sf, "documents").select("doc_id", F.array_distinct(ascii_words(F.col("text"))).alias("t"))
     terms = table(spark, sf, "benchmark").select(F.explode(ascii_words(F.col("text"))).alias("term")).distinct()
     hits = words.select("doc_id", F.size("t").alias("n"), F.explode("t").alias("term")).join(terms, "term", "left_semi")
     return hits.groupBy("doc_id").agg(

@@ -109,3 +109,77 @@ def test_no_nested_loop_in_the_pair_join(spark):
     sets = spark.createDataFrame([(1, [(1, "a")])], "rep long, words array<struct<df: long, token: string>>")
     plan = sm._matches(sets, sets, 0.4, TINY)._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def chain(n, copies=1):
+    """Each headline is like the next one only."""
+    return [f"aa{i} bb{i} aa{i + 1} bb{i + 1} only{i}" for i in range(n) for _ in range(copies)]
+
+
+def test_a_long_chain_takes_few_jobs(spark, monkeypatch):
+    jobs = []
+    original = sm.materialize
+
+    def counting(df, label):
+        jobs.append(label)
+        return original(df, label)
+
+    monkeypatch.setattr(sm, "materialize", counting)
+    got = run(spark, chain(2_000), sm.BlockBudget())
+    assert got == [None if i % 2 == 0 else i - 1 for i in range(2_000)]
+    assert len(jobs) < 40, len(jobs)
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_shortened_chains_give_the_ordered_collapse(spark, seed, monkeypatch):
+    monkeypatch.setattr(sm, "PLAIN_JOBS", 0)
+    rng = random.Random(seed)
+    titles = chain(25) + [" ".join(rng.sample([f"word{i}" for i in range(12)], rng.randint(1, 7))) for _ in range(60)]
+    titles += [f"aa{i} bb{i} aa{j} bb{j} only" for i, j in ((2, 9), (4, 5), (8, 20))]
+    rng.shuffle(titles)
+    assert_collapsed(titles, run(spark, titles, sm.BlockBudget()))
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_batches_equal_one_pass(spark, seed):
+    from newsloom.session import scratch_path
+    from newsloom.sinks.headlines import HeadlineIndex, collapse_next
+
+    rng = random.Random(seed)
+    words = [f"word{i}" for i in range(16)]
+    titles = [" ".join(rng.sample(words, rng.randint(1, 7))) for _ in range(40)] + ["", "the of", "one two", None]
+    titles += rng.sample(titles, 20) + [" ".join(rng.sample(words, rng.randint(1, 7))) for _ in range(20)]
+    index = HeadlineIndex(scratch_path(spark, "index"), buckets=4)
+    rows = spark.createDataFrame(list(enumerate(titles)), "seq long, title string")
+    cuts, got = [0, 30, 31, 70, len(titles)], {}
+    for k, (low, high) in enumerate(zip(cuts, cuts[1:])):
+        part = rows.filter(f"seq >= {low} and seq < {high}")
+        if k == 2:
+            collapse_next(part, index, f"run {k}")
+        got |= {r["seq"]: r["leader"] for r in collapse_next(part, index, f"run {k}").collect()}
+    assert_collapsed([t or "" for t in titles], [got[i] for i in range(len(titles))])
+    with pytest.raises(ValueError):
+        collapse_next(rows.filter("seq = 5"), index, "too late")
+    assert collapse_next(rows.limit(0), index, "nothing").count() == 0
+
+
+def test_a_batch_opens_only_the_buckets_of_its_words(spark):
+    import glob
+
+    from newsloom.session import scratch_path
+    from newsloom.sinks.buckets import bucket_of
+    from newsloom.sinks.headlines import HeadlineIndex, collapse_next
+
+    index = HeadlineIndex(scratch_path(spark, "index"), buckets=64)
+    rows = spark.createDataFrame([(i, f"aa{i} bb{i} cc{i}") for i in range(200)], "seq long, title string")
+    collapse_next(rows, index, "one")
+    words = spark.createDataFrame([(w,) for w in ("aa7", "bb7", "cc7")], "token string")
+    mine = {r[0] for r in words.select(bucket_of("token", 64)).collect()}
+    spoiled = 0
+    for f in glob.glob(f"{index.path}/words/run=one/b64=*/*.parquet"):
+        if int(f.split("b64=")[1].split("/")[0]) not in mine:
+            open(f, "wb").write(b"no parquet")
+            spoiled += 1
+    assert spoiled > 40
+    late = spark.createDataFrame([(500, "cc7 aa7 bb7")], "seq long, title string")
+    assert [r["leader"] for r in collapse_next(late, index, "two").collect()] == [7]
