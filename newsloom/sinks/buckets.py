@@ -70,7 +70,8 @@ class SeenLog:
 
     Folders: ``path``/rows/run=…/b<buckets>=… and ``path``/bits/run=…/. A run writes its bitmaps
     before its rows: a crash in between leaves bits too many, which cost a comparison and no row.
-    Rows without a key are not logged. ``key`` and ``order`` name columns of the rows.
+    Rows without a key are not logged. ``key`` and ``order`` name columns of the rows. With
+    ``complete``, a list of runs, only their rows count, so what a broken run left is as if unwritten.
     """
 
     path: str
@@ -78,11 +79,15 @@ class SeenLog:
     bits: int = BITS
     key: str = "uid"
     order: str = "seq"
+    complete: tuple[str, ...] | None = None
 
     @property
     def part(self) -> str:
         return f"b{self.buckets}"
 
+    def counts(self) -> Column:
+        return F.lit(True) if self.complete is None else F.col("run").isin(*self.complete)
+
     @property
     def maps(self) -> str:
         return f"{self.path}/bits{self.bits}"
@@ -92,7 +97,7 @@ class SeenLog:
         own = [T.StructField("run", T.StringType()), T.StructField(self.part, T.IntegerType())]
         full = T.StructType([*schema.fields, *own])
         rows = stored(spark, f"{self.path}/rows", full, self.part)
-        rows = spark.createDataFrame([], full) if rows is None else rows
+        rows = spark.createDataFrame([], full) if rows is None else rows.filter(self.counts() if run is None else F.lit(True))
         return (rows if run is None else rows.filter(F.col("run") == run)).drop(self.part)
 
     def bitmaps(self, keys: DataFrame) -> DataFrame:
@@ -156,7 +161,7 @@ class SeenLog:
             own = [T.StructField("run", T.StringType()), T.StructField(self.part, T.IntegerType())]
             log = stored(spark, f"{self.path}/rows", T.StructType([*key.fields, *own]), self.part)
             if log is not None:
-                log = log.filter(F.col(self.part).isin(hit))
+                log = log.filter(F.col(self.part).isin(hit) & self.counts())
                 log = log if run is None else log.filter(F.col("run") != run)
                 new = new.unionByName(maybe.join(log.select(self.key), self.key, "left_anti"))
         return new.select(rows.columns)

@@ -1,3 +1,3 @@
 """Importing this module registers every query."""
 
-from suite import aggregates, filters, ingest, issues, joins, knowledge, layout, similarity, streams  # noqa: F401
+from suite import aggregates, daily, filters, ingest, issues, joins, knowledge, layout, similarity, streams  # noqa: F401

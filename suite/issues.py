@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 from newsloom.operators import gates, joins
 from newsloom.plans import health
 from newsloom.plans import issue as iss
+from newsloom.plans import run as runs
 from newsloom.plans import scoring
+from newsloom.session import scratch_path
 from newsloom.sources.feeds import body_problems
 from suite.aggregates import aged_entries
 from suite.filters import VIDEO_TITLE
@@ -149,3 +151,41 @@ def _health(spark, sf):
     )
     problems = body_problems(sources.withColumn("body", body), "rss")
     return health.health_report(sources, aged_entries(rows), feed_pages(spark, sf), gates.newest(rows), problems=problems)
+
+
+# The stored run: what a trial run over the weeks before saw, then this week's run with the scorer.
+ISSUE_RUN = ISSUE_BUILD.replace(
+    "scored AS (SELECT c.seq",
+    f"""payload AS (SELECT uid, {VIDEO_TITLE} AS t FROM cand),
+verd AS (SELECT uid, length(t) % 100 / 100 AS relevance, CASE WHEN length(t) % 2 = 1 THEN 'Events' ELSE 'Wild Reefs' END AS category, 0 AS is_promo
+  FROM payload WHERE NOT regexp_matches(t, '[0-9]') AND length(t) <= 180),
+scored AS (SELECT c.seq""",
+).replace("JOIN ledger l ON l.uid = c.uid AND l.prompt_hash = 'p1'", "JOIN verd l ON l.uid = c.uid")
+
+
+@query(
+    "issue_run",
+    f"""WITH RECURSIVE {ISSUE_RUN} SELECT CASE WHEN i.seq IN (SELECT seq FROM res) THEN 'Resource' ELSE coalesce(category, 'Elsewhere') END AS section,
+      position, seq, title, relevance, "similar" FROM iss i""",
+)
+def _run(spark, sf):
+    from suite.filters import video_titles
+
+    rows = with_uid(video_titles(spark, sf)).withColumn(
+        "video_id", F.when(F.col("category") != "Industry & Products", F.concat(F.lit("v"), "uid"))
+    )
+    shown = ["seq", "uid", "source_id", "source_name", "title", "category", "video_id", "published_at"]
+    newest = gates.newest(rows)
+    edge = newest - F.expr("INTERVAL 7 DAYS")
+    late, before = rows.filter(F.col("published_at") >= edge), rows.filter(F.col("published_at") < edge)
+    from newsloom.operators.aggregates import dedupe_newest
+
+    picks = dedupe_newest(rows).filter((F.col("bucket") == "lead") & (F.col("lang") == "en") & (F.col("published_at") < edge))
+    now = F.lit(rows.agg(F.max("published_at")).first()[0])
+    store = runs.RunStore(scratch_path(spark, "runs"), buckets=8, bits=1 << 18)
+    judge = runs.Scoring(word_count_scorer(), "p1", "m")
+    landed = [*shown, "raw_text"]
+    runs.issue_run(store, "trial", before.select(landed), now, judge, community(spark, sf), full_run=False)
+    own = ["seq", "uid", "source_id", "source_name", "title", "category", "published_at"]
+    layout = runs.issue_run(store, "week", late.select(landed), now, judge, community(spark, sf), picks.select(own))
+    return layout.select("section", "position", "seq", "title", "relevance", "similar")
