@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from newsloom.schema import STALE_DAYS
+from newsloom.schema import STALE_DAYS, category_ordinal
 from newsloom.session import materialize
 
 VOLUME_WINDOWS = (7, 14, 30)
@@ -43,6 +43,17 @@ def volume_report(items: DataFrame, outlet: str, when: str, now: Column) -> Data
     )
 
 
+def outlets(items: DataFrame, outlet: str = "source_name") -> DataFrame:
+    """(outlet, n) in name order, a row an outlet: a single list would meet in one task."""
+    return items.groupBy(outlet).agg(F.count("*").alias("n")).orderBy(outlet)
+
+
+def categories_present(items: DataFrame) -> DataFrame:
+    """(category, section_order) of the sections that have items, in page order."""
+    named = items.select("category").filter("category IS NOT NULL").distinct()
+    return named.select("category", category_ordinal(F.col("category")).alias("section_order")).orderBy("section_order")
+
+
 def sender_audit(messages: DataFrame, allow: DataFrame) -> DataFrame:
     names = allow.select(F.lower("sender").alias("sender")).distinct().withColumn("_ok", F.lit(True))
     return (

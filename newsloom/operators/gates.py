@@ -52,6 +52,11 @@ def recent(items: DataFrame, now: Column, days: int = RECENCY_DAYS, when: str =
     return items.filter(F.col(when) >= now - F.expr(f"INTERVAL {int(days)} DAYS"))
 
 
+def newest_first(items: DataFrame, n: int, when: str = "published_at", order: str = "seq") -> DataFrame:
+    """The item cap: the first ``n`` by time, newest first, the earliest position on ties."""
+    return items.orderBy(F.col(when).desc_nulls_last(), F.col(order)).limit(n)
+
+
 def publishable(threshold: float = RELEVANCE_THRESHOLD) -> Column:
     return F.col("category").isNotNull() & (F.col("is_promo") == 0) & (F.col("relevance") >= threshold)
 

@@ -88,6 +88,15 @@ def allowed_senders(messages: DataFrame, allow: DataFrame, sender: str = "sender
     )
 
 
+def with_durations(items: DataFrame, durations: DataFrame, key: str = "video_id") -> DataFrame:
+    """Items with ``duration_s``; null where a video's duration is not known. ``durations``: key, duration_s.
+
+    Of several durations of a video the longest counts, so no item is doubled.
+    """
+    one = durations.groupBy(key).agg(F.max("duration_s").alias("duration_s"))
+    return items.join(one, key, "left")
+
+
 def missing_verdicts(labels: DataFrame, version: DataFrame) -> DataFrame:
     return labels.join(version.select("uid"), "uid", "left_anti")
 

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from newsloom.functions.binding import let
 from newsloom.functions.text import blank_to_null, headline, html_to_text, rfc822_timestamp
 from newsloom.functions.urls import is_absolute_http
+from newsloom.operators.gates import display_name
 
 _RSS = """
     STRUCT<channel: STRUCT<title: STRING, item: ARRAY<STRUCT<
@@ -23,7 +24,13 @@ _ATOM = """
     STRUCT<title: STRING, entry: ARRAY<STRUCT<
         id: STRING, title: STRING, link: ARRAY<STRUCT<_href: STRING, _rel: STRING>>,
         published: STRING, updated: STRING, author: STRUCT<name: STRING>,
-        summary: STRING, content: STRING, `yt:videoId`: STRING>>>
+        summary: STRING, content: STRING, `yt:videoId`: STRING,
+        `media:group`: STRUCT<`media:community`: STRUCT<`media:statistics`: STRUCT<_views: STRING>>>>>>
+"""
+_RDF = """
+    STRUCT<item: ARRAY<STRUCT<
+        `_rdf:about`: STRING, title: STRING, link: STRING, description: STRING,
+        `dc:date`: STRING, `dc:creator`: STRING>>>
 """
 _PLAYLIST = """
     STRUCT<error: STRUCT<code: INT, message: STRING>, items: ARRAY<STRUCT<snippet: STRUCT<
@@ -84,10 +91,42 @@ def atom_items(landing: DataFrame) -> DataFrame:
         html=F.coalesce("e.summary", "e.content"),
         guid=F.col("e.id"),
         video_id=blank_to_null(F.col("e.`yt:videoId`")),
+        views=F.col("e.`media:group`.`media:community`.`media:statistics`._views").try_cast("bigint"),
+    )
+
+
+def rdf_items(landing: DataFrame) -> DataFrame:
+    """RSS 1.0 entries, which stand beside the channel under ``rdf:RDF`` and are dated by ``dc:date``."""
+    feed = F.from_xml("body", _RDF.strip(), {"mode": "PERMISSIVE"})
+    entries = landing.select("source_id", F.posexplode(feed["item"]).alias("entry_pos", "e"))
+    return _finish(
+        entries,
+        title=blank_to_null(F.col("e.title")),
+        url=F.coalesce(blank_to_null(F.col("e.link")), blank_to_null(F.col("e.`_rdf:about`"))),
+        published=rfc822_timestamp(F.col("e.`dc:date`")),
+        author=blank_to_null(F.col("e.`dc:creator`")),
+        html=F.col("e.description"),
+        guid=F.col("e.`_rdf:about`"),
+        video_id=F.lit(None).cast("string"),
+    )
+
+
+def credited(parsed: DataFrame, registry: DataFrame) -> DataFrame:
+    """Entries with the name they are credited to: the outlet's, with its section where it has one.
+
+    ``registry``: source_id, name, section, one row a source. Adds source_name and section; an entry
+    of a source that is not registered, or has no name, cannot be credited and is rejected for that
+    if for nothing else.
+    """
+    known = registry.select("source_id", F.nullif("name", F.lit("")).alias("_name"), F.nullif("section", F.lit("")).alias("section"))
+    named = parsed.join(known, "source_id", "left").withColumn(
+        "source_name", F.when(F.col("_name").isNotNull(), display_name(F.col("_name"), F.col("section")))
     )
+    reason = F.when(F.col("_name").isNull(), "no outlet to credit")
+    return named.withColumn("reject_reason", F.coalesce("reject_reason", reason)).drop("_name")
 
 
-def _finish(entries, title, url, published, author, html, guid, video_id) -> DataFrame:
+def _finish(entries, title, url, published, author, html, guid, video_id, **more) -> DataFrame:
     return entries.select(
         "source_id",
         "entry_pos",
@@ -98,6 +137,7 @@ def _finish(entries, title, url, published, author, html, guid, video_id) -> Dat
         author.alias("author"),
         html_to_text(html).alias("raw_text"),
         video_id.alias("video_id"),
+        *[column.alias(name) for name, column in more.items()],
     ).withColumn(
         "reject_reason",
         _first_reason(

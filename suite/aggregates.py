@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from newsloom.operators import aggregates as ag
 from newsloom.operators import gates, joins
 from newsloom.plans import evaluation as ev
-from newsloom.schema import CATEGORIES, category_ordinal
+from newsloom.schema import CATEGORIES
 from suite.registry import query
 from suite.tables import ITEMS, ITEMS_UID, LEDGER, LEDGER_COLUMNS, REGISTRY, UNIQUE, identified, items, registry, score_ledger, table, unique_items
 
@@ -43,8 +43,7 @@ def _volume_events(spark, sf):
 
 @query("outlets_sorted", f"WITH {ITEMS} SELECT source_name, count(*) AS n FROM items_raw GROUP BY 1")
 def _outlets(spark, sf):
-    # One row per outlet in name order; a single list would meet in one task.
-    return items(spark, sf).groupBy("source_name").agg(F.count("*").alias("n")).orderBy("source_name")
+    return ag.outlets(items(spark, sf))
 
 
 _ORDER = "CASE category " + " ".join(f"WHEN '{c}' THEN {i + 1}" for i, c in enumerate(CATEGORIES)) + " ELSE 7 END"
@@ -55,10 +54,7 @@ _ORDER = "CASE category " + " ".join(f"WHEN '{c}' THEN {i + 1}" for i, c in enum
     f"WITH {ITEMS} SELECT DISTINCT category, {_ORDER} AS section_order FROM items_raw WHERE category IS NOT NULL",
 )
 def _categories(spark, sf):
-    return (
-        items(spark, sf).select("category").filter("category IS NOT NULL").distinct()
-        .select("category", category_ordinal(F.col("category")).alias("section_order")).orderBy("section_order")
-    )
+    return ag.categories_present(items(spark, sf))
 
 
 @query(

@@ -196,7 +196,7 @@ def _eligible(spark, sf):
 )
 def _cap(spark, sf):
     rows = items(spark, sf).select("seq", "published_at")
-    return rows.orderBy(F.col("published_at").desc(), "seq").limit(150)
+    return gates.newest_first(rows, 150)
 
 
 @query(

@@ -136,7 +136,7 @@ def _lookup(spark, sf):
     known = durations(spark, sf).filter(F.col("iso").rlike(r"^PT\d+S$")).select(
         "event_id", duration_seconds(F.col("iso")).alias("duration_s")
     )
-    return table(spark, sf, "events").select("event_id").join(known, "event_id", "left")
+    return joins.with_durations(table(spark, sf, "events").select("event_id"), known, "event_id")
 
 
 @query(

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from newsloom.session import scratch_path
+from newsloom.sinks.buckets import ScoreLedger
 from newsloom.streaming import events as ev
 from newsloom.streaming import streams as st
 from suite.registry import query
@@ -133,6 +134,25 @@ def _late(spark, sf):
     return rows.join(counts, "batch").select("event_id", "batch", "verdict", "late_in_batch")
 
 
+@query(
+    "stream_score_upsert",
+    f"""WITH {_ARRIVED} SELECT uid, prompt_hash, relevance FROM (
+      SELECT CAST(user_id AS VARCHAR) AS uid, event_type AS prompt_hash, value / 1000 AS relevance,
+        row_number() OVER (PARTITION BY user_id, event_type ORDER BY part DESC, ts DESC, value DESC) AS r FROM parts) x WHERE r = 1""",
+)
+def _scores(spark, sf):
+    """Verdicts that arrive late replace earlier ones: the file decides, inside it the time."""
+    folder = scratch_path(spark, "arrivals")
+    schema = arrive(spark, sf, folder, range(FILES), F.when(F.col("event_id") % 11 == 0, 2).otherwise(0))
+    stream = st.read_events(spark, folder, "*.parquet", schema, "ts", files_per_batch=1).select(
+        F.col("user_id").cast("string").alias("uid"), F.col("event_type").alias("prompt_hash"), F.lit("m").alias("model"),
+        (F.col("value") / 1000).alias("relevance"), F.col("ts").alias("scored_at"),
+    )
+    ledger = ScoreLedger(scratch_path(spark, "stream-scores"), buckets=4)
+    st.run_batches(stream, ledger.upsert_batch, scratch_path(spark, "state"))
+    return ledger.read(spark, stream.schema).select("uid", "prompt_hash", "relevance")
+
+
 # Files 0 to 2 belong to the first run, which ends with a batch of no data (slot 3); then the query
 # starts again from its checkpoint. A timer can run out in every slot from the row's own to the last
 # one before the source's next row, by the watermark of the slots before.

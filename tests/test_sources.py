@@ -160,3 +160,36 @@ def test_body_problems(spark):
     assert got == {"0": "not JSON", "1": "API error", "3": "no result list", "4": "not JSON", "5": "not JSON"}
     assert {r["source_id"] for r in feeds.body_problems(rows, "rss").collect()} == {"0", "1", "2", "3", "5"}
     assert "4" in {r["source_id"] for r in feeds.body_problems(rows, "atom").collect()}
+
+
+def test_rdf_entries_are_credited_to_outlet_and_section(spark):
+    body = (
+        '<rdf:RDF xmlns:rdf="http://www.w3.org/1999/02/22-rdf-syntax-ns#" xmlns:dc="http://purl.org/dc/elements/1.1/"><channel><title>c</title></channel>'
+        '<item rdf:about="https://a.example/1"><title> One </title><dc:date>2026-08-01T10:00:00Z</dc:date><dc:creator>Ann</dc:creator></item>'
+        '<item rdf:about="https://a.example/2"><title>Two</title><link>https://a.example/two</link></item></rdf:RDF>'
+    )
+    landing = spark.createDataFrame([("s1", body), ("s2", body), ("s3", body), ("s4", "no xml")], "source_id string, body string")
+    registry = spark.createDataFrame([("s1", "Outlet", "Reefs"), ("s2", "Other", ""), ("s4", "", None)], "source_id string, name string, section string")
+    got = {(r["source_id"], r["title"]): r for r in feeds.credited(feeds.rdf_items(landing), registry).collect()}
+    assert len(got) == 6
+    one = got["s1", "One"]
+    assert (one["url"], one["author"], one["source_name"], one["section"]) == ("https://a.example/1", "Ann", "Outlet — Reefs", "Reefs")
+    assert one["reject_reason"] is None and got["s2", "One"]["source_name"] == "Other"
+    assert got["s1", "Two"]["url"] == "https://a.example/two" and got["s1", "Two"]["reject_reason"] == "no date"
+    assert got["s3", "One"]["reject_reason"] == "no outlet to credit"
+
+
+def test_view_counts_of_videos(spark):
+    stats = lambda v: f'<media:group><media:community><media:statistics views="{v}"/></media:community></media:group>'
+    entries = "".join(f"<entry><id>{i}</id>{x}</entry>" for i, x in enumerate([stats(12), stats("x"), ""]))
+    landing = spark.createDataFrame([("s", f"<feed>{entries}</feed>")], "source_id string, body string")
+    assert {r["guid"]: r["views"] for r in feeds.atom_items(landing).collect()} == {"0": 12, "1": None, "2": None}
+
+
+def test_caps_and_durations(spark):
+    from newsloom.operators import gates, joins
+
+    rows = spark.createDataFrame([(1, "2026-01-01", "a"), (2, None, "b"), (3, "2026-01-02", "c"), (4, "2026-01-02", None)], "seq long, published_at string, video_id string")
+    assert [r["seq"] for r in gates.newest_first(rows, 3).collect()] == [3, 4, 1]
+    known = spark.createDataFrame([("a", 5), ("a", 9), ("z", 1), (None, 3)], "video_id string, duration_s int")
+    assert {r["seq"]: r["duration_s"] for r in joins.with_durations(rows, known).collect()} == {1: 9, 2: None, 3: None, 4: None}
