@@ -4,12 +4,13 @@ File format, three Parquet tables in one folder:
 
 * ``starts``: shard, start (ids of all shards before it).
 * ``shards``: shard, n_ids, payload (the raw ids of its documents one
-  after the other, little-endian unsigned 16 or 32 bits), entries (key, offset, n per document, in
+  after the other, little-endian unsigned 16 bits; larger vocabularies are refused), entries (key, offset, n per document, in
   ids). Shards follow ascending doc_id and are bounded in ids and in documents.
 * ``index``: one row per hash bucket of keys: seeds (one displacement per group of keys), prints
-  (a 32-bit fingerprint per slot), places (shard, offset, n per slot). A key's bucket, group and
-  slot follow from its hash and the group's seed, and every slot is taken by exactly one key: a
-  lookup reads one row, compares one fingerprint and has the place.
+  (a 32-bit fingerprint per slot), places (shard, offset, n per slot), tied. A key's bucket, group and
+  slot follow from its hash and the group's seed, and every slot is taken by exactly one hash: a
+  lookup reads one row, compares one fingerprint and has the place. Keys that share all 64 bits of
+  their hash are in ``tied``, with a second hash to tell them apart.
 
 A key is the doc_id and, for repeated ids, its number among them.
 """
@@ -41,17 +42,20 @@ def piece_encoder(tokenizer_json: str):
 
     White space never reaches the merges of this kind of vocabulary, so a text is encoded word by
     word. A new word of plain letters is split like the vocabulary's pattern does, and new pieces
-    go to the library's model; any other word goes through the whole tokenizer.
+    go to the library's model; any other word goes through the whole tokenizer. So does a text that
+    holds the string of a special token, which the library turns into that token.
     """
     import array
     import json
+    import string
 
     import regex
     from tokenizers import Tokenizer
 
     whole = Tokenizer.from_str(tokenizer_json)
-    whole.encode_special_tokens = True  # their strings in a text are ordinary text
     spec = json.loads(tokenizer_json)
+    special = [t["content"] for t in spec["added_tokens"] if not t["normalized"]]
+    folded = [t["content"].lower() for t in spec["added_tokens"] if t["normalized"]]
     split = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
     visible = [*range(33, 127), *range(161, 173), *range(174, 256)]
     hidden = [b for b in range(256) if b not in visible]
@@ -77,29 +81,29 @@ def piece_encoder(tokenizer_json: str):
         if not (text.isascii() or plain(text)):
             return array.array("H", whole.encode(text, add_special_tokens=False).ids).tobytes()
         text = text.lower()
-        bare = text.rstrip(".,;:!?")
-        if bare.isascii() and bare.isalpha():
+        bare = text.rstrip(string.punctuation)
+        if bare.isalpha():
             # Letters and then punctuation: the pattern makes one piece of either.
             end = text[len(bare) :]
             return piece_ids(bare) + piece_ids(end) if end else piece_ids(bare)
         return b"".join([piece_ids(p) for p in split.findall(text)])
 
     def encode(text):
+        if any(t in text for t in special) or (folded and any(t in text.lower() for t in folded)):
+            return array.array("H", whole.encode(text, add_special_tokens=False).ids).tobytes()
         found = text.encode().split()
-        try:
-            return b"".join([words[w] for w in found])
-        except KeyError:
-            for w in set(found):
-                if w not in words:
-                    if len(words) >= REMEMBERED * 2:
-                        words.clear()
-                        return encode_slow(found)
-                    words[w] = word_ids(w)
-            return b"".join([words[w] for w in found])
-
-    def encode_slow(found):
-        own = {w: word_ids(w) for w in set(found)}
-        return b"".join([own[w] for w in found])
+        out = list(map(words.get, found))
+        if None in out:
+            for i, ids in enumerate(out):
+                if ids is None:
+                    w = found[i]
+                    ids = words.get(w)
+                    if ids is None:
+                        if len(words) >= REMEMBERED * 2:
+                            words.clear()
+                        ids = words[w] = word_ids(w)
+                    out[i] = ids
+        return b"".join(out)
 
     return encode
 
@@ -199,6 +203,10 @@ def key_hash(doc_id: Column, nth: Column) -> Column:
     return F.xxhash64(doc_id, nth)
 
 
+def second_hash(doc_id: Column, nth: Column) -> Column:
+    return F.xxhash64(F.lit("second"), doc_id, nth)
+
+
 def bucket_of(h: Column, buckets: int) -> Column:
     return F.pmod(h, F.lit(buckets)).cast("int")
 
@@ -269,28 +277,35 @@ PLACE = "struct<shard:bigint,offset:bigint,n:bigint>"
 
 
 def build_index(entries: DataFrame, buckets: int) -> DataFrame:
-    """(bucket, n_keys, seeds, prints, shards, offsets, sizes) from (doc_id, nth, shard, offset, n)."""
+    """(bucket, n_keys, seeds, prints, shards, offsets, sizes, tied) from (doc_id, nth, shard, offset, n).
+
+    ``n_keys`` counts distinct hashes; ``tied`` has five 64-bit numbers for each key whose hash another
+    one has too: both hashes, shard, offset, n.
+    """
 
     def build(pdf):
         import numpy as np
         import pandas as pd
 
-        h = pdf["h"].to_numpy().astype(np.uint64)
+        h, first, many = np.unique(pdf["h"].to_numpy().astype(np.uint64), return_index=True, return_counts=True)
         seeds = place_keys(h)
         slot = slots_of(h, seeds[groups_of(h, len(h))], len(h))
         back = np.empty(len(h), np.int64)
         back[slot] = np.arange(len(h))
-        column = lambda name: pdf[name].to_numpy()[back].astype("<i8").tobytes()
+        column = lambda name: pdf[name].to_numpy()[first[back]].astype("<i8").tobytes()
+        tied = pdf[np.isin(pdf["h"].to_numpy().astype(np.uint64), h[many > 1])]
         return pd.DataFrame({
             "bucket": pdf["bucket"].iloc[:1], "n_keys": [len(h)],
             "seeds": [seeds.astype("<u4").tobytes()], "prints": [fingerprints(h)[back].astype("<u4").tobytes()],
             "shards": [column("shard")], "offsets": [column("offset")], "sizes": [column("n")],
+            "tied": [tied[["h", "h2", "shard", "offset", "n"]].to_numpy().astype("<i8").tobytes()],
         })
 
     h = key_hash(F.col("doc_id"), F.col("nth"))
-    keyed = entries.select(h.alias("h"), "shard", "offset", "n").withColumn("bucket", bucket_of(F.col("h"), buckets))
+    h2 = second_hash(F.col("doc_id"), F.col("nth"))
+    keyed = entries.select(h.alias("h"), h2.alias("h2"), "shard", "offset", "n").withColumn("bucket", bucket_of(F.col("h"), buckets))
     return keyed.groupBy("bucket").applyInPandas(
-        build, "bucket int, n_keys bigint, seeds binary, prints binary, shards binary, offsets binary, sizes binary"
+        build, "bucket int, n_keys bigint, seeds binary, prints binary, shards binary, offsets binary, sizes binary, tied binary"
     )
 
 
@@ -310,7 +325,8 @@ def write_store(rows: DataFrame, path: str, bounds: list[int]) -> TokenStore:
 def lookup(spark: SparkSession, store: TokenStore, keys: DataFrame) -> DataFrame:
     """(doc_id, nth, shard, offset, n) of the keys (doc_id, nth) that the index knows.
 
-    Keys meet their bucket's row; a slot whose fingerprint differs means the key is unknown.
+    Keys meet their bucket's row; a slot whose fingerprint differs means the key is unknown. Hashes
+    that several keys have are looked up by their second hash.
     """
 
     def find(keys, index):
@@ -324,11 +340,21 @@ def lookup(spark: SparkSession, store: TokenStore, keys: DataFrame) -> DataFrame
         slot = slots_of(h, seeds[groups_of(h, row["n_keys"])], row["n_keys"])
         known = np.frombuffer(row["prints"], "<u4")[slot] == fingerprints(h)
         value = lambda name: np.frombuffer(row[name], "<i8")[slot]
-        found = keys.assign(shard=value("shards"), offset=value("offsets"), n=value("sizes"))
+        places = np.stack([value("shards"), value("offsets"), value("sizes")], axis=1)
+        tied = np.frombuffer(row["tied"], "<i8").reshape(-1, 5)
+        if len(tied):
+            place = {(a, b): rest for a, b, *rest in tied.tolist()}
+            known = known.copy()
+            for i in np.flatnonzero(np.isin(keys["h"].to_numpy(), tied[:, 0])):
+                own = place.get((int(keys["h"].iloc[i]), int(keys["h2"].iloc[i])))
+                known[i] = own is not None
+                places[i] = own or 0
+        found = keys.assign(shard=places[:, 0], offset=places[:, 1], n=places[:, 2])
         return found.loc[known, ["doc_id", "nth", "shard", "offset", "n"]]
 
     h = key_hash(F.col("doc_id"), F.col("nth"))
     asked = keys.select("doc_id", F.col("nth").cast("int").alias("nth")).withColumn("h", h)
+    asked = asked.withColumn("h2", second_hash(F.col("doc_id"), F.col("nth")))
     asked = asked.withColumn("bucket", bucket_of(F.col("h"), store.buckets))
     return asked.groupBy("bucket").cogroup(store.index(spark).groupBy("bucket")).applyInPandas(
         find, "doc_id bigint, nth int, shard bigint, offset bigint, n bigint"

@@ -152,12 +152,11 @@ def test_long_word_merges_equal_the_fold(spark):
 def library_ids(texts):
     tokenizers = pytest.importorskip("tokenizers")
     own = tokenizers.Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
-    own.encode_special_tokens = True
     return [own.encode(t or "", add_special_tokens=False).ids + [2] for t in texts]
 
 
 def test_token_store_round_trip(spark, tmp_path):
-    texts = AWKWARD + [f"document number {i} has words" * (i % 5) for i in range(60)]
+    texts = AWKWARD + ["hello <|endoftext|> x", "a<|startoftext|><|ENDOFTEXT|>'s"] + [f"document number {i} has words" * (i % 5) for i in range(60)]
     rows = [(i * 3 - 5, t) for i, t in enumerate(texts)] + [(4, "again the same id"), (None, "no id")]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     store = token_store.tokenise(docs, public_tokenizers.path("word_bpe_49k.json"), 2, str(tmp_path / "store"))
@@ -324,3 +323,18 @@ def test_segments_do_not_change_a_short_text():
     alone = np.vstack([language_id.document_probabilities(w, [t]) for t in texts])
     assert np.allclose(together, alone, atol=1e-5)
     assert np.allclose(together.sum(1), 1, atol=1e-5)
+
+
+def test_keys_with_equal_hashes_are_told_apart(spark, tmp_path, monkeypatch):
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(token_store, "key_hash", lambda doc_id, nth: F.coalesce(F.pmod(doc_id, F.lit(7)), F.lit(3)).cast("long") * 1_000_003)
+    rows = [(i, "word " * (i % 9)) for i in range(60)] + [(None, "no id"), (4, "again")]
+    store = token_store.tokenise(spark.createDataFrame(rows, "doc_id long, text string"), public_tokenizers.path("word_bpe_49k.json"), 2, str(tmp_path / "store"))
+    asked = [(i, 0) for i in range(0, 80)] + [(4, 1), (4, 2)]
+    found = token_store.read_ids(spark, store, token_store.lookup(spark, store, spark.createDataFrame(asked, "doc_id long, nth int")))
+    got = {(r["doc_id"], r["nth"]): r["n"] for r in found.collect()}
+    ids = dict(zip(range(60), library_ids([t for _, t in rows[:60]])))
+    assert set(got) == {(i, 0) for i in range(60)} | {(4, 1)}
+    assert all(got[i, 0] == len(ids[i]) for i in range(60) if i != 4)
+    assert sorted([got[4, 0], got[4, 1]]) == sorted([len(ids[4]), len(library_ids(["again"])[0])])
