@@ -338,3 +338,25 @@ def test_keys_with_equal_hashes_are_told_apart(spark, tmp_path, monkeypatch):
     assert set(got) == {(i, 0) for i in range(60)} | {(4, 1)}
     assert all(got[i, 0] == len(ids[i]) for i in range(60) if i != 4)
     assert sorted([got[4, 0], got[4, 1]]) == sorted([len(ids[4]), len(library_ids(["again"])[0])])
+
+
+def test_the_sample_is_the_first_rows_of_each_label(spark):
+    import hashlib
+
+    langs = ["en"] * 20 + ["fr", "de"]
+    rows = [(i, f"t{i}", langs[i % len(langs)]) for i in range(3000)] + [(7, "again", "en"), (None, "null id", "fr")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {tuple(r) for r in language_id.first_of_labels(docs, "text", 150).select("doc_id", "text", "lang").collect()}
+    want = set()
+    for lang in set(langs):
+        key = lambda r: (hashlib.md5(b"" if r[0] is None else str(r[0]).encode()).hexdigest(), r[1])
+        want |= set(sorted((r for r in rows if r[2] == lang), key=key)[:150])
+    assert got == want
+    assert language_id.first_of_labels(docs.limit(0), "text", 5).count() == 0
+
+
+def test_digits_above_the_line_are_no_letters(spark):
+    docs = spark.createDataFrame([(1, "² ½ 12 _"), (2, "é"), (3, None)], "doc_id long, text string")
+    network = language_id.Network(["any"], {})
+    got = {r["doc_id"]: r["lang_pred"] for r in language_id.predict(docs, network).collect()}
+    assert got == {1: "und", 2: "any", 3: "und"}
