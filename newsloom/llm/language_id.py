@@ -13,6 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from newsloom.session import materialize
 from newsloom.llm.common import query, ship, table
 
 HIDDEN = 8
@@ -214,7 +215,8 @@ def first_of_labels(docs: DataFrame, then: str, most: int) -> DataFrame:
     before = Window.partitionBy("lang").orderBy("_digits").rowsBetween(Window.unboundedPreceding, -1)
     counts = docs.groupBy("lang", digits.alias("_digits")).agg(F.count("*").alias("_n"))
     ends = counts.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).filter(F.col("_before") < most)
-    ends = ends.groupBy(F.col("lang").alias("_lang")).agg(F.max("_digits").alias("_last"))
+    # Written down, the ends are known to be small: a row a label, and rows are cut where they are read.
+    ends = materialize(ends.groupBy(F.col("lang").alias("_lang")).agg(F.max("_digits").alias("_last")), "label-ends")
     near = docs.join(ends, (F.col("lang") == F.col("_lang")) & (digits <= F.col("_last"))).drop("_lang", "_last")
     of_label = Window.partitionBy("lang").orderBy("k", then)
     return near.withColumn("number", F.row_number().over(of_label)).filter(F.col("number") <= most)
@@ -253,7 +255,6 @@ def predict(docs: DataFrame, network: Network) -> DataFrame:
     block = 4_000_000
 
     def run(batches):
-
         import numpy as np
         import pyarrow as pa
 
