@@ -1,16 +1,18 @@
 """MinHash near-dedup by a multi-index Hamming join.
 
-A document's word shingles give a signature of 32 symbols of 16 bits. Two signatures at a distance
-of at most 15 symbols agree, by the pigeonhole rule, in at least one of 8 chunks of 4 symbols up to
-one error (eight chunks with two errors each would make sixteen). So each chunk is filed four
-times, each time with one symbol left open, and every pair within the distance shares a key. Pairs
-that share a key are checked on their signatures and then on their full shingle sets.
-
-Documents with equal sets are one class from the start. What shared keys connect is a cluster;
-inside it, blocks of bounded size meet block by block, so that a large cluster is many tasks. All
-pairs of two blocks are compared by signature, near ones by their sets, and a block pair returns a
-forest of its links: pairs are never rows. No pair within the distance is given up.
-A pair at similarity 0.8 exceeds the distance with a probability of about 1e-4.
+A document's word shingles give a signature of 64 symbols of 16 bits. Two signatures at a distance
+of at most 25 symbols agree, by the pigeonhole rule, in at least one of 13 chunks up to one error
+(thirteen chunks with two errors each would make 26). So each chunk is filed once for each of its
+four or five symbols, with that symbol left open, and every pair within the distance shares a key.
+
+Documents with equal sets are one class from the start. Members of a key are compared with each
+other, on four bits of each symbol: what differs there differs in full, so no pair within the
+distance is lost and chance neighbours fall away before anything is connected. A key with more
+members than ``HEAVY`` connects all of them unchecked, which adds candidates and changes no link.
+What is connected is a cluster; inside it, blocks of bounded size meet block by block, so that a
+large cluster is many tasks. All pairs of two blocks are compared by signature, near ones by their
+full sets, and a block pair returns a forest of its links: pairs are never rows.
+A pair at similarity 0.8 exceeds the distance with a probability of about 1.3e-4.
 """
 
 from __future__ import annotations
@@ -21,13 +23,16 @@ from pyspark.sql import functions as F
 from newsloom.llm.common import components, query, ship, table
 from newsloom.session import materialize
 
-SYMBOLS = 32
-CHUNKS = 8
-DISTANCE = 15
+SYMBOLS = 64
+CHUNKS = 13
+DISTANCE = 25
 SHINGLE = 5
 PERCENT = 80
 #: Documents of a cluster that one task compares with as many others.
 BLOCK = 512
+#: Members of a key that are compared with each other; more are connected unchecked.
+HEAVY = 256
+WORDS = ["w0", "w1", "w2", "w3"]
 
 
 def shingle_set(text: str | None, size: int) -> set[bytes]:
@@ -50,7 +55,7 @@ def shingle_hashes(text: str | None, size: int):
 
 
 def minima(hashes):
-    """The signature: low 16 bits of the least of each of 32 permuted hash values."""
+    """The signature: low 16 bits of the least of each of 64 permuted hash values."""
     import numpy as np
 
     rng = np.random.default_rng(20)
@@ -92,32 +97,110 @@ def signatures(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
 
 
 def chunk_keys(reps: DataFrame) -> DataFrame:
-    """(key, id): every chunk with each symbol left open. A key holds chunk, place and symbols as they are."""
+    """(key, id, w0 to w3): every chunk with each symbol left open, and four bits of each symbol of the signature.
+
+    A key is a 64-bit mix of chunk, place and symbols; keys that meet by chance add candidates only.
+    """
 
     def run(batches):
         import numpy as np
         import pyarrow as pa
 
+        odd, parts = np.uint64(0x9E3779B97F4A7C15), np.array_split(np.arange(SYMBOLS), CHUNKS)
         for b in batches:
             if not b.num_rows:
                 continue
-            raw = b"".join(b.column(1).to_pylist())
-            chunks = np.frombuffer(raw, np.uint16).reshape(-1, CHUNKS, SYMBOLS // CHUNKS).astype(np.int64)
-            width = chunks.shape[2]
-            keys = []
-            for open_ in range(width):
-                key = np.arange(CHUNKS) * width + open_
-                for i in range(width):
-                    if i != open_:
-                        key = key * 65536 + chunks[:, :, i]
-                keys.append(key)
-            keys = np.stack(keys, axis=2).reshape(len(chunks), -1)
-            ids = b.column(0).to_numpy()
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(keys.ravel()), pa.array(np.repeat(ids, keys.shape[1]))], names=["key", "id"]
-            )
+            symbols = np.frombuffer(b"".join(b.column(1).to_pylist()), np.uint16).reshape(-1, SYMBOLS).astype(np.uint64)
+            keys = np.empty((len(symbols), SYMBOLS), np.uint64)
+            for chunk in parts:
+                for open_ in chunk:
+                    key = np.full(len(symbols), open_ + 1, np.uint64) * odd
+                    for i in chunk[chunk != open_]:
+                        key = (key ^ symbols[:, i]) * odd
+                        key ^= key >> np.uint64(29)
+                    keys[:, open_] = key
+            shifts = np.arange(16, dtype=np.uint64) * np.uint64(4)
+            bits = ((symbols & np.uint64(15)).reshape(-1, SYMBOLS // 16, 16) << shifts).sum(axis=2, dtype=np.uint64)
+            ids, bits = b.column(0).to_numpy(), bits.view(np.int64)
+            columns = [keys.view(np.int64).ravel(), *(np.repeat(x, SYMBOLS) for x in (ids, *bits.T))]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["key", "id", *WORDS])
+
+    return reps.select("id", "sig").mapInArrow(run, "key bigint, id bigint, " + ", ".join(f"{w} bigint" for w in WORDS))
+
+
+def connected(n: int, rows, cols):
+    """The smallest of ``n`` rows that the links between ``rows`` and ``cols`` reach from each."""
+    import numpy as np
+
+    root = np.arange(n)
+    while len(rows) and (root[rows] != root[cols]).any():
+        low = np.minimum(root[rows], root[cols])
+        for side in (rows, cols):
+            np.minimum.at(root, root[side], low)
+            np.minimum.at(root, side, low)
+        root = root[root]
+    return root
+
+
+def key_links(keys: DataFrame) -> DataFrame:
+    """(a, b): members of a key connected by pairs whose signatures may be within ``DISTANCE``, as stars.
+
+    Rows of a key lie together in one partition; a key is at most ``HEAVY`` rows, so few are held.
+    """
+
+    def near(key, ids, bits):
+        import numpy as np
+
+        ones, spots, at, step = np.uint64(0x1111111111111111), [], np.arange(len(key)), 1
+        while len(at := at[at + step < len(key)]) and len(at := at[key[at] == key[at + step]]):
+            differ = np.zeros(len(at), np.int64)
+            for word in bits:
+                x = word[at] ^ word[at + step]
+                x |= x >> np.uint64(1)
+                differ += np.bitwise_count((x | x >> np.uint64(2)) & ones)
+            spots.append((at[differ <= DISTANCE], step))
+            step += 1
+        rows = np.concatenate([x for x, _ in spots]) if spots else np.empty(0, np.int64)
+        cols = np.concatenate([x + d for x, d in spots]) if spots else rows
+        root = connected(len(key), rows, cols)
+        moved = np.flatnonzero(root != np.arange(len(key)))
+        return ids[root[moved]], ids[moved]
 
-    return reps.select("id", "sig").mapInArrow(run, "key bigint, id bigint")
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        def out(columns):
+            key, ids, *bits = columns
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in near(key, ids, [x.view(np.uint64) for x in bits])], names=["a", "b"])
+
+        held = None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            columns = [c.to_numpy() for c in b.columns]
+            if held is not None:
+                columns = [np.concatenate(x) for x in zip(held, columns, strict=True)]
+            # The last key may go on in the next batch.
+            cut = int(np.searchsorted(columns[0], columns[0][-1]))
+            held = [c[cut:] for c in columns]
+            yield out([c[:cut] for c in columns])
+        if held is not None:
+            yield out(held)
+
+    return keys.select("key", "id", *WORDS).repartition("key").sortWithinPartitions("key").mapInArrow(run, "a bigint, b bigint")
+
+
+def candidate_links(reps: DataFrame) -> DataFrame:
+    """(a, b): what connects all classes whose signatures are within ``DISTANCE``, and few others."""
+    keys = chunk_keys(reps)
+    heavy = keys.groupBy(F.col("key").alias("_k")).agg(F.count("*").alias("n")).filter(F.col("n") > HEAVY).select("_k")
+    heavy = materialize(heavy, "minhash-heavy")
+    light = key_links(keys.join(heavy, F.col("key") == F.col("_k"), "left_anti"))
+    crowd = materialize(keys.join(heavy, F.col("key") == F.col("_k")).select("key", "id"), "minhash-crowds")
+    least = crowd.groupBy(F.col("key").alias("_k")).agg(F.min("id").alias("a"))
+    crowd = crowd.join(least, F.col("key") == F.col("_k")).select("a", F.col("id").alias("b")).filter("a != b")
+    return light.unionByName(crowd).distinct()
 
 
 def signature_distances(one, two):
@@ -239,10 +322,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     classes = named.groupBy(F.col("hi").alias("id")).agg(F.min("doc_id").alias("doc"), F.max("sig").alias("sig"))
     classes = materialize(classes, "minhash-classes")
     reps = classes.select("id", "sig")
-    keys = chunk_keys(reps)
-    shared = keys.groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("z")).filter("a != z")
-    candidates = keys.join(shared.select(F.col("key").alias("_k"), "a"), F.col("key") == F.col("_k"))
-    candidates = candidates.select("a", F.col("id").alias("b")).filter("a != b").distinct()
+    candidates = candidate_links(reps)
     clusters = components(candidates, "minhash-candidates").withColumnRenamed("component_id", "cluster")
     clusters = materialize(clusters, "minhash-clusters")
     sizes = clusters.groupBy(F.col("cluster").alias("_c")).agg((F.floor((F.count("*") - 1) / BLOCK)).cast("int").alias("last"))
