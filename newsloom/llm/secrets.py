@@ -28,18 +28,23 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_-]{32,}={0,2}")
 ANY_HEX = re.compile(r"[0-9a-fA-F]{32,}")
-TOKEN = re.compile(r"eyJ[A-Za-z0-9_-]{5,}\.[A-Za-z0-9_-]{2,}\.[A-Za-z0-9_-]*")
+TOKEN = re.compile(r"eyJ[A-Za-z0-9_-]{5,}+\.[A-Za-z0-9_-]{2,}+\.[A-Za-z0-9_-]*+")
+TOKEN_RUN = re.compile(r"[A-Za-z0-9_-]++")
 BEGIN = re.compile(r"-----BEGIN ([A-Z0-9 ]{0,40}PRIVATE KEY)-----")
 HEADER = re.compile(r"^[A-Za-z0-9-]+:.*$", re.M)
 #: Line breaks as escapes of a string, perhaps escaped themselves; ASCII characters by number; joined literals.
-ESCAPED_BREAK = re.compile(r"\\+[nr]")
-ESCAPED_CHAR = re.compile(r"\\+u00([2-7][0-9a-fA-F])")
-JOINT = re.compile(r"""["']\s*[+,.]?\s*["']""")
+ESCAPED_BREAK = re.compile(r"(?<!\\)\\++[nr]")
+ESCAPED_CHAR = re.compile(r"(?<!\\)\\++u00([2-7][0-9a-fA-F])")
+JOINT = re.compile(r"""["']\s*+[+,.]?\s*+["']""")
 QUOTING = re.compile(r"""["'\\]""")
 #: Lines of base64 and what may stand between them: escapes, or a line break with quotes, joining signs and indentation.
-BETWEEN = r"""(?:(?:\\+[nr])*(?:["'][\x20\t]*[+,.]?)?[\x20\t]*\\?\r?\n[\x20\t]*(?:[+,.][\x20\t]*)?(?:(?<![A-Za-z0-9/_-])["'])?|(?:\\+[nr])+)"""
-WRAPPED = re.compile(rf"(?<!\\)[A-Za-z0-9+/_-]{{32,}}(?:{BETWEEN}[A-Za-z0-9+/_-]+={{0,2}})+")
-LINE = re.compile(rf"{BETWEEN}|[A-Za-z0-9+/_-]+={{0,2}}")
+#: Nothing here gives characters back, and runs are entered at their first character only, so time is linear.
+BETWEEN = r"""(?:(?:\\++[nr])*+(?:["'][\x20\t]*+[+,.]?)?[\x20\t]*+\\?\r?\n[\x20\t]*+(?:[+,.][\x20\t]*+)?(?:(?<![A-Za-z0-9/_-])["'])?|(?:\\++[nr])++)"""
+WRAPPED = re.compile(
+    rf"(?:(?<![A-Za-z0-9+/_\\-])|(?<=\\[A-Za-z0-9+/_-]))[A-Za-z0-9+/_-]{{32,}}+(?:{BETWEEN}[A-Za-z0-9+/_-]++={{0,2}}+)++"
+)
+LINE = re.compile(rf"{BETWEEN}|[A-Za-z0-9+/_-]++={{0,2}}+")
+SSH_MAGIC = b"openssh-key-v1\0"
 
 INTEGER, OCTETS, OID, SEQUENCE = 0x02, 0x04, 0x06, 0x30
 MAX_DEPTH = 16
@@ -92,10 +97,9 @@ def is_der_key(raw: bytes) -> bool:
 
 
 def is_ssh_key(raw: bytes) -> bool:
-    magic = b"openssh-key-v1\0"
-    if not raw.startswith(magic):
+    if not raw.startswith(SSH_MAGIC):
         return False
-    at, count = len(magic), None
+    at, count = len(SSH_MAGIC), None
     fields = 0
     while at < len(raw):
         if at + 4 > len(raw):
@@ -145,40 +149,103 @@ def armour_body(text: str) -> str:
     return "".join(HEADER.sub("", text).split())
 
 
-def der_chars(head: str) -> int | None:
-    """How many base64 characters, without padding, the DER sequence takes that begins like this."""
-    raw = from_base64(head[:8])
-    if len(raw) < 6 or raw[0] != SEQUENCE:
+def base64_chars(size: int) -> int:
+    """Characters of that many bytes, without padding."""
+    return -(-size * 4 // 3)
+
+
+def der_size(head: bytes) -> int | None:
+    """The bytes that the DER sequence takes that begins like this, if a key's first item follows."""
+    if len(head) < 7 or head[0] != SEQUENCE:
         return None
-    wide = raw[1] & 0x7F if raw[1] > 0x80 else 0
-    if wide > 4:
+    wide = head[1] & 0x7F if head[1] > 0x80 else 0
+    if wide > 4 or head[2 + wide] not in (INTEGER, SEQUENCE):
         return None
-    size = 2 + wide + (int.from_bytes(raw[2 : 2 + wide], "big") if wide else raw[1])
-    return -(-size * 4 // 3)
+    return 2 + wide + (int.from_bytes(head[2 : 2 + wide], "big") if wide else head[1])
+
+
+def ssh_size(peek) -> int | None:
+    """The bytes that an OpenSSH key takes, from its length fields alone; ``peek(at)`` gives four bytes."""
+    at, fields, count = len(SSH_MAGIC), 0, None
+    while count is None or fields < 4 + count:
+        raw = peek(at)
+        if len(raw) < 4:
+            return None
+        size, at = int.from_bytes(raw[:4], "big"), at + 4
+        if fields == 3 and count is None:
+            if not 1 <= size <= 64:
+                return None
+            count = size
+        else:
+            at, fields = at + size, fields + 1
+    return at
 
 
 def wrapped_spans(text: str) -> list[tuple[int, str, int]]:
-    """Keys over several lines of one width, the last one as long or shorter."""
+    """Keys over several lines of one width, the last one as long or shorter.
+
+    A key's own length fields say how many characters it takes; lines are joined only where that fits.
+    """
     found = []
     for m in WRAPPED.finditer(text):
         lines = [x for x in LINE.finditer(text, m.start(), m.end()) if x[0][0].isalnum() or x[0][0] in "+/_-"]
+        sizes = [len(x[0]) for x in lines]
+        # The last line of the stretch of one width that begins at each line, and a shorter one after it.
+        ends = [0] * len(lines)
+        for i in range(len(lines) - 1, -1, -1):
+            more = i + 1 < len(lines) and sizes[i + 1] <= sizes[i]
+            ends[i] = i if not more else ends[i + 1] if sizes[i + 1] == sizes[i] else i + 1
         after = -1
         for i, first in enumerate(lines):
-            width = len(first[0])
-            if i <= after or width < 32 or not first[0].startswith(("M", "b3BlbnNzaC1rZXktdjE")):
+            width, line = sizes[i], first[0]
+            if i <= after or width < 32 or not line.startswith(("M", "b3BlbnNzaC1rZXktdjE")):
                 continue
-            chars = der_chars(first[0])
-            if chars is None and first[0][0] == "M":
+            last = ends[i]
+            if line[0] == "M":
+                size = der_size(from_base64(line[:12]))
+                if size is not None:
+                    last = max(i, min(last, i + -(-base64_chars(size) // width) - 1))
+            else:
+
+                def peek(at, i=i, width=width):
+                    low, chars = at // 3 * 4, []
+                    for place in range(low, low + 8):
+                        if (row := i + place // width) <= ends[i] and place % width < sizes[row]:
+                            chars.append(lines[row][0][place % width])
+                    return from_base64("".join(chars))[at % 3 :]
+
+                size = ssh_size(peek)
+            if size is None:
                 continue
-            most = len(lines) if chars is None else i - (-chars // width)
-            last = i
-            while last + 1 < min(len(lines), most) and len(lines[last][0]) == width and len(lines[last + 1][0]) <= width:
-                last += 1
             for end in (last, last - 1):
-                if end > i and (kind := key_kind(from_base64("".join(x[0] for x in lines[i : end + 1])))):
-                    found.append((first.start(), kind, lines[end].end()))
-                    after = end
-                    break
+                chars = (end - i) * width + len(lines[end][0].rstrip("="))
+                if end > i and chars == base64_chars(size):
+                    if kind := key_kind(from_base64("".join(x[0] for x in lines[i : end + 1]))):
+                        found.append((first.start(), kind, lines[end].end()))
+                        after = end
+                        break
+    return found
+
+
+def armour_spans(text: str) -> list[tuple[int, str, int]]:
+    """Armoured keys; an armour ends before the next one begins."""
+    found, begins = [], list(BEGIN.finditer(text))
+    for m, following in zip(begins, [*(x.start() for x in begins[1:]), len(text)], strict=False):
+        close = f"-----END {m[1]}-----"
+        end = text.find(close, m.end(), following)
+        if end > 0 and key_kind(from_base64(armour_body(text[m.end() : end]))):
+            found.append((m.start(), "armour", end + len(close)))
+    return found
+
+
+def token_spans(text: str) -> list[tuple[int, str, int]]:
+    """Signed tokens; where a run's first start is none, its other starts are none either."""
+    found, at = [], text.find("eyJ")
+    while at >= 0:
+        m = TOKEN.match(text, at)
+        if m and is_signed_token(m[0]):
+            found.append((at, "jwt", m.end()))
+        at = text.find("eyJ", (m or TOKEN_RUN.match(text, at)).end())
     return found
 
 
@@ -189,12 +256,7 @@ def base_spans(text: str) -> list[tuple[int, str, int]]:
 
 
 def confirmed_spans(text: str) -> list[tuple[int, str, int]]:
-    found = []
-    for m in BEGIN.finditer(text):
-        close = f"-----END {m[1]}-----"
-        end = text.find(close, m.end())
-        if end > 0 and key_kind(from_base64(armour_body(text[m.end() : end]))):
-            found.append((m.start(), "armour", end + len(close)))
+    found = armour_spans(text)
     for m in CANDIDATE.finditer(text):
         if kind := key_kind(from_base64(m[0])):
             found.append((m.start(), kind, m.end()))
@@ -202,7 +264,7 @@ def confirmed_spans(text: str) -> list[tuple[int, str, int]]:
     for m in ANY_HEX.finditer(text):
         if len(m[0]) % 2 == 0 and (kind := key_kind(bytes.fromhex(m[0]))):
             found.append((m.start(), kind, m.end()))
-    found += [(m.start(), "jwt", m.end()) for m in TOKEN.finditer(text) if is_signed_token(m[0])]
+    found += token_spans(text)
     return sorted(set(found))
 
 

@@ -5,6 +5,7 @@ import hashlib
 import json
 import random
 import re
+import time
 import zlib
 
 import pytest
@@ -115,6 +116,27 @@ def test_wrapped_keys(raw, glue):
     assert not secrets.confirmed_spans(glue.join([public[:64], public[64:]]))
 
 
+LONG = {
+    "one line": "data:image/png;base64," + "QUJD" * 250_000,
+    "token starts": "eyJ" * 333_000,
+    "begins": "-----BEGIN PRIVATE KEY-----\n" * 50_000 + "-----END PRIVATE KEY-----",
+    "large lengths": "\n".join(["MIJ/////AgEA" + "A" * 52] * 20_000),
+    "key heads": "\n".join([b64(b"openssh-key-v1\0" + b"\0\0\0\4" * 8) + "A" * 4] * 20_000),
+    "blanks": "A" * 40 + '"' + " " * 500_000,
+    "backslashes": "A" * 40 + "\\" * 500_000,
+}
+
+
+@pytest.mark.parametrize("kind", LONG)
+def test_long_texts_take_linear_time(kind):
+    key = b64(RSA)
+    wrapped = "\n".join(key[i : i + 64] for i in range(0, len(key), 64))
+    begun = time.perf_counter()
+    text = LONG[kind] + "\n\n" + wrapped
+    assert [s for s in secrets.confirmed_spans(text) if s[2] == len(text)] == [(len(text) - len(wrapped), "der", len(text))]
+    assert time.perf_counter() - begun < 2
+
+
 def tiktoken_ids(texts):
     tiktoken = pytest.importorskip("tiktoken")
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
