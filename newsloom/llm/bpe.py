@@ -1,7 +1,7 @@
 """Byte-level BPE encoding and decoding.
 
-Text is split by the vocabulary's pattern in the JVM. The distinct words of a block of documents
-are folded with higher-order functions: each word is an array of byte ids, and step by step the
+Text is split by the vocabulary's pattern in the JVM. Of the distinct words of a block of documents
+those that are a piece as a whole take its id, which their own merges end in; the others are folded with higher-order functions: each word is an array of byte ids, and step by step the
 adjacent pair with the lowest rank, the leftmost first, becomes one id until no pair has a rank.
 The rank map is literal arrays addressed by the two ids. Blocks travel with their documents inside
 one stage, so no text is shuffled and no vocabulary of the whole corpus is ever held. Decoding
@@ -187,23 +187,41 @@ def gather(starts, sizes, values):
     return values[shift + np.arange(len(shift))]
 
 
+def concatenated(ids, pieces: list[bytes]):
+    """The bytes of each list of ``ids``, null for null."""
+    import numpy as np
+
+    sizes = np.array([len(p) for p in pieces], np.int64)
+    starts, values = np.cumsum(sizes) - sizes, np.frombuffer(b"".join(pieces), np.uint8)
+    flat, offsets = ids.values.to_numpy(zero_copy_only=False), ids.offsets.to_numpy()
+    for known, i, j in zip(ids.is_valid().to_pylist(), offsets, offsets[1:], strict=False):
+        yield gather(starts[flat[i:j]], sizes[flat[i:j]], values).tobytes() if known else None
+
+
 def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """``docs`` with the column ids (array<int>) in place of text.
 
     A null or empty text has no ids. Repeated rows are encoded each; an empty table gives an empty
     result; further columns pass through, but for one named ids.
     """
+    return encoded_as(docs, path, pattern, "ids array<int>", lambda ids: [ids])
+
+
+def encoded_as(docs: DataFrame, path: str, pattern: str, schema: str, finish) -> DataFrame:
+    """As ``encode``, with what ``finish`` makes of an Arrow array of id lists in place of ids."""
     pieces = read_ranks(path)
     own = {p: i for i, p in enumerate(pieces)}
-    rest = [c for c in docs.columns if c not in ("text", "ids")]
+    names = [f.split()[0] for f in schema.split(", ")]
+    rest = [c for c in docs.columns if c not in ("text", *names)]
     words = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(java_pattern(pattern)), F.lit(0))
     carried = docs.select(F.struct(*rest).alias("row"), words.alias("words"))
     row = carried.schema["row"].dataType.simpleString()
 
     def distinct(batches):
-        """Each block's distinct words on its first row; every row its word numbers."""
+        """Each block's distinct words on its first row, whole pieces by their ids; every row its word numbers."""
         import numpy as np
         import pyarrow as pa
+        import pyarrow.compute
 
         for b in batches:
             if not b.num_rows:
@@ -213,15 +231,19 @@ def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
             numbers = pa.ListArray.from_arrays(lists.offsets, coded.indices.cast(pa.int32()))
             first = np.zeros(b.num_rows + 1, np.int32)
             first[1:] = len(coded.dictionary)
-            block = pa.ListArray.from_arrays(pa.array(first), coded.dictionary)
+            whole = [own.get(w.encode(), -1) for w in coded.dictionary.to_pylist()]
+            whole = pa.array(whole, pa.int32())
+            other = coded.dictionary.filter(pa.compute.less(whole, 0))
+            settled = pa.ListArray.from_arrays(pa.array(first), whole)
+            block = pa.ListArray.from_arrays(pa.array(np.minimum(first, len(other))), other)
             starts = pa.array(np.arange(b.num_rows) == 0)
-            yield pa.RecordBatch.from_arrays([b.column(0), numbers, block, starts], names=["row", "numbers", "block", "starts"])
+            yield pa.RecordBatch.from_arrays([b.column(0), numbers, settled, block, starts], names=["row", "numbers", "settled", "block", "starts"])
 
-    blocks = carried.mapInArrow(distinct, f"row {row}, numbers array<int>, block array<string>, starts boolean")
+    blocks = carried.mapInArrow(distinct, f"row {row}, numbers array<int>, settled array<int>, block array<string>, starts boolean")
     ranks = Ranks(pieces)
     folded = F.transform("block", lambda w: F.when(F.octet_length(w) <= FOLD_BYTES, fold_word(w, ranks)))
     long_words = F.filter("block", lambda w: F.octet_length(w) > FOLD_BYTES)
-    blocks = blocks.select("row", "numbers", "starts", folded.alias("folded"), long_words.alias("long"))
+    blocks = blocks.select("row", "numbers", "settled", "starts", folded.alias("folded"), long_words.alias("long"))
 
     def assemble(batches):
         """Puts each document's ids together from the ids of its block's words."""
@@ -232,33 +254,36 @@ def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
         for b in batches:
             if not b.num_rows:
                 continue
-            numbers, heads = b.column(1), np.flatnonzero(b.column(2).to_numpy(zero_copy_only=False))
+            numbers, heads = b.column(1), np.flatnonzero(b.column(3).to_numpy(zero_copy_only=False))
             flat, offsets = numbers.values.to_numpy(zero_copy_only=False), numbers.offsets.to_numpy()
             ends = [*heads[heads > 0].tolist(), b.num_rows]
             at, parts = 0, []
             for end in ends:
                 if at in heads:
-                    words = b.column(3)[at].values
+                    words, whole = b.column(4)[at].values, b.column(2)[at].values.to_numpy(zero_copy_only=False)
                     found = words.to_pylist() if words.null_count else None
                     if found is None:
-                        flat_ids, bounds = words.flatten().to_numpy(zero_copy_only=False), None
-                        sizes = words.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+                        flat_ids = words.flatten().to_numpy(zero_copy_only=False)
+                        lengths = words.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
                     else:
-                        spare = iter(b.column(4)[at].as_py())
+                        spare = iter(b.column(5)[at].as_py())
                         found = [x if x is not None else merge_long(next(spare).encode(), own) for x in found]
-                        sizes = np.array([len(x) for x in found], np.int64)
+                        lengths = np.array([len(x) for x in found], np.int64)
                         flat_ids = np.array([y for x in found for y in x], np.int32)
-                    starts, values = np.cumsum(sizes) - sizes, flat_ids.astype(np.int32)
+                    sizes = np.ones(len(whole), np.int64)
+                    sizes[whole < 0] = lengths
+                    starts, values = np.cumsum(sizes) - sizes, np.repeat(whole, sizes)
+                    values[values < 0] = flat_ids
                 picked = flat[offsets[at] : offsets[end]]
                 lengths = sizes[picked]
                 ids = gather(starts[picked], lengths, values)
                 upto = np.r_[0, np.cumsum(lengths)]
                 doc_ends = upto[offsets[at : end + 1] - offsets[at]].astype(np.int32)
                 made = pa.ListArray.from_arrays(pa.array(doc_ends), pa.array(ids, pa.int32()))
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, end - at), made], names=["row", "ids"])
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, end - at), *finish(made)], names=["row", *names])
                 at = end
 
-    return blocks.mapInArrow(assemble, f"row {row}, ids array<int>").select("row.*", "ids")
+    return blocks.mapInArrow(assemble, f"row {row}, {schema}").select("row.*", *names)
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
@@ -269,58 +294,39 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
     names = encoded.columns
 
     def run(batches):
-        import numpy as np
         import pyarrow as pa
 
-        sizes = np.array([len(p) for p in pieces], np.int64)
-        starts = np.cumsum(sizes) - sizes
-        values = np.frombuffer(b"".join(pieces), np.uint8)
         for b in batches:
-            ids = b.column(names.index("ids"))
-            flat, offsets = ids.values.to_numpy(zero_copy_only=False), ids.offsets.to_numpy()
-            out = [
-                gather(starts[x], sizes[x], values).tobytes() if known else None
-                for known, x in zip(
-                    ids.is_valid().to_pylist(), (flat[i:j] for i, j in zip(offsets, offsets[1:])), strict=True
-                )
-            ]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.binary())], names=[*names, "bytes"])
+            out = pa.array(concatenated(b.column(names.index("ids")), pieces), pa.binary())
+            yield pa.RecordBatch.from_arrays([*b.columns, out], names=[*names, "bytes"])
 
     schema = StructType([*encoded.schema.fields, StructField("bytes", BinaryType())])
     return encoded.mapInArrow(run, schema)
 
 
-def id_digests(encoded: DataFrame) -> DataFrame:
-    """Adds n_tokens and ids_sha256, over the ids as little-endian unsigned 32-bit integers."""
-    from pyspark.sql.types import LongType, StringType, StructField, StructType
+def round_trip(docs: DataFrame) -> DataFrame:
+    """Encodes and decodes: the columns of ``docs`` without text, n_tokens and two digests.
 
-    names = encoded.columns
+    Ids are digested as little-endian unsigned 32-bit integers, and decoded, where they are put together.
+    """
+    import public_tokenizers
 
-    def run(batches):
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    pieces = read_ranks(path)
+
+    def finish(ids):
         import hashlib
 
         import numpy as np
         import pyarrow as pa
 
-        for b in batches:
-            ids = b.column(names.index("ids"))
-            flat, offsets = ids.values.to_numpy(zero_copy_only=False).astype("<u4"), ids.offsets.to_numpy()
-            n = pa.array(np.diff(offsets), pa.int64())
-            sha = [hashlib.sha256(flat[i:j].tobytes()).hexdigest() for i, j in zip(offsets, offsets[1:])]
-            yield pa.RecordBatch.from_arrays([*b.columns, n, pa.array(sha, pa.string())], names=[*names, "n_tokens", "ids_sha256"])
-
-    more = [StructField("n_tokens", LongType()), StructField("ids_sha256", StringType())]
-    return encoded.mapInArrow(run, StructType([*encoded.schema.fields, *more]))
+        flat, offsets = ids.values.to_numpy(zero_copy_only=False).astype("<u4"), ids.offsets.to_numpy()
+        coded = [hashlib.sha256(flat[i:j].tobytes()).hexdigest() for i, j in zip(offsets, offsets[1:], strict=False)]
+        decoded = [hashlib.sha256(x).hexdigest() for x in concatenated(ids, pieces)]
+        return [pa.array(np.diff(offsets), pa.int64()), pa.array(coded, pa.string()), pa.array(decoded, pa.string())]
 
-
-def round_trip(docs: DataFrame) -> DataFrame:
-    """Encodes and decodes: the columns of ``docs`` without text, n_tokens and the two digests."""
-    import public_tokenizers
-
-    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    docs = docs.drop("bytes", "n_tokens", "ids_sha256", "decoded_sha256")
-    encoded = id_digests(encode(docs, path, public_tokenizers.PATTERN))
-    return decode(encoded, path).withColumn("decoded_sha256", F.sha2("bytes", 256)).drop("ids", "bytes")
+    schema = "n_tokens bigint, ids_sha256 string, decoded_sha256 string"
+    return encoded_as(docs, path, public_tokenizers.PATTERN, schema, finish)
 
 
 @query("op3_byte_bpe")
