@@ -1,9 +1,15 @@
 """Embedding near-dedup by an inverted multi-index.
 
 Two independent codebooks, one per vector half, span a grid of cells; every vector is filed under
-its nearest centroid of either half. For a search the cells are visited in the order of the sum of
-their two half distances, a heap walking outwards from the nearest cell, and every vector of a
-visited cell is verified by its exact cosine.
+its nearest centroid of either half. Cells are visited in the order of the sum of their two half
+distances by a heap walking outwards from the nearest cell, and every vector of a visited cell is
+verified by its exact cosine.
+
+The walk has two levels, so that vectors move once per group of cells and not once per cell.
+Neighbouring centroids of each half are grouped, and pairs of groups are regions of some thousand
+vectors. A walk over regions, by their nearest cells, names the regions that a vector has to be
+sent to; there it visits the cells within the same distance sum. Regions and the vectors that
+visit them are split into blocks of bounded size.
 
 A link is found if a walk from either of its ends comes to the other, and counts at both ends. The
 walk stops where the target recall is met in every band of cosines from the link threshold up: for
@@ -35,27 +41,31 @@ CELL_ROWS = 64
 #: Vectors compared with all rows to find where walks may stop, and the steps sums are counted in.
 PROBES = 256
 GRAIN = 1 / 2_048
-#: Vectors that one task compares with as many others.
-BLOCK = 1_024
+#: Vectors that one task compares with as many others, and rows of them in one matrix product.
+BLOCK = 16_384
+TILE = 2_048
+
+
+def k_means(rows, centroids: int, rounds: int = 8, seed: int = 1):
+    """Distinct centroids of the rows, as many as asked for at most."""
+    import numpy as np
+
+    rng = np.random.default_rng(seed)
+    book = rows[rng.choice(len(rows), min(centroids, len(rows)), replace=False)]
+    for _ in range(rounds):
+        near = (rows @ book.T * 2 - (book * book).sum(1)).argmax(1)
+        for c in range(len(book)):
+            own = rows[near == c]
+            if len(own):
+                book[c] = own.mean(0)
+    return np.unique(book, axis=0)
 
 
-def fit_codebooks(sample, centroids: int, rounds: int = 8):
+def fit_codebooks(sample, centroids: int):
     """Two arrays of centroids by k-means, each on its half of unit vectors."""
     import numpy as np
 
-    rng = np.random.default_rng(1)
-    halves = np.array_split(sample, 2, axis=1)
-    books = []
-    for half in halves:
-        book = half[rng.choice(len(half), min(centroids, len(half)), replace=False)]
-        for _ in range(rounds):
-            near = (half @ book.T * 2 - (book * book).sum(1)).argmax(1)
-            for c in range(len(book)):
-                own = half[near == c]
-                if len(own):
-                    book[c] = own.mean(0)
-        books.append(np.unique(book, axis=0))
-    return books
+    return [k_means(half, centroids, seed=1 + h) for h, half in enumerate(np.array_split(sample, 2, axis=1))]
 
 
 def half_distances(half, book):
@@ -97,28 +107,37 @@ def unit_rows(raw):
 
 
 def matrix(column):
-    """Arrow list column of equally long rows as a matrix of doubles."""
+    """Arrow list column of equally long rows as a matrix of doubles; rows of one number get a zero."""
     import numpy as np
 
-    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    return flat.reshape(len(column), -1) if len(column) else np.empty((0, 1))
+    if not len(column):
+        return np.empty((0, 2))
+    rows = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
+    return rows if rows.shape[1] > 1 else np.hstack([rows, np.zeros_like(rows)])
 
 
-def linkable(vectors: DataFrame) -> tuple[DataFrame, int]:
-    """(id, v, copies): distinct usable vectors, each under the smallest vec_id that has it; and their length.
+def as_numbers(vectors: DataFrame):
+    """The embedding as stored if it holds floats, which are exact in half the bytes; as doubles otherwise."""
+    kind = vectors.schema["embedding"].dataType.simpleString()
+    return F.col("embedding") if kind == "array<float>" else F.col("embedding").cast("array<double>")
 
-    Usable vectors have the most common length, no null or non-finite component and are not zero.
+
+def linkable(vectors: DataFrame) -> tuple[DataFrame, list[int]]:
+    """(id, v, copies): distinct usable vectors, each under the smallest vec_id that has it; and their lengths.
+
+    Usable vectors are not empty or zero and have no null or non-finite component.
     """
     usable = vectors.filter(
-        F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & (F.size("embedding") > 1)
-    ).select(F.col("vec_id").cast("bigint").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v"))
+        F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & (F.size("embedding") > 0)
+    ).select(F.col("vec_id").cast("bigint").alias("vec_id"), as_numbers(vectors).alias("v"))
     inf = F.lit(float("inf"))
     finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < inf))
     usable = usable.filter(finite & F.exists("v", lambda x: x != 0))
     once = usable.groupBy("v").agg(F.min("vec_id").alias("id"), F.count_distinct("vec_id").alias("copies"))
     once = materialize(once, "vectors")
-    common = once.groupBy(F.size("v").alias("n")).agg(F.sum("copies").alias("c")).orderBy(F.desc("c"), "n").first()
-    return once, common["n"] if common else 0
+    # A row per length of vectors, of which a table has few.
+    lengths = once.select(F.size("v").alias("n")).distinct().orderBy("n").collect()
+    return once, [r["n"] for r in lengths]
 
 
 def made_neighbours(probes, cosine: float, seed: int = 2):
@@ -194,45 +213,120 @@ def stop_at(ready: DataFrame, probes, books, cosine: float, recall: float) -> fl
     return max(limits) + GRAIN
 
 
-def near_links(vectors: DataFrame, cosine: float = COSINE, recall: float = RECALL) -> tuple[DataFrame, DataFrame]:
-    """(counts, edges): n_links per distinct vector (id, copies, n), and links (a, b) that span the components.
+def joined_labels(a, b):
+    """(nodes, labels): the least node that each is connected with by the links a[k] to b[k]."""
+    import numpy as np
 
-    Every block of queries of a cell meets every block of members of the cells it visits, once;
-    a task compares two blocks of bounded size by a matrix product and returns counts and a spanning
-    forest of the links, never the pairs. A link counts for the query; for the member too, unless the
-    member's own walk comes to the query's cell and counts it there.
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    u, v = at[: len(a)], at[len(a) :]
+    low = np.arange(len(nodes))
+    while True:
+        least = np.minimum(low[u], low[v])
+        new = low.copy()
+        for end in (u, v, low[u], low[v]):
+            np.minimum.at(new, end, least)
+        new = new[new]
+        if (new == low).all():
+            return nodes, nodes[low]
+        low = new
+
+
+def tile_labels(linked, q, m):
+    """The least id that each row (ids ``q``) and column (ids ``m``) is connected with, by rounds over the tile."""
+    import numpy as np
+
+    top = np.iinfo(np.int64).max
+    low = q
+    while True:
+        across = np.minimum(m, np.where(linked, low[:, None], top).min(axis=0))
+        new = np.minimum(low, np.where(linked, across[None, :], top).min(axis=1))
+        if (new == low).all():
+            return low, across
+        low = new
+
+
+def verified_links(q, one, q_copies, m, two, m_copies, books, limit: float, cosine: float):
+    """(id, n, to) of the links between unit rows ``one`` (ids ``q``) and the members ``two`` (ids ``m``).
+
+    Each row of ``one`` meets the cells of ``two`` that its walk visits. A link counts for the row; for
+    the member too, unless the member's own walk comes to the row's cell and counts it there. ``to`` is
+    the least id that a node is connected with here.
+    """
+    import numpy as np
+
+    half = books[0].shape[1]
+
+    def placed(rows):
+        (i, beyond1), (j, beyond2) = (half_distances(x, k) for x, k in zip((rows[:, :half], rows[:, half:]), books, strict=True))
+        return i, j, beyond1, beyond2
+
+    cell = np.concatenate([np.empty((0, 2), np.int64)] + [np.stack(placed(two[s : s + TILE])[:2], axis=1) for s in range(0, len(two), TILE)])
+    order = np.lexsort((cell[:, 1], cell[:, 0]))
+    m, two, m_copies, cell = m[order], two[order], m_copies[order], cell[order]
+    starts = np.flatnonzero(np.r_[True, (cell[1:] != cell[:-1]).any(axis=1)]) if len(m) else []
+    bounds = [(s, min(s + TILE, e)) for f, e in zip(starts, [*starts[1:], len(m)], strict=True) for s in range(f, e, TILE)]
+    n_q, n_m, met = np.zeros(len(q), np.int64), np.zeros(len(m), np.int64), np.zeros(len(m), bool)
+    ends = [np.empty((2, 0), np.int64)]
+    for t in range(0, len(q), TILE):
+        rows = one[t : t + TILE]
+        i, j, beyond1, beyond2 = placed(rows)
+        for s, e in bounds:
+            visiting = np.flatnonzero(beyond1[:, cell[s, 0]] + beyond2[:, cell[s, 1]] <= limit)
+            linked = rows[visiting] @ two[s:e].T >= cosine
+            if not linked.any():
+                continue
+            linked &= q[t + visiting][:, None] != m[s:e][None, :]
+            has, got = np.flatnonzero(linked.any(axis=1)), np.flatnonzero(linked.any(axis=0))
+            if not len(has):
+                continue
+            linked, visiting, got = linked[np.ix_(has, got)], visiting[has], s + got
+            at = t + visiting
+            n_q[at] += linked @ m_copies[got]
+            _, _, back1, back2 = placed(two[got])
+            back = back1[:, i[visiting]] + back2[:, j[visiting]] <= limit
+            n_m[got] += (linked.T & ~back) @ q_copies[at]
+            met[got] = True
+            low, across = tile_labels(linked, q[at], m[got])
+            ends.append(np.stack([np.r_[q[at], m[got]], np.r_[low, across]]))
+    nodes, labels = joined_labels(*np.concatenate(ends, axis=1))
+    has = n_q > 0
+    ids = np.r_[q[has], m[met]]
+    return ids, np.r_[n_q[has], n_m[met]], labels[np.searchsorted(nodes, ids)]
+
+
+def links_of(ready: DataFrame, cosine: float, recall: float) -> DataFrame:
+    """(id, n, to) of vectors of one length: links counted in parts, and edges that span the components.
+
+    A task compares two blocks of bounded size by matrix products and returns counts and a spanning
+    forest of the links, never the pairs.
     """
-    once, size = linkable(vectors)
-    ready = once.filter(F.size("v") == size)
-    total = ready.count()
-    sample = ready.orderBy(F.xxhash64("id")).limit(FIT_ROWS).select("v").toArrow().column(0).combine_chunks()
     import numpy as np
 
-    fitted, _ = unit_rows(matrix(sample)) if total else (np.empty((0, 2)), None)
-    centroids = int(min(MOST_CENTROIDS, max(1, (total / CELL_ROWS) ** 0.5)))
-    books = fit_codebooks(fitted, centroids) if total else [np.zeros((1, 1)), np.zeros((1, 1))]
+    total = ready.count()
+    sample = ready.orderBy(F.xxhash64("id")).limit(FIT_ROWS).select("v").toArrow().column(0).combine_chunks()
+    fitted, _ = unit_rows(matrix(sample))
+    books = fit_codebooks(fitted, int(min(MOST_CENTROIDS, max(1, (total / CELL_ROWS) ** 0.5))))
     half = books[0].shape[1]
-    limit = stop_at(ready, fitted[:PROBES], books, cosine, recall) if total else 0.0
-    wide = len(books[1])
+    limit = stop_at(ready, fitted[:PROBES], books, cosine, recall)
+    side = int(np.ceil((total / BLOCK) ** 0.5))
+    groups = [half_distances(book, k_means(book, side))[0] for book in books]
+
+    def placed(rows):
+        unit, _ = unit_rows(matrix(rows))
+        return [half_distances(x, k) for x, k in zip((unit[:, :half], unit[:, half:]), books, strict=True)]
 
     def file_under(batches):
         import pyarrow as pa
 
         for b in batches:
-            if not b.num_rows:
-                continue
-            unit, _ = unit_rows(matrix(b.column(1)))
-            i, j = (half_distances(x, k)[0] for x, k in zip((unit[:, :half], unit[:, half:]), books, strict=True))
-            flat = pa.ListArray.from_arrays(pa.array(np.arange(0, unit.size + 1, unit.shape[1], dtype=np.int32)), pa.array(unit.ravel()))
-            yield pa.RecordBatch.from_arrays([b.column(0), flat, b.column(2), pa.array((i * wide + j).astype(np.int32))], names=["id", "v", "copies", "cell"])
+            if b.num_rows:
+                i, j = (near for near, _ in placed(b.column(1)))
+                region = pa.array((groups[0][i] * side + groups[1][j]).astype(np.int32))
+                yield pa.RecordBatch.from_arrays([*b.columns, region], names=["id", "v", "copies", "region"])
 
-    filed = ready.select("id", "v", "copies").mapInArrow(file_under, "id bigint, v array<double>, copies bigint, cell int")
+    kind = ready.schema["v"].dataType.simpleString()
+    filed = ready.select("id", "v", "copies").mapInArrow(file_under, f"id bigint, v {kind}, copies bigint, region int")
     filed = materialize(filed, "filed-vectors")
-    sizes = filed.groupBy("cell").agg(((F.count("*") - 1) / BLOCK).cast("int").alias("more"))
-    sizes = materialize(sizes.select(F.col("cell").alias("_c"), "more"), "cell-sizes")
-    members = filed.join(sizes, F.col("cell") == F.col("_c")).withColumn(
-        "block", F.pmod(F.xxhash64("id"), F.col("more") + 1).cast("int")
-    ).drop("_c", "more")
 
     def walk(batches):
         import pyarrow as pa
@@ -240,63 +334,59 @@ def near_links(vectors: DataFrame, cosine: float = COSINE, recall: float = RECAL
         for b in batches:
             if not b.num_rows:
                 continue
-            unit = matrix(b.column(1))
-            beyond = [half_distances(x, k)[1] for x, k in zip((unit[:, :half], unit[:, half:]), books, strict=True)]
-            at, cells = [], []
-            for r in range(len(unit)):
-                own = [i * wide + j for i, j in nearest_cells(beyond[0][r], beyond[1][r], limit)]
-                cells += own
+            # The distance to a group of centroids is that to its nearest one; groups may be empty.
+            least = []
+            for (_, beyond), group in zip(placed(b.column(1)), groups, strict=True):
+                near = np.full((len(beyond), side), np.inf)
+                for g in np.unique(group):
+                    near[:, g] = beyond[:, group == g].min(axis=1)
+                least.append(near)
+            at, regions = [], []
+            for r, (one, two) in enumerate(zip(*least, strict=True)):
+                own = [i * side + j for i, j in nearest_cells(one, two, limit)]
+                regions += own
                 at += [r] * len(own)
-            pick = pa.array(at, pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0).take(pick), b.column(2).take(pick), b.column(3).take(pick), pa.array(cells, pa.int32())],
-                names=["id", "cell", "block", "visit"],
-            )
-
-    visits = members.select("id", "v", "cell", "block").mapInArrow(walk, "id bigint, cell int, block int, visit int")
-    visits = visits.join(sizes, F.col("visit") == F.col("_c")).select(
-        "id", F.col("cell").alias("qcell"), F.col("block").alias("qblock"), "visit", F.explode(F.sequence(F.lit(0), F.col("more"))).alias("vblock")
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int64())), pa.array(regions, pa.int32())], names=["id", "visit"])
+
+    visits = materialize(filed.select("id", "v").mapInArrow(walk, "id bigint, visit int"), "visits")
+    more = ((F.count("*") - 1) / BLOCK).cast("int")
+    split = filed.groupBy("region").agg(more.alias("blocks")).join(
+        visits.groupBy(F.col("visit").alias("_v")).agg(more.alias("parts")), F.col("region") == F.col("_v")
     )
-    visits = materialize(visits, "visits")
-    # Queries of one cell and block that visit the same block form one group with it: at most BLOCK or so rows a side.
-    pair = ["qcell", "qblock", "visit", "vblock"]
-    rows = visits.join(members.select(F.col("id").alias("_i"), "v", "copies"), F.col("id") == F.col("_i")).select(*pair, "id", "v", "copies")
-    wanted = visits.select(*pair).distinct()
-    held = wanted.join(members, (F.col("visit") == F.col("cell")) & (F.col("vblock") == F.col("block"))).select(*pair, "id", "v", "copies")
+    split = materialize(split.select(F.col("region").alias("_r"), "blocks", "parts"), "region-sizes")
+    # Vectors that visit a region are dealt to parts, its members to blocks; every part meets every block.
+    pair = ["region", "block", "part"]
+    block = F.pmod(F.xxhash64("id"), F.col("blocks") + 1).cast("int")
+    part = F.pmod(F.xxhash64("id", F.lit(1)), F.col("parts") + 1).cast("int")
+    every = lambda last: F.explode(F.sequence(F.lit(0), F.col(last)))
+    rows = visits.join(split, F.col("visit") == F.col("_r")).join(
+        filed.select(F.col("id").alias("_i"), "v", "copies"), F.col("id") == F.col("_i")
+    ).select(F.col("visit").alias("region"), every("blocks").alias("block"), part.alias("part"), "id", "v", "copies")
+    held = filed.join(split, F.col("region") == F.col("_r")).select("region", block.alias("block"), every("parts").alias("part"), "id", "v", "copies")
 
     def compare(key, left, right):
         import pyarrow as pa
 
-        q, m = left["id"].combine_chunks().to_numpy(), right["id"].combine_chunks().to_numpy()
-        one, two = matrix(left["v"].combine_chunks()), matrix(right["v"].combine_chunks())
-        out_id, out_n, out_to = [], [], []
-        if len(q) and len(m):
-            copies = right["copies"].combine_chunks().to_numpy()
-            linked = one @ two.T >= cosine
-            linked &= q[:, None] != m[None, :]
-            counts = linked @ copies
-            i, j = divmod(key[0].as_py(), wide)
-            back = sum(half_distances(x, k)[1][:, c] for x, k, c in zip((two[:, :half], two[:, half:]), books, (i, j), strict=True)) <= limit
-            unmet = np.where(back, 0, left["copies"].combine_chunks().to_numpy() @ linked)
-            top = np.minimum(q, np.where(linked, m[None, :], np.iinfo(np.int64).max).min(axis=1))
-            low = top.copy()
-            # Least id over alternating hops inside the block: a spanning star per connected part.
-            while True:
-                right_low = np.where(linked, low[:, None], np.iinfo(np.int64).max).min(axis=0)
-                right_low = np.minimum(right_low, m)
-                new = np.minimum(low, np.where(linked, right_low[None, :], np.iinfo(np.int64).max).min(axis=1))
-                if (new == low).all():
-                    break
-                low = new
-            right_low = np.where(linked, low[:, None], np.iinfo(np.int64).max).min(axis=0)
-            has, got = counts > 0, linked.any(axis=0)
-            out_id = np.r_[q[has], m[got]]
-            out_n = np.r_[counts[has], unmet[got]]
-            out_to = np.r_[low[has], np.minimum(right_low[got], m[got])]
-        return pa.table({"id": pa.array(out_id, pa.int64()), "n": pa.array(out_n, pa.int64()), "to": pa.array(out_to, pa.int64())})
-
-    rows, held = rows.toDF(*rows.columns), held.toDF(*held.columns)
-    found = rows.groupBy(*pair).cogroup(held.groupBy(*pair)).applyInArrow(compare, "id bigint, n bigint, to bigint")
+        def columns(t):
+            return t["id"].combine_chunks().to_numpy(), unit_rows(matrix(t["v"].combine_chunks()))[0], t["copies"].combine_chunks().to_numpy()
+
+        out = [()] * 3
+        if left.num_rows and right.num_rows:
+            out = verified_links(*columns(left), *columns(right), books, limit, cosine)
+        return pa.table({c: pa.array(x, pa.int64()) for c, x in zip(("id", "n", "to"), out, strict=True)})
+
+    return rows.groupBy(*pair).cogroup(held.toDF(*held.columns).groupBy(*pair)).applyInArrow(compare, "id bigint, n bigint, to bigint")
+
+
+def near_links(vectors: DataFrame, cosine: float = COSINE, recall: float = RECALL) -> tuple[DataFrame, DataFrame]:
+    """(counts, edges): n_links per distinct vector (id, copies, n), and links (a, b) that span the components.
+
+    Vectors of each length have a grid of their own.
+    """
+    once, lengths = linkable(vectors)
+    found = once.sparkSession.createDataFrame([], "id bigint, n bigint, to bigint")
+    for n in lengths:
+        found = found.unionByName(links_of(once.filter(F.size("v") == n), cosine, recall))
     found = materialize(found, "vector-links")
     counts = found.groupBy("id").agg(F.sum("n").alias("n"))
     edges = found.filter("id != to").select(F.col("id").alias("a"), F.col("to").alias("b")).distinct()
@@ -309,8 +399,8 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, recall: float =
     """(vec_id, n_links, component_id, kept) for every row of ``vectors`` (vec_id, embedding).
 
     Equal vectors are one class with links among its copies. Null, empty and zero vectors, those
-    with null or non-finite components link with nothing and are kept; vectors of another length than
-    most link with equal ones only.
+    with null or non-finite components link with nothing and are kept; vectors link with those of
+    their own length.
     Rows that repeat a vec_id and its vector are one vector; a vec_id with several vectors has the
     links of each row's own vector. A null vec_id has no component. An empty table gives an empty
     result. A link that a walk from either end comes to is counted at both.
@@ -321,7 +411,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, recall: float =
     rooted = classes.join(found.withColumnRenamed("id", "_i"), F.col("id") == F.col("_i"), "left").select(
         F.col("v").alias("_v"), (F.col("n") + F.col("copies") - 1).alias("_n"), F.coalesce("component_id", "id").alias("_c")
     )
-    rows = vectors.select(F.col("vec_id").cast("bigint").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v"))
+    rows = vectors.select(F.col("vec_id").cast("bigint").alias("vec_id"), as_numbers(vectors).alias("v"))
     known = F.col("vec_id").isNotNull() & (F.col("v") == F.col("_v"))
     out = rows.join(rooted, known, "left").select(
         "vec_id", F.coalesce("_n", F.lit(0)).cast("bigint").alias("n_links"), F.coalesce("_c", "vec_id").alias("component_id")

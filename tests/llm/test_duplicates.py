@@ -137,6 +137,26 @@ def test_multi_index_of_nothing(spark):
     assert sorted((r["vec_id"], r["n_links"], r["kept"]) for r in one) == [(1, 0, True), (2, 0, True)]
 
 
+def test_multi_index_in_small_blocks_and_of_several_lengths(spark, monkeypatch):
+    """Many regions, blocks and tiles give the links of one; each length of vectors has its own grid."""
+    rng = np.random.default_rng(8)
+    base = rng.normal(size=(40, 12))
+    tight = base[0] + rng.normal(size=(90, 12)) * 0.01
+    data = np.vstack([base + rng.normal(size=base.shape) * s for s in (0, 0.05, 0.1)] + [tight]).astype(np.float32)
+    rows = [(i, [float(x) for x in v], 0) for i, v in enumerate(data)]
+    rows += [(500 + i, [float(x)], 0) for i, x in enumerate((2, -3, 5, -0.5))]
+    rows += [(600, [1.0, 0.0, 0.0], 0), (601, [3.0, 0.1, 0.0], 0), (602, [0.0, 1.0, 0.0], 0)]
+    state = lambda: sorted(tuple(r) for r in multi_index.near_duplicates(vectors_of(spark, rows)).collect())
+    whole = state()
+    monkeypatch.setattr(multi_index, "BLOCK", 30)
+    monkeypatch.setattr(multi_index, "TILE", 16)
+    assert state() == whole
+    got = {r[0]: r[1:3] for r in whole}
+    assert [got[i] for i in (500, 501, 502, 503)] == [(1, 500), (1, 501), (1, 500), (1, 501)]
+    assert [got[i] for i in (600, 601, 602)] == [(1, 600), (1, 600), (0, 602)]
+    assert got[130][0] >= 85
+
+
 def test_walk_visits_cells_in_order():
     rng = np.random.default_rng(0)
     one, two = rng.random(7), rng.random(9)
