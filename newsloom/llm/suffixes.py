@@ -261,7 +261,9 @@ def window_spans(suffixes: DataFrame, right: DataFrame, left: DataFrame, spans:
     """(doc_id, start, end, other): windows of ``min_words`` words that other documents have, where ``spans`` leave any open.
 
     ``right`` and ``left`` have (doc_id, place, agree), which bound the windows that can be shared at
-    all. A gram with a window in bounds but in no span has all its windows in bounds compared.
+    all. A suffix is open if its windows in bounds are not all in one span. Every suffix of its gram is
+    compared with it, by the least and greatest document of each window; only windows of open suffixes
+    come back as rows, as those of the others are in spans already.
     """
     reach = min_words - gram
     zero = F.lit(0)
@@ -269,32 +271,49 @@ def window_spans(suffixes: DataFrame, right: DataFrame, left: DataFrame, spans:
         left.select("doc_id", "place", zero.alias("r"), F.col("agree").alias("l"))
     )
     both = both.groupBy(F.col("doc_id").alias("_d"), F.col("place").alias("_p")).agg(F.max("r").alias("r"), F.max("l").alias("l"))
-    some = suffixes.join(both.filter(F.col("r") + F.col("l") >= reach), (F.col("doc_id") == F.col("_d")) & (F.col("place") == F.col("_p"))).drop("_d", "_p")
-    some = materialize(some, "suffixes-in-reach")
-    covered = merged(spans).groupBy(F.col("doc_id").alias("_d")).agg(F.collect_list(F.struct("start_word", "end_word")).alias("spans"))
-    inside = F.exists("spans", lambda s: (s["start_word"] <= F.col("place") - F.col("l")) & (s["end_word"] >= F.col("place") + gram + F.col("r")))
-    open_ = some.select("gram", "doc_id", "place", "r", "l").join(covered, F.col("doc_id") == F.col("_d"), "left").filter(~F.coalesce(inside, F.lit(False)))
-    undecided = some.join(open_.select(F.col("gram").alias("_g")).distinct(), F.col("gram") == F.col("_g"), "left_semi")
+    covered = merged(spans).groupBy(F.col("doc_id").alias("_e")).agg(F.collect_list(F.struct("start_word", "end_word")).alias("spans"))
+    inside = F.exists("spans", lambda s: (s["start_word"] <= F.col("_p") - F.col("l")) & (s["end_word"] >= F.col("_p") + gram + F.col("r")))
+    in_reach = both.filter(F.col("r") + F.col("l") >= reach).join(covered, F.col("_d") == F.col("_e"), "left").select(
+        "_d", "_p", "r", "l", (~F.coalesce(inside, F.lit(False))).alias("open")
+    )
+    # Decided on numbers alone; the words beside a gram are fetched only where its gram has an open suffix.
+    placed = suffixes.select(F.col("gram").alias("_g"), "doc_id", "place").distinct().join(
+        in_reach, (F.col("doc_id") == F.col("_d")) & (F.col("place") == F.col("_p"))
+    )
+    placed = materialize(placed.select("_g", "_d", "_p", "r", "l", "open"), "suffixes-in-reach")
+    grams = placed.filter("open").select(F.col("_g").alias("_o")).distinct()
+    undecided = materialize(placed.join(grams, F.col("_g") == F.col("_o"), "left_semi"), "suffixes-undecided")
+    here = (F.col("gram") == F.col("_g")) & (F.col("doc_id") == F.col("_d")) & (F.col("place") == F.col("_p"))
 
     def run(batches):
         import pyarrow as pa
         import xxhash
 
         for b in batches:
-            out = []
-            for g, doc, place, after, before, r, l in zip(*(b.column(i).to_pylist() for i in range(7)), strict=True):
+            ends, rows = {}, []
+            for g, doc, place, after, before, r, l, is_open in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 for k in range(max(0, reach - min(r, len(after) // 4)), min(l, reach, len(before) // 4) + 1):
-                    out.append((g, xxhash.xxh3_64_intdigest(before[: 4 * k] + b"|" + after[: 4 * (reach - k)], k) - 2**63, doc, place - k))
-            cols = list(zip(*out, strict=True)) if out else [()] * 4
-            types = [pa.int64(), pa.int64(), pa.int64(), pa.int32()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["gram", "h", "doc_id", "start"])
-
-    windows = undecided.select(*SUFFIX, "r", "l").mapInArrow(run, "gram bigint, h bigint, doc_id bigint, start int")
+                    key = g, xxhash.xxh3_64_intdigest(before[: 4 * k] + b"|" + after[: 4 * (reach - k)], k) - 2**63
+                    low, high = ends.get(key, (doc, doc))
+                    ends[key] = min(low, doc), max(high, doc)
+                    if is_open:
+                        rows.append((*key, None, None, doc, place - k))
+            rows += [(*key, *pair, None, None) for key, pair in ends.items()]
+            cols = list(zip(*rows, strict=True)) if rows else [()] * 6
+            types = [pa.int64()] * 5 + [pa.int32()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["gram", "h", "a", "z", "doc_id", "start"])
+
+    windows = suffixes.join(undecided, here).select(*SUFFIX, "r", "l", "open").mapInArrow(
+        run, "gram bigint, h bigint, a bigint, z bigint, doc_id bigint, start int"
+    )
     windows = materialize(windows, "suffix-windows")
-    shared = windows.groupBy(F.col("gram").alias("_g"), F.col("h").alias("_h")).agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("z")).filter("a != z")
-    return windows.join(shared, (F.col("gram") == F.col("_g")) & (F.col("h") == F.col("_h"))).select(
+    shared = windows.filter("a IS NOT NULL").groupBy(F.col("gram").alias("_g"), F.col("h").alias("_h")).agg(
+        F.min("a").alias("low"), F.max("z").alias("high")
+    ).filter("low != high")
+    wanted = windows.filter("a IS NULL").select("gram", "h", "doc_id", "start").distinct()
+    return wanted.join(shared, (F.col("gram") == F.col("_g")) & (F.col("h") == F.col("_h"))).select(
         "doc_id", "start", (F.col("start") + min_words).cast("int").alias("end"),
-        F.when(F.col("doc_id") == F.col("a"), F.col("z")).otherwise(F.col("a")).alias("other"),
+        F.when(F.col("doc_id") == F.col("low"), F.col("high")).otherwise(F.col("low")).alias("other"),
     )
 
 
