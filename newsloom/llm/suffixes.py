@@ -257,8 +257,8 @@ def neighbour_spans(suffixes: DataFrame, side: str, min_words: int, gram: int) -
 SUFFIX = ("gram", "doc_id", "place", "right", "left")
 
 
-def window_spans(suffixes: DataFrame, right: DataFrame, left: DataFrame, spans: DataFrame, min_words: int, gram: int) -> DataFrame:
-    """(doc_id, start, end, other): windows of ``min_words`` words that other documents have, where ``spans`` leave any open.
+def window_spans(suffixes: DataFrame, right: DataFrame, left: DataFrame, found: DataFrame, min_words: int, gram: int) -> DataFrame:
+    """(doc_id, start, end, other): windows of ``min_words`` words that other documents have, where merged spans leave any open.
 
     ``right`` and ``left`` have (doc_id, place, agree), which bound the windows that can be shared at
     all. A suffix is open if its windows in bounds are not all in one span. Every suffix of its gram is
@@ -271,7 +271,7 @@ def window_spans(suffixes: DataFrame, right: DataFrame, left: DataFrame, spans:
         left.select("doc_id", "place", zero.alias("r"), F.col("agree").alias("l"))
     )
     both = both.groupBy(F.col("doc_id").alias("_d"), F.col("place").alias("_p")).agg(F.max("r").alias("r"), F.max("l").alias("l"))
-    covered = merged(spans).groupBy(F.col("doc_id").alias("_e")).agg(F.collect_list(F.struct("start_word", "end_word")).alias("spans"))
+    covered = found.groupBy(F.col("doc_id").alias("_e")).agg(F.collect_list(F.struct("start_word", "end_word")).alias("spans"))
     inside = F.exists("spans", lambda s: (s["start_word"] <= F.col("_p") - F.col("l")) & (s["end_word"] >= F.col("_p") + gram + F.col("r")))
     in_reach = both.filter(F.col("r") + F.col("l") >= reach).join(covered, F.col("_d") == F.col("_e"), "left").select(
         "_d", "_p", "r", "l", (~F.coalesce(inside, F.lit(False))).alias("open")
@@ -327,17 +327,21 @@ def merged(spans: DataFrame) -> DataFrame:
         import pyarrow as pa
 
         for b in batches:
-            out = []
-            for doc, spans in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                open_ = None
-                for s in spans:
-                    if open_ and s["start"] <= open_[2]:
-                        open_ = (doc, open_[1], max(open_[2], s["end"]), min(open_[3], s["other"]))
+            out, spans = [], b.column(1)
+            first = spans.offsets[0].as_py() if len(spans) else 0
+            fields = [f.to_pylist() for f in spans.flatten().flatten()]
+            ends = [o - first for o in spans.offsets.to_pylist()]
+            for row, doc in enumerate(b.column(0).to_pylist()):
+                low = None
+                for k in range(ends[row], ends[row + 1]):
+                    start, end, other = fields[0][k], fields[1][k], fields[2][k]
+                    if low is not None and start <= high:
+                        high, least = max(high, end), min(least, other)
                     else:
-                        if open_:
-                            out.append(open_)
-                        open_ = (doc, s["start"], s["end"], s["other"])
-                out.append(open_)
+                        if low is not None:
+                            out.append((doc, low, high, least))
+                        low, high, least = start, end, other
+                out.append((doc, low, high, least))
             cols = list(zip(*out, strict=True)) if out else [()] * 4
             types = [pa.int64(), pa.int64(), pa.int64(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["doc_id", "start_word", "end_word", "other_doc_id"])
@@ -369,8 +373,9 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, gram: int = G
     )
     suffixes = materialize(contexts(docs, wanted, min_words, gram), "suffixes")
     (one, right), (two, left) = (neighbour_spans(suffixes, side, min_words, gram) for side in ("right", "left"))
-    spans = one.unionByName(two)
-    own = merged(spans.unionByName(window_spans(suffixes, right, left, spans, min_words, gram)))
+    found = materialize(merged(one.unionByName(two)), "suffix-spans")
+    spans = found.select("doc_id", F.col("start_word").cast("int").alias("start"), F.col("end_word").cast("int").alias("end"), F.col("other_doc_id").alias("other"))
+    own = merged(spans.unionByName(window_spans(suffixes, right, left, found, min_words, gram)))
     copied = classes.filter("rep != last")
     members = chosen.select("doc_id", "hi", "lo").join(
         copied.select(F.col("hi").alias("_h"), F.col("lo").alias("_l"), "rep", "last", "n_words"),
