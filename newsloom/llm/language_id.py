@@ -9,11 +9,14 @@ whole text of every document, in segments whose states start afresh.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from newsloom.llm.common import query, ship, table
+from newsloom.operators.ranking import with_position
 from newsloom.session import materialize
 
 HIDDEN = 8
@@ -33,8 +36,6 @@ SLACK = 0.8
 LOW_SHARE = 0.01
 LENGTHS = (0, 64, 256, 1_024)
 LEAST_HELD = 20
-#: Held-out documents of each label that the thresholds come from, at most.
-HELD_DOCS = 500
 
 
 @dataclass
@@ -307,29 +308,45 @@ def identify(docs: DataFrame, learn_from: DataFrame | None = None, most: int = T
     return predict(docs, learn(docs if learn_from is None else learn_from, most))
 
 
-def thresholds(docs: DataFrame, network: Network) -> list[float]:
+def length_class() -> Column:
+    """The number of the class of ``LENGTHS`` that ``text`` is in."""
+    return sum((F.octet_length("text") >= n).cast("int") for n in LENGTHS) - 1
+
+
+def low_scores(scores: DataFrame, groups: list[str]) -> dict[tuple, tuple[int, float]]:
+    """Of each group of ``scores``: its rows, and the score that all but LOW_SHARE of them reach.
+
+    The rows are numbered by a range sort, so that no group is sorted in one task; a row a group comes back.
+    """
+    placed = with_position(scores.select(*groups, "score"), groups, [F.col("score")])
+    sizes = materialize(placed.groupBy(*groups).agg(F.count("*").alias("n")), "score-counts")
+    own = [F.col(f"_of_{g}") == F.col(g) for g in groups]
+    at = F.col("position") == F.floor(LOW_SHARE * (F.col("n") - 1)) + 1
+    sizes = sizes.select(*[F.col(g).alias(f"_of_{g}") for g in groups], "n")
+    rows = placed.join(sizes, reduce(and_, own)).filter(at).collect()
+    return {tuple(r[g] for g in groups): (r["n"], r["score"]) for r in rows}
+
+
+def thresholds(predicted: DataFrame, network: Network) -> list[float]:
     """The least score of a text in a known language, per class of ``LENGTHS``.
 
-    They come from held-out labelled documents that the network labels rightly. Classes with few of
+    They come from all held-out labelled documents that the network labels rightly, whose predictions
+    are in ``predicted`` (doc_id, text, lang, lang_pred, score; other rows do not count). Classes with few of
     them take the least of the others' thresholds; without enough in all, or a choice of labels,
     nothing is rejected.
     """
-    import numpy as np
-
     none = [0.0] * len(LENGTHS)
     if len(network.labels) < 2:
         return none
-    held = docs.filter(held_out() & F.col("text").isNotNull() & F.col("lang").isNotNull()).select("doc_id", "text", "lang")
-    scored = predict(first_of_labels(held, "text", HELD_DOCS), network).filter("lang = lang_pred")
-    rows = scored.select(F.octet_length("text").alias("n"), "score").collect()
-    if len(rows) < LEAST_HELD:
+    right = predicted.filter(held_out() & F.col("text").isNotNull() & (F.col("lang") == F.col("lang_pred")))
+    scores = materialize(right.select(length_class().alias("class"), F.lit(0).alias("all"), "score"), "held-out-scores")
+    every = low_scores(scores, ["all"]).get((0,), (0, 0.0))
+    if every[0] < LEAST_HELD:
         return none
-    of = [[] for _ in LENGTHS]
-    for r in rows:
-        of[sum(r["n"] >= n for n in LENGTHS) - 1].append(r["score"])
-    own = [SLACK * float(np.quantile(x, LOW_SHARE, method="lower")) if len(x) >= LEAST_HELD else None for x in of]
-    every = SLACK * float(np.quantile([r["score"] for r in rows], LOW_SHARE, method="lower"))
-    least = min([every, *[x for x in own if x is not None]])
+    of = low_scores(scores, ["class"])
+    own = [of.get((i,), (0, 0.0)) for i in range(len(LENGTHS))]
+    own = [SLACK * score if n >= LEAST_HELD else None for n, score in own]
+    least = min([SLACK * every[1], *[x for x in own if x is not None]])
     return [least if x is None else x for x in own]
 
 

@@ -13,6 +13,7 @@ corpus_pipeline = pytest.importorskip("corpus_pipeline")
 from llm.test_duplicates import roots, shingles  # noqa: E402
 from llm.test_mixing_lines import cut_by_hand, targets  # noqa: E402
 from llm.test_texts import PROSE, labelled, tiktoken_ids  # noqa: E402
+from newsloom.llm import language_id  # noqa: E402
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -111,3 +112,22 @@ def test_language_stage_drops_what_the_network_rejects(spark):
     bare = docs.withColumn("lang", F.lit(None).cast("string"))
     kept = {r["doc_id"] for r in corpus_pipeline.keep_known_languages(spark, bare, "").collect()}
     assert kept == {r[0] for r in rows} - {20_000}
+
+
+def test_thresholds_come_from_every_held_out_document(spark):
+    """One language, more documents than any bound, and the low scores last in the order of ids' hashes."""
+    import zlib
+
+    held = [i for i in range(14_000) if zlib.crc32(str(i).encode()) % 4 == 2]
+    held.sort(key=lambda i: hashlib.md5(str(i).encode()).hexdigest())
+    text = {i: "x" * (10 if k % 3 else 100) for k, i in enumerate(held)}
+    score = {i: 0.9 if k < 2_000 else 0.3 + k / 100_000 for k, i in enumerate(held)}
+    rows = [(i, text[i], "en", "en", score[i]) for i in held]
+    rows += [(held[0], "x" * 10, "de", "en", 0.01), (held[1], "x" * 10, None, "en", 0.01), (held[2], None, "en", "en", 0.01)]
+    rows += [(i, "x" * 10, "en", "en", 0.02) for i in range(100) if i not in text]
+    predicted = spark.createDataFrame(rows, "doc_id long, text string, lang string, lang_pred string, score double").repartition(5)
+    got = language_id.thresholds(predicted, language_id.Network(["de", "en"], {}))
+    low = lambda own: language_id.SLACK * sorted(own)[int(language_id.LOW_SHARE * (len(own) - 1))]
+    short, long = ([score[i] for i in held if len(text[i]) == n] for n in (10, 100))
+    least = min(low(short), low(long), low(list(score.values())))
+    assert got == [low(short), low(long), least, least]
