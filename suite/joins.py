@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from newsloom.operators import gates, joins
-from newsloom.session import scratch_path
+from newsloom.session import materialize, scratch_path
 from newsloom.sinks import buckets, ledgers
 from newsloom.sources import forms
 from suite.registry import query
@@ -382,7 +382,7 @@ def small_log(spark, label):
 @query("seen_log_buckets", f"{_UNSEEN_SQL} SELECT 'run-1' AS run, uid, seq FROM old UNION ALL SELECT 'run-2', uid, seq FROM fresh")
 def _append_buckets(spark, sf):
     log = small_log(spark, "seen-buckets")
-    rows = identified(spark, sf).select(SEEN)
+    rows = materialize(identified(spark, sf).select(SEEN), "seen-items")
     late = rows.filter(F.col("published_at") >= cut(rows))
     log.append(history(rows), "run-1")
     log.append(late, "run-2")

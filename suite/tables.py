@@ -18,8 +18,14 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
-def items(spark: SparkSession, sf: str) -> DataFrame:
-    d = table(spark, sf, "documents")
+def items(spark: SparkSession, sf: str, **of_text: Column) -> DataFrame:
+    """The items; ``of_text`` adds columns made of the document's text.
+
+    What comes from a text is computed before the joins, so that texts are shuffled only for queries that take raw_text.
+    """
+    d = table(spark, sf, "documents").withColumns(
+        {"_title": F.trim(F.split_part("text", F.lit("."), F.lit(1))), **{f"_of_{n}": c for n, c in of_text.items()}}
+    )
     e = table(spark, sf, "events").select(
         F.col("event_id"), "ts", "user_id", "event_type", "value"
     )
@@ -56,7 +62,7 @@ def items(spark: SparkSession, sf: str) -> DataFrame:
             outlet.alias("source_name"),
             "lang",
             site.alias("url"),
-            F.trim(F.split_part("text", F.lit("."), F.lit(1))).alias("title"),
+            F.col("_title").alias("title"),
             F.col("text").alias("raw_text"),
             F.col("ts").alias("published_at"),
             (F.col("ts") + F.make_dt_interval(secs=F.round(F.col("value") * 3600).cast("decimal(18,6)"))).alias(
@@ -70,6 +76,7 @@ def items(spark: SparkSession, sf: str) -> DataFrame:
             F.when(F.col("toxic") == 1, 1).otherwise(0).alias("is_promo"),
             F.get(literal_array([*BEATS, "Gossip"]), (i % 8).cast("int")).alias("beat"),
             bucket.alias("bucket"),
+            *[F.col(f"_of_{n}").alias(n) for n in of_text],
         )
     )
 
@@ -158,7 +165,7 @@ def unique_items(spark: SparkSession, sf: str, *columns: str) -> DataFrame:
     Columns are cut before the copies meet, so texts are shuffled only for queries that use them.
     """
     wanted = ["uid", "seq", "published_at", *[c for c in columns if c not in ("uid", "seq", "published_at")]]
-    rows = with_uid(items(spark, sf).withColumn("gist", second_sentence(F.col("raw_text"))).withColumn("n", F.length("raw_text")))
+    rows = with_uid(items(spark, sf, gist=second_sentence(F.col("text")), n=F.length("text")))
     return dedupe_newest(rows.select(wanted))
 
 
