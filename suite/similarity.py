@@ -53,7 +53,7 @@ def _fingerprints(spark, sf):
     JOIN shared s ON s.late = v.pos AND s.early = v.leader""",
 )
 def _pairs(spark, sf):
-    rows = items(spark, sf).select("seq", "title")
+    rows = materialize(items(spark, sf).select("seq", "title"), "headlines")
     merged = sm.collapse_similar(rows).filter("leader IS NOT NULL")
     sets = materialize(with_word_set(rows, "title").select("seq", "tokens"), "word-sets")
     leaders = sets.select(F.col("seq").alias("leader"), F.col("tokens").alias("leader_tokens"))
