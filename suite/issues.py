@@ -9,7 +9,7 @@ from newsloom.plans import health
 from newsloom.plans import issue as iss
 from newsloom.plans import run as runs
 from newsloom.plans import scoring
-from newsloom.session import scratch_path
+from newsloom.session import materialize, scratch_path
 from newsloom.sources.feeds import body_problems
 from suite.aggregates import aged_entries
 from suite.filters import VIDEO_TITLE
@@ -174,18 +174,20 @@ def _run(spark, sf):
     rows = with_uid(video_titles(spark, sf)).withColumn(
         "video_id", F.when(F.col("category") != "Industry & Products", F.concat(F.lit("v"), "uid"))
     )
+    # The joins behind the items run once; what follows reads the columns that it needs.
+    rows = materialize(rows, "run-items")
     shown = ["seq", "uid", "source_id", "source_name", "title", "category", "video_id", "published_at"]
     newest = gates.newest(rows)
     edge = newest - F.expr("INTERVAL 7 DAYS")
     late, before = rows.filter(F.col("published_at") >= edge), rows.filter(F.col("published_at") < edge)
     from newsloom.operators.aggregates import dedupe_newest
 
-    picks = dedupe_newest(rows).filter((F.col("bucket") == "lead") & (F.col("lang") == "en") & (F.col("published_at") < edge))
+    own = ["seq", "uid", "source_id", "source_name", "title", "category", "published_at"]
+    picks = dedupe_newest(rows.select(*own, "bucket", "lang")).filter((F.col("bucket") == "lead") & (F.col("lang") == "en") & (F.col("published_at") < edge))
     now = F.lit(rows.agg(F.max("published_at")).first()[0])
     store = runs.RunStore(scratch_path(spark, "runs"), buckets=8, bits=1 << 18)
     judge = runs.Scoring(word_count_scorer(), "p1", "m")
     landed = [*shown, "raw_text"]
     runs.issue_run(store, "trial", before.select(landed), now, judge, community(spark, sf), full_run=False)
-    own = ["seq", "uid", "source_id", "source_name", "title", "category", "published_at"]
     layout = runs.issue_run(store, "week", late.select(landed), now, judge, community(spark, sf), picks.select(own))
     return layout.select("section", "position", "seq", "title", "relevance", "similar")

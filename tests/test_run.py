@@ -128,3 +128,19 @@ def test_a_later_run_has_the_last_word_on_a_score(spark, store):
 def test_a_run_over_nothing(spark, store):
     assert go(spark, store, "empty", items(spark)).count() == 0
     assert store.complete(spark) == ("empty",)
+
+
+def test_items_are_made_once_and_texts_of_old_ones_stay_behind(spark, store):
+    """Whatever the items come from is run once a run; only recent rows are handed on with their text."""
+    made = spark.sparkContext.accumulator(0)
+
+    def count(text):
+        made.add(1)
+        return text
+
+    rows = items(spark, *range(1, 9)).unionByName(items(spark, 2, *range(20, 40), days=30))
+    rows = rows.withColumn("source_name", F.udf(count, "string")("source_name"))
+    got = go(spark, store, "one", rows)
+    assert uids(got) == ["u2", "u4", "u6", "u8"] and "raw_text" not in got.columns
+    assert made.value == 29
+    assert state(spark, store)[0] == sorted(f"u{i}" for i in [*range(1, 9), *range(20, 40)])
