@@ -284,7 +284,7 @@ def _upsert(spark, sf):
 )
 def _publish(spark, sf):
     path = scratch_path(spark, "published")
-    rows = identified(spark, sf).filter(gates.publishable()).select(SEEN)
+    rows = materialize(identified(spark, sf).filter(gates.publishable()).select(SEEN), "published-items")
     ledgers.publish(rows, path, "trial", full_run=False)
     ledgers.publish(rows, path, "full")
     return ledgers.publish(rows, path, "next").select("uid", "seq").unionByName(
