@@ -25,6 +25,8 @@ GROUPS = 32749
 SLOTS = 131071
 #: The fold is quadratic in a word's length; longer words are merged over a heap, by the same rule.
 FOLD_BYTES = 128
+#: Words whose ids are put together at once; what that takes is several arrays of 8 bytes an id.
+PIECE_WORDS = 250_000
 
 # The pattern's white space in full, as Java's \s is ASCII only.
 SPACE = r"\s\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
@@ -187,6 +189,15 @@ def gather(starts, sizes, values):
     return values[shift + np.arange(len(shift))]
 
 
+def pieces_of(offsets, at: int, end: int, most: int = PIECE_WORDS):
+    """Runs of the documents ``at`` to ``end`` of about ``most`` words, or of one document."""
+    import numpy as np
+
+    cuts = np.searchsorted(offsets[at : end + 1], np.arange(offsets[at] + most, offsets[end], most)) + at
+    bounds = sorted({at, *cuts.tolist(), end})
+    return list(zip(bounds, bounds[1:], strict=False))
+
+
 def concatenated(ids, pieces: list[bytes]):
     """The bytes of each list of ``ids``, null for null."""
     import numpy as np
@@ -274,13 +285,14 @@ def encoded_as(docs: DataFrame, path: str, pattern: str, schema: str, finish) ->
                     sizes[whole < 0] = lengths
                     starts, values = np.cumsum(sizes) - sizes, np.repeat(whole, sizes)
                     values[values < 0] = flat_ids
-                picked = flat[offsets[at] : offsets[end]]
-                lengths = sizes[picked]
-                ids = gather(starts[picked], lengths, values)
-                upto = np.r_[0, np.cumsum(lengths)]
-                doc_ends = upto[offsets[at : end + 1] - offsets[at]].astype(np.int32)
-                made = pa.ListArray.from_arrays(pa.array(doc_ends), pa.array(ids, pa.int32()))
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, end - at), *finish(made)], names=["row", *names])
+                for i, j in pieces_of(offsets, at, end):
+                    picked = flat[offsets[i] : offsets[j]]
+                    lengths = sizes[picked]
+                    ids = gather(starts[picked], lengths, values)
+                    upto = np.r_[0, np.cumsum(lengths)]
+                    doc_ends = upto[offsets[i : j + 1] - offsets[i]].astype(np.int32)
+                    made = pa.ListArray.from_arrays(pa.array(doc_ends), pa.array(ids, pa.int32()))
+                    yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), *finish(made)], names=["row", *names])
                 at = end
 
     return blocks.mapInArrow(assemble, f"row {row}, {schema}").select("row.*", *names)
