@@ -248,10 +248,7 @@ def predict(docs: DataFrame, network: Network) -> DataFrame:
     nothing to learn from. Repeated rows are predicted each; an empty table gives an empty result;
     further columns pass through, but for those named like the new ones.
     """
-    from pyspark.sql.types import DoubleType, StringType, StructField, StructType
-
     docs = docs.drop("lang_pred", "score")
-    names = docs.columns
     labels, w = network.labels, network.weights
     block = 4_000_000
 
@@ -259,7 +256,6 @@ def predict(docs: DataFrame, network: Network) -> DataFrame:
         import numpy as np
         import pyarrow as pa
 
-
         def blocks(texts):
             """Runs of texts of a few MB, so that a batch of long ones stays small in memory."""
             own, size = [], 0
@@ -272,30 +268,32 @@ def predict(docs: DataFrame, network: Network) -> DataFrame:
             if own:
                 yield own
 
-        for b in batches:
-            texts = b.column(names.index("text")).to_pylist()
-            known = [bool(x) and any(map(str.isalpha, x)) for x in texts]
+        def lettered(texts, at):
+            """The bytes of the texts with letters one by one, their numbers put into ``at``."""
+            for i, x in enumerate(texts):
+                x = x.as_py()
+                if x and any(map(str.isalpha, x)):
+                    at.append(i)
+                    yield x.encode()
+
+        for texts in batches:
             pred, score = [UNKNOWN] * len(texts), [0.0] * len(texts)
-            at = [i for i, k in enumerate(known) if k]
-            if at and len(labels) == 1:
-                for i in at:
-                    pred[i], score[i] = labels[0], 1.0
-            elif at and labels:
-                done = 0
-                for part in blocks(texts[i].encode() for i in at):
-                    prob = document_probabilities(w, part)
-                    best = prob.argmax(axis=1)
-                    for j, k in enumerate(best):
-                        pred[at[done + j]] = labels[k]
-                        score[at[done + j]] = float(np.clip(prob[j, k], 0, 1))
-                    done += len(part)
-            yield pa.RecordBatch.from_arrays(
-                [*b.columns, pa.array(pred, pa.string()), pa.array(score, pa.float64())],
-                names=[*names, "lang_pred", "score"],
+            at, done = [], 0
+            for part in blocks(lettered(texts, at)) if labels else ():
+                prob = document_probabilities(w, part) if len(labels) > 1 else np.ones((len(part), 1))
+                best = prob.argmax(axis=1)
+                for j, k in enumerate(best):
+                    pred[at[done + j]] = labels[k]
+                    score[at[done + j]] = float(np.clip(prob[j, k], 0, 1))
+                done += len(part)
+            yield pa.StructArray.from_arrays(
+                [pa.array(pred, pa.string()), pa.array(score, pa.float64())], names=["lang_pred", "score"]
             )
 
-    more = [StructField("lang_pred", StringType()), StructField("score", DoubleType())]
-    return docs.mapInArrow(run, StructType([*docs.schema.fields, *more]))
+    # Only the texts go to Python and only predictions come back; the rows wait in Spark, which can spill them.
+    predicted = F.arrow_udf(run, "lang_pred string, score double", F.ArrowUDFType.SCALAR_ITER)(F.col("text"))
+    rows = docs.select(F.struct(*docs.columns).alias("row"), predicted.alias("of"))
+    return rows.select("row.*", "of.lang_pred", "of.score")
 
 
 def learn(docs: DataFrame, most: int = TRAIN_DOCS) -> Network:

@@ -382,3 +382,15 @@ def test_digits_above_the_line_are_no_letters(spark):
     network = language_id.Network(["any"], {})
     got = {r["doc_id"]: r["lang_pred"] for r in language_id.predict(docs, network).collect()}
     assert got == {1: "und", 2: "any", 3: "und"}
+
+
+def test_only_texts_go_to_the_network(spark):
+    rows = [(1, "abc", "x"), (1, "abc", None), (None, "é", "y"), (4, "12", "z"), (5, None, "z")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang_pred string").withColumn("row", F.struct("doc_id", "lang_pred"))
+    predicted = language_id.predict(docs, language_id.Network(["any"], {}))
+    assert predicted.columns == ["doc_id", "text", "row", "lang_pred", "score"]
+    got = sorted((str(r["doc_id"]), str(r["text"]), str(r["row"]["lang_pred"]), r["lang_pred"], r["score"]) for r in predicted.collect())
+    assert got == sorted((str(i), str(t), str(x), *(("any", 1.0) if t in ("abc", "é") else ("und", 0.0))) for i, t, x in rows)
+    # The other columns wait in Spark; with documents in both directions a task took several times its texts.
+    plan = predicted._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" not in plan and plan.count("ArrowEvalPython [run(text") == 1
