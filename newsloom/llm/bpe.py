@@ -1,32 +1,42 @@
 """Byte-level BPE encoding and decoding.
 
 Text is split by the vocabulary's pattern in the JVM. Of the distinct words of a block of documents
-those that are a piece as a whole take its id, which their own merges end in; the others are folded with higher-order functions: each word is an array of byte ids, and step by step the
-adjacent pair with the lowest rank, the leftmost first, becomes one id until no pair has a rank.
-The rank map is literal arrays addressed by the two ids. Blocks travel with their documents inside
-one stage, so no text is shuffled and no vocabulary of the whole corpus is ever held. Decoding
-concatenates the binary pieces of the ids.
+those that are a piece as a whole take its id, which their own merges end in; the others are folded
+with higher-order functions: each word is an array of byte ids, and step by step the adjacent pair
+with the lowest rank, the leftmost first, becomes one id until no pair has a rank. The rank map is
+literal arrays addressed by the two ids. The words of a sample, TABLE_WORDS at most, can be folded
+once beforehand and looked up by all blocks; this changes the work and no id. Blocks travel with
+their documents inside one stage, so no text is shuffled and no vocabulary of the whole corpus is
+ever held. Decoding concatenates the binary pieces of the ids.
 """
 
 from __future__ import annotations
 
 import base64
 import json
+from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from newsloom.functions.binding import let
 from newsloom.llm.common import query, ship, table
+from newsloom.session import arrow_batches, materialize
 
 #: Any rank is below; what a lookup gives for a pair without rank is not.
 NONE = 65536
-GROUPS = 32749
-SLOTS = 131071
 #: The fold is quadratic in a word's length; longer words are merged over a heap, by the same rule.
 FOLD_BYTES = 128
 #: Words whose ids are put together at once; what that takes is several arrays of 8 bytes an id.
 PIECE_WORDS = 250_000
+#: Words folded once for all blocks: the most frequent ones of about SAMPLE_DOCS documents, of the first SAMPLE_CHARS of each.
+TABLE_WORDS = 262_144
+SAMPLE_DOCS = 16_000
+SAMPLE_CHARS = 10_000
+#: Words of the table that a task folds.
+TASK_WORDS = 16_384
+#: Of a block in ``round_trip``: a task holds several times that.
+BLOCK_BYTES = 16_000_000
 
 # The pattern's white space in full, as Java's \s is ASCII only.
 SPACE = r"\s\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
@@ -60,89 +70,100 @@ def pair_ranks(pieces: list[bytes]) -> dict[tuple[int, int], int]:
     }
 
 
-def placed_pairs(pairs: dict[tuple[int, int], int]) -> tuple[list[int], list[int]]:
-    """(shift per group, packed pair and rank per slot): the pair table without collisions.
+def placed_pairs(pairs: dict[tuple[int, int], int], ids: int) -> tuple[list[int], list[int]]:
+    """(shift per first id, packed pair and rank per slot): the pair table without collisions.
 
-    A pair's key is one * 2^16 + two, its group key % GROUPS, its slot (key % SLOTS + the group's
-    shift) % SLOTS. The largest groups choose their shifts first; each slot has one pair at most.
+    The slot of a pair is the shift of its first id plus the second id, and holds the first id and the
+    rank. The ids with most pairs choose their shifts first; each slot has one pair at most.
     """
     import numpy as np
 
-    keys = np.array([one * 65536 + two for one, two in pairs], np.int64)
-    ranks = np.fromiter(pairs.values(), np.int64, len(pairs))
-    order = np.argsort(keys % GROUPS, kind="stable")
-    sizes = np.bincount(keys % GROUPS, minlength=GROUPS)
-    ends = np.cumsum(sizes)
-    shift, packed, free = np.zeros(GROUPS, np.int64), np.zeros(SLOTS, np.int64), np.ones(SLOTS, bool)
-    span, start = np.arange(512)[:, None], 0
-    for g in np.argsort(-sizes, kind="stable"):
-        own = order[ends[g] - sizes[g] : ends[g]]
-        if not len(own):
-            break
-        home, at = keys[own] % SLOTS, start
-        while not (fits := free[(home + at + span) % SLOTS].all(axis=1)).any():
-            at += 512
-        shift[g] = (at + int(np.argmax(fits))) % SLOTS
-        slots = (home + shift[g]) % SLOTS
-        free[slots], packed[slots] = False, (keys[own] << 17) + ranks[own]
-        start = (start + 40503) % SLOTS
-    return shift.tolist(), packed.tolist()
-
-
-def literal(values: list[int]) -> Column:
-    """A constant array<bigint>."""
-    return F.from_json(F.lit(json.dumps(values, separators=(",", ":"))), "array<bigint>")
+    rows: dict[int, list[tuple[int, int]]] = {}
+    for (one, two), rank in pairs.items():
+        rows.setdefault(one, []).append((two, rank))
+    shift, packed = [0] * ids, np.full(4 * ids + 4 * len(pairs), (ids + 1) << 17, np.int64)
+    free = np.ones(len(packed), bool)
+    span, start, top = np.arange(64)[:, None], 0, ids
+    for one in sorted((x for x in rows if len(rows[x]) > 1), key=lambda x: (-len(rows[x]), x)):
+        seconds, ranks = np.array(rows[one], np.int64).T
+        at = start
+        while not (fits := free[at + span + seconds].all(axis=1)).any():
+            at += 64
+        shift[one] = at + int(np.argmax(fits))
+        slots = shift[one] + seconds
+        free[slots], packed[slots] = False, (one << 17) + ranks
+        top = max(top, int(slots.max()) + 1)
+        start = (start + 40503) % (ids + len(pairs))
+    # Ids of one pair fill the gaps from ``ids`` on, where no shift is negative.
+    single = [one for one in rows if len(rows[one]) == 1]
+    for one, slot in zip(single, (ids + np.flatnonzero(free[ids:])[: len(single)]).tolist(), strict=True):
+        (two, rank), = rows[one]
+        shift[one], packed[slot], top = slot - two, (one << 17) + rank, max(top, slot + 1)
+    return shift, packed[:top].tolist()
+
+
+@lru_cache(maxsize=2)
+def placed(pieces: tuple[bytes, ...]) -> tuple[list[int], list[int]]:
+    """The pair table of a vocabulary, made once."""
+    return placed_pairs(pair_ranks(list(pieces)), len(pieces) + 1)
+
+
+def literal(values: list[int], kind: str) -> Column:
+    """A constant array of ``kind``."""
+    return F.from_json(F.lit(json.dumps(values, separators=(",", ":"))), f"array<{kind}>")
 
 
 class Ranks:
-    """The rank map as literals of a bounded size: one entry per pair of pieces that has a rank."""
+    """The rank map as literals of a bounded size: one entry per pair of pieces that has a rank, or little more."""
 
     def __init__(self, pieces: list[bytes]):
         own = {p: i for i, p in enumerate(pieces)}
-        self.shift, self.packed = map(literal, placed_pairs(pair_ranks(pieces)))
-        self.bytes = literal([own[bytes([i])] for i in range(256)])
+        shift, packed = placed(tuple(pieces))
+        self.shift, self.packed = literal(shift, "int"), literal(packed, "bigint")
+        self.bytes = literal([own[bytes([i])] for i in range(256)], "int")
+        #: An id before every word; it has no pair.
+        self.edge = F.lit(len(pieces))
 
-    def of(self, one: Column, two: Column) -> Column:
-        """The pair's rank; NONE or more if it has none, null if there is no pair.
+    def lookup(self, body) -> Column:
+        """``body(of)`` with the literals bound once, as every use of one is a copy in each task.
 
-        A slot of another pair differs in the bits of the key, so the difference is out of range.
+        of(one, two) is the pair's rank; NONE or more if it has none, null if there is no pair. A slot of
+        another first id differs in the bits above the rank, so the difference is out of range.
         """
 
-        def found(key: Column) -> Column:
-            slot = (key % SLOTS + F.get(self.shift, (key % GROUPS).cast("int"))) % SLOTS
-            return F.abs(F.get(self.packed, slot.cast("int")) - F.shiftleft(key, 17))
+        def bound(shift: Column, packed: Column) -> Column:
+            return body(lambda one, two: F.abs(F.get(packed, F.get(shift, one) + two) - F.shiftleft(one.cast("bigint"), 17)))
 
-        return let(F.shiftleft(one, 16) + two, found)
+        return let(self.shift, lambda shift: let(self.packed, lambda packed: bound(shift, packed)))
 
 
 def fold_word(word: Column, ranks: Ranks) -> Column:
-    """array<bigint>: the ids of a word of at least one byte.
+    """array<int>: the ids of a word of at least one byte.
 
-    The fold carries the ids and the rank of each with its right neighbour. A merge puts the new
-    id in place of two and looks up its two new neighbourhoods only.
+    The fold carries the ids, after ``edge``, and the rank of each with its right neighbour. A merge puts
+    the new id in place of two and looks up its two new neighbourhoods only.
     """
-    empty = F.array().cast("array<bigint>")
 
-    def merge(s: Column, low: Column) -> Column:
+    def merge(s: Column, low: Column, of) -> Column:
         ids, own = s["ids"], s["ranks"]
         return let(F.array_position(own, low).cast("int"), lambda at: F.struct(
-            F.concat(F.slice(ids, 1, at - 1), F.array(low), F.slice(ids, at + 2, FOLD_BYTES)).alias("ids"),
+            F.concat(F.slice(ids, 1, at - 1), F.array(low.cast("int")), F.slice(ids, at + 2, FOLD_BYTES)).alias("ids"),
             F.concat(
-                F.when(at > 1, F.concat(F.slice(own, 1, at - 2), F.array(ranks.of(F.get(ids, at - 2), low)))).otherwise(empty),
-                F.array(ranks.of(low, F.get(ids, at + 1))),
+                F.slice(own, 1, at - 2),
+                F.array(of(F.get(ids, at - 2), low.cast("int")), of(low.cast("int"), F.get(ids, at + 1))),
                 F.slice(own, at + 2, FOLD_BYTES),
             ).alias("ranks"),
         ))
 
     chars = F.split(F.decode(word.cast("binary"), "ISO-8859-1"), "")
-    start = F.transform(chars, lambda c: F.get(ranks.bytes, F.ascii(c)))
-    step = lambda s, _: let(F.array_min(s["ranks"]), lambda low: F.when(low < NONE, merge(s, low)).otherwise(s))
-    return let(start, lambda ids: F.aggregate(
-        F.slice(ids, 2, FOLD_BYTES),
-        F.struct(ids.alias("ids"), F.transform(ids, lambda x, i: ranks.of(x, F.get(ids, i + 1))).alias("ranks")),
-        step,
-        lambda s: s["ids"],
-    ))
+    start = F.concat(F.array(ranks.edge), F.transform(chars, lambda c: F.get(ranks.bytes, F.ascii(c))))
+    step = lambda of: lambda s, _: let(F.array_min(s["ranks"]), lambda low: F.when(low < NONE, merge(s, low, of)).otherwise(s))
+    return ranks.lookup(lambda of: let(start, lambda ids: F.aggregate(
+        F.slice(ids, 3, FOLD_BYTES),
+        F.struct(ids.alias("ids"), F.transform(ids, lambda x, i: of(x, F.get(ids, i + 1))).alias("ranks")),
+        step(of),
+        lambda s: F.slice(s["ids"], 2, FOLD_BYTES),
+    )))
 
 
 def merge_long(word: bytes, ids: dict[bytes, int]) -> list[int]:
@@ -218,18 +239,61 @@ def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     return encoded_as(docs, path, pattern, "ids array<int>", lambda ids: [ids])
 
 
-def encoded_as(docs: DataFrame, path: str, pattern: str, schema: str, finish) -> DataFrame:
-    """As ``encode``, with what ``finish`` makes of an Arrow array of id lists in place of ids."""
+def split_words(pattern: str, text: Column) -> Column:
+    """array<string>: the matches of the pattern."""
+    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(java_pattern(pattern)), F.lit(0))
+
+
+def frequent_words(docs: DataFrame, path: str, pattern: str, most: int = TABLE_WORDS):
+    """(words, their ids) as Arrow arrays: at most ``most`` words of a sample of ``docs``, the frequent ones first.
+
+    Words as frequent as the first one left out are left out too.
+    """
+    import pyarrow as pa
+
+    rows = docs.count()
+    some = docs.sample(min(1.0, SAMPLE_DOCS / rows), 3) if rows else docs
+    words = some.select(F.explode(split_words(pattern, F.substring("text", 1, SAMPLE_CHARS))).alias("word"))
+    counted = words.groupBy("word").agg(F.count("*").alias("n")).filter(F.octet_length("word") <= FOLD_BYTES)
+    counted = materialize(counted, "words-counted")
+    least, taken = None, 0
+    for n, own in sorted(map(tuple, counted.groupBy("n").agg(F.count("*")).collect()), reverse=True):
+        if taken + own > most:
+            break
+        least, taken = n, taken + own
+    if least is None:
+        return None
+    ranks = Ranks(read_ranks(path))
+    chosen = counted.filter(F.col("n") >= least).select("word").repartition(1 + taken // TASK_WORDS)
+    made = chosen.select("word", fold_word(F.col("word"), ranks).alias("ids")).toArrow().combine_chunks()
+    kinds = {"word": pa.string(), "ids": pa.list_(pa.int32())}
+    return tuple(pa.concat_arrays(made[c].chunks).cast(kind) for c, kind in kinds.items())
+
+
+def encoded_as(docs: DataFrame, path: str, pattern: str, schema: str, finish, table=None) -> DataFrame:
+    """As ``encode``, with what ``finish`` makes of an Arrow array of id lists in place of ids.
+
+    ``table``, of ``frequent_words``, has words that need not be folded again.
+    """
+    import numpy as np
+    import pyarrow as pa
+
     pieces = read_ranks(path)
-    own = {p: i for i, p in enumerate(pieces)}
+    known, known_ids = table or (pa.array([], pa.string()), pa.array([], pa.list_(pa.int32())))
+    settled_words = pa.concat_arrays([pa.array(pieces, pa.binary()), known.cast(pa.binary())])
+    n_pieces = len(pieces)
+    known_values = known_ids.flatten().to_numpy(zero_copy_only=False)
+    known_sizes = known_ids.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
     names = [f.split()[0] for f in schema.split(", ")]
     rest = [c for c in docs.columns if c not in ("text", *names)]
-    words = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(java_pattern(pattern)), F.lit(0))
-    carried = docs.select(F.struct(*rest).alias("row"), words.alias("words"))
+    carried = docs.select(F.struct(*rest).alias("row"), split_words(pattern, F.col("text")).alias("words"))
     row = carried.schema["row"].dataType.simpleString()
 
     def distinct(batches):
-        """Each block's distinct words on its first row, whole pieces by their ids; every row its word numbers."""
+        """Each block's distinct words on its first row, every row its word numbers.
+
+        A whole piece is settled by its id, the word k of the table by -2 - k; the others have -1 and are in the block.
+        """
         import numpy as np
         import pyarrow as pa
         import pyarrow.compute
@@ -242,10 +306,11 @@ def encoded_as(docs: DataFrame, path: str, pattern: str, schema: str, finish) ->
             numbers = pa.ListArray.from_arrays(lists.offsets, coded.indices.cast(pa.int32()))
             first = np.zeros(b.num_rows + 1, np.int32)
             first[1:] = len(coded.dictionary)
-            whole = [own.get(w.encode(), -1) for w in coded.dictionary.to_pylist()]
-            whole = pa.array(whole, pa.int32())
-            other = coded.dictionary.filter(pa.compute.less(whole, 0))
-            settled = pa.ListArray.from_arrays(pa.array(first), whole)
+            at = pa.compute.index_in(coded.dictionary.cast(pa.binary()), value_set=settled_words)
+            whole = at.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int32)
+            whole = np.where(whole < n_pieces, whole, n_pieces - 2 - whole).astype(np.int32)
+            other = coded.dictionary.filter(pa.array(whole == -1))
+            settled = pa.ListArray.from_arrays(pa.array(first), pa.array(whole))
             block = pa.ListArray.from_arrays(pa.array(np.minimum(first, len(other))), other)
             starts = pa.array(np.arange(b.num_rows) == 0)
             yield pa.RecordBatch.from_arrays([b.column(0), numbers, settled, block, starts], names=["row", "numbers", "settled", "block", "starts"])
@@ -261,7 +326,8 @@ def encoded_as(docs: DataFrame, path: str, pattern: str, schema: str, finish) ->
         import numpy as np
         import pyarrow as pa
 
-        starts = sizes = values = None
+        known_starts = np.cumsum(known_sizes) - known_sizes
+        starts = sizes = values = own = None
         for b in batches:
             if not b.num_rows:
                 continue
@@ -277,14 +343,18 @@ def encoded_as(docs: DataFrame, path: str, pattern: str, schema: str, finish) ->
                         flat_ids = words.flatten().to_numpy(zero_copy_only=False)
                         lengths = words.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
                     else:
+                        own = own or {p: i for i, p in enumerate(pieces)}
                         spare = iter(b.column(5)[at].as_py())
                         found = [x if x is not None else merge_long(next(spare).encode(), own) for x in found]
                         lengths = np.array([len(x) for x in found], np.int64)
                         flat_ids = np.array([y for x in found for y in x], np.int32)
+                    looked = -2 - whole[whole < -1]
                     sizes = np.ones(len(whole), np.int64)
-                    sizes[whole < 0] = lengths
+                    sizes[whole == -1], sizes[whole < -1] = lengths, known_sizes[looked]
                     starts, values = np.cumsum(sizes) - sizes, np.repeat(whole, sizes)
-                    values[values < 0] = flat_ids
+                    from_table = values < -1
+                    values[values == -1] = flat_ids
+                    values[from_table] = gather(known_starts[looked], known_sizes[looked], known_values)
                 for i, j in pieces_of(offsets, at, end):
                     picked = flat[offsets[i] : offsets[j]]
                     lengths = sizes[picked]
@@ -338,7 +408,10 @@ def round_trip(docs: DataFrame) -> DataFrame:
         return [pa.array(np.diff(offsets), pa.int64()), pa.array(coded, pa.string()), pa.array(decoded, pa.string())]
 
     schema = "n_tokens bigint, ids_sha256 string, decoded_sha256 string"
-    return encoded_as(docs, path, public_tokenizers.PATTERN, schema, finish)
+    known = frequent_words(docs, path, public_tokenizers.PATTERN)
+    encoded = encoded_as(docs, path, public_tokenizers.PATTERN, schema, finish, known)
+    with arrow_batches(docs.sparkSession, BLOCK_BYTES):
+        return materialize(encoded, "round-trip")
 
 
 @query("op3_byte_bpe")
