@@ -4,10 +4,9 @@ Text is split by the vocabulary's pattern in the JVM. Of the distinct words of a
 those that are a piece as a whole take its id, which their own merges end in; the others are folded
 with higher-order functions: each word is an array of byte ids, and step by step the adjacent pair
 with the lowest rank, the leftmost first, becomes one id until no pair has a rank. The rank map is
-literal arrays addressed by the two ids. The words of a sample, TABLE_WORDS at most, can be folded
-once beforehand and looked up by all blocks; this changes the work and no id. Blocks travel with
-their documents inside one stage, so no text is shuffled and no vocabulary of the whole corpus is
-ever held. Decoding concatenates the binary pieces of the ids.
+literal arrays addressed by the two ids. Blocks travel with their documents inside one stage, so no
+text is shuffled and no vocabulary of the whole corpus is ever held. Decoding concatenates the binary
+pieces of the ids.
 """
 
 from __future__ import annotations
@@ -29,14 +28,6 @@ NONE = 65536
 FOLD_BYTES = 128
 #: Words whose ids are put together at once; what that takes is several arrays of 8 bytes an id.
 PIECE_WORDS = 250_000
-#: Words folded once for all blocks: the most frequent ones of about SAMPLE_DOCS documents, of the first SAMPLE_CHARS of each.
-TABLE_WORDS = 262_144
-SAMPLE_DOCS = 16_000
-SAMPLE_CHARS = 10_000
-#: Words of the table that a task folds.
-TASK_WORDS = 16_384
-#: Of a block in ``round_trip``: a task holds several times that.
-BLOCK_BYTES = 16_000_000
 
 # The pattern's white space in full, as Java's \s is ASCII only.
 SPACE = r"\s\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
@@ -244,46 +235,12 @@ def split_words(pattern: str, text: Column) -> Column:
     return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(java_pattern(pattern)), F.lit(0))
 
 
-def frequent_words(docs: DataFrame, path: str, pattern: str, most: int = TABLE_WORDS):
-    """(words, their ids) as Arrow arrays: at most ``most`` words of a sample of ``docs``, the frequent ones first.
-
-    Words as frequent as the first one left out are left out too.
-    """
-    import pyarrow as pa
-
-    rows = docs.count()
-    some = docs.sample(min(1.0, SAMPLE_DOCS / rows), 3) if rows else docs
-    words = some.select(F.explode(split_words(pattern, F.substring("text", 1, SAMPLE_CHARS))).alias("word"))
-    counted = words.groupBy("word").agg(F.count("*").alias("n")).filter(F.octet_length("word") <= FOLD_BYTES)
-    counted = materialize(counted, "words-counted")
-    least, taken = None, 0
-    for n, own in sorted(map(tuple, counted.groupBy("n").agg(F.count("*")).collect()), reverse=True):
-        if taken + own > most:
-            break
-        least, taken = n, taken + own
-    if least is None:
-        return None
-    ranks = Ranks(read_ranks(path))
-    chosen = counted.filter(F.col("n") >= least).select("word").repartition(1 + taken // TASK_WORDS)
-    made = chosen.select("word", fold_word(F.col("word"), ranks).alias("ids")).toArrow().combine_chunks()
-    kinds = {"word": pa.string(), "ids": pa.list_(pa.int32())}
-    return tuple(pa.concat_arrays(made[c].chunks).cast(kind) for c, kind in kinds.items())
-
-
-def encoded_as(docs: DataFrame, path: str, pattern: str, schema: str, finish, table=None) -> DataFrame:
-    """As ``encode``, with what ``finish`` makes of an Arrow array of id lists in place of ids.
-
-    ``table``, of ``frequent_words``, has words that need not be folded again.
-    """
-    import numpy as np
+def encoded_as(docs: DataFrame, path: str, pattern: str, schema: str, finish) -> DataFrame:
+    """As ``encode``, with what ``finish`` makes of an Arrow array of id lists in place of ids."""
     import pyarrow as pa
 
     pieces = read_ranks(path)
-    known, known_ids = table or (pa.array([], pa.string()), pa.array([], pa.list_(pa.int32())))
-    settled_words = pa.concat_arrays([pa.array(pieces, pa.binary()), known.cast(pa.binary())])
-    n_pieces = len(pieces)
-    known_values = known_ids.flatten().to_numpy(zero_copy_only=False)
-    known_sizes = known_ids.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+    whole_words = pa.array(pieces, pa.binary())
     names = [f.split()[0] for f in schema.split(", ")]
     rest = [c for c in docs.columns if c not in ("text", *names)]
     carried = docs.select(F.struct(*rest).alias("row"), split_words(pattern, F.col("text")).alias("words"))
@@ -292,7 +249,7 @@ def encoded_as(docs: DataFrame, path: str, pattern: str, schema: str, finish, ta
     def distinct(batches):
         """Each block's distinct words on its first row, every row its word numbers.
 
-        A whole piece is settled by its id, the word k of the table by -2 - k; the others have -1 and are in the block.
+        A whole piece is settled by its id; the others have -1 and are in the block.
         """
         import numpy as np
         import pyarrow as pa
@@ -306,9 +263,8 @@ def encoded_as(docs: DataFrame, path: str, pattern: str, schema: str, finish, ta
             numbers = pa.ListArray.from_arrays(lists.offsets, coded.indices.cast(pa.int32()))
             first = np.zeros(b.num_rows + 1, np.int32)
             first[1:] = len(coded.dictionary)
-            at = pa.compute.index_in(coded.dictionary.cast(pa.binary()), value_set=settled_words)
+            at = pa.compute.index_in(coded.dictionary.cast(pa.binary()), value_set=whole_words)
             whole = at.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int32)
-            whole = np.where(whole < n_pieces, whole, n_pieces - 2 - whole).astype(np.int32)
             other = coded.dictionary.filter(pa.array(whole == -1))
             settled = pa.ListArray.from_arrays(pa.array(first), pa.array(whole))
             block = pa.ListArray.from_arrays(pa.array(np.minimum(first, len(other))), other)
@@ -326,7 +282,6 @@ def encoded_as(docs: DataFrame, path: str, pattern: str, schema: str, finish, ta
         import numpy as np
         import pyarrow as pa
 
-        known_starts = np.cumsum(known_sizes) - known_sizes
         starts = sizes = values = own = None
         for b in batches:
             if not b.num_rows:
@@ -348,13 +303,10 @@ def encoded_as(docs: DataFrame, path: str, pattern: str, schema: str, finish, ta
                         found = [x if x is not None else merge_long(next(spare).encode(), own) for x in found]
                         lengths = np.array([len(x) for x in found], np.int64)
                         flat_ids = np.array([y for x in found for y in x], np.int32)
-                    looked = -2 - whole[whole < -1]
                     sizes = np.ones(len(whole), np.int64)
-                    sizes[whole == -1], sizes[whole < -1] = lengths, known_sizes[looked]
+                    sizes[whole < 0] = lengths
                     starts, values = np.cumsum(sizes) - sizes, np.repeat(whole, sizes)
-                    from_table = values < -1
-                    values[values == -1] = flat_ids
-                    values[from_table] = gather(known_starts[looked], known_sizes[looked], known_values)
+                    values[values < 0] = flat_ids
                 for i, j in pieces_of(offsets, at, end):
                     picked = flat[offsets[i] : offsets[j]]
                     lengths = sizes[picked]
@@ -386,10 +338,12 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
     return encoded.mapInArrow(run, schema)
 
 
-def round_trip(docs: DataFrame) -> DataFrame:
+def round_trip(docs: DataFrame, block_bytes: int | None = None) -> DataFrame:
     """Encodes and decodes: the columns of ``docs`` without text, n_tokens and two digests.
 
     Ids are digested as little-endian unsigned 32-bit integers, and decoded, where they are put together.
+    With ``block_bytes`` the result is written at once, from blocks of that size; small ones take less memory
+    and fold more words again.
     """
     import public_tokenizers
 
@@ -408,9 +362,10 @@ def round_trip(docs: DataFrame) -> DataFrame:
         return [pa.array(np.diff(offsets), pa.int64()), pa.array(coded, pa.string()), pa.array(decoded, pa.string())]
 
     schema = "n_tokens bigint, ids_sha256 string, decoded_sha256 string"
-    known = frequent_words(docs, path, public_tokenizers.PATTERN)
-    encoded = encoded_as(docs, path, public_tokenizers.PATTERN, schema, finish, known)
-    with arrow_batches(docs.sparkSession, BLOCK_BYTES):
+    encoded = encoded_as(docs, path, public_tokenizers.PATTERN, schema, finish)
+    if block_bytes is None:
+        return encoded
+    with arrow_batches(docs.sparkSession, block_bytes):
         return materialize(encoded, "round-trip")
 
 

@@ -171,31 +171,15 @@ def test_long_word_merges_equal_the_fold(spark):
         assert r["ids"] == bpe.merge_long(r["w"].encode(), own)
 
 
-def test_words_of_the_table_are_not_folded_again(spark, monkeypatch):
-    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    texts = [*AWKWARD, "zweckmäßigerweise unzerbrechlich " * 4, "unzerbrechlich Qwxzkj Qwxzkj", "Vbnmlk " + "xyzw" * 60] * 2
-    docs = frame(spark, texts).repartition(3)
-    ids = tiktoken_ids(texts)
-
-    def check(known):
-        schema = "ids array<int>"
-        got = bpe.encoded_as(docs, path, public_tokenizers.PATTERN, schema, lambda x: [x], known).collect()
-        assert {r["doc_id"]: r["ids"] for r in got} == dict(enumerate(ids))
-
-    words, made = bpe.frequent_words(docs, path, public_tokenizers.PATTERN)
-    distinct = {w: x for w, x in zip(words.to_pylist(), made.to_pylist(), strict=True)}
-    assert {"zweckmäßigerweise", " Qwxzkj", "Vbnmlk"} <= set(distinct)
-    assert list(distinct.values()) == tiktoken_ids(distinct)
-    check((words, made))
-    few, made = bpe.frequent_words(docs, path, public_tokenizers.PATTERN, most=5)
-    assert 0 < len(few) <= 5
-    check((few, made))
-    assert bpe.frequent_words(docs, path, public_tokenizers.PATTERN, most=0) is None
-    # The round trip folds a word of all blocks once: none is left to the blocks.
-    left = []
-    monkeypatch.setattr(bpe, "encoded_as", lambda *args: left.append(args[5]) or docs)
-    bpe.round_trip(docs)
-    assert len(left[0][0]) == len(distinct)
+def test_blocks_of_any_size_give_the_same_ids(spark):
+    texts = [*AWKWARD, "zweckmäßigerweise unzerbrechlich " * 4, "unzerbrechlich Qwxzkj", "Vbnmlk " + "xyzw" * 60] * 2
+    docs = frame(spark, texts).repartition(2)
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before, got = spark.conf.get(key), bpe.round_trip(docs, 300)
+    assert spark.conf.get(key) == before
+    got = {r["doc_id"]: (r["n_tokens"], r["ids_sha256"]) for r in got.collect()}
+    for i, ids in enumerate(tiktoken_ids(texts)):
+        assert got[i] == (len(ids), hashlib.sha256(b"".join(x.to_bytes(4, "little") for x in ids)).hexdigest())
 
 
 def library_ids(texts):
